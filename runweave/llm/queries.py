@@ -1,13 +1,15 @@
 """The corpus operators' queries and their SQL, as __spark_entry__ registers them."""
 
-from runweave.llm import exact_dedup, langid, media, packing, sharding, token_files
+from runweave.llm import bpe_automaton, exact_dedup, langid, media, packing, sharding, substring_dedup, token_files
 
 QUERIES = {
     "op1_shard": sharding.op1_shard,
     "op2_tokens": token_files.op2_tokens,
     "op3_packing": packing.op3_packing,
+    "op4_bpe": bpe_automaton.op4_bpe,
+    "op5_substring": substring_dedup.op5_substring,
     "op6_media": media.op6_media,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_language": langid.op9_language,
 }
-SQL = {**exact_dedup.SQL}
+SQL = {**substring_dedup.SQL, **exact_dedup.SQL}

@@ -46,37 +46,39 @@ def units_of(text: str, added: tuple[str, ...]) -> list[str] | None:
     return text.split(" ")
 
 
-class IdEncoder:
-    """Text to ids as little-endian bytes of `dtype`."""
+class UnitEncoder:
+    """Text to ids as little-endian bytes of `dtype`; units seen before are looked up.  Subclasses encode what is new."""
 
-    def __init__(self, path: str, seen: int = SEEN):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    by_unit = True
+
+    def __init__(self, size: int, added: tuple[str, ...], seen: int):
         import regex
         from public_tokenizers import PATTERN
-        from tokenizers import Tokenizer
 
-        self.tool, self.seen = Tokenizer.from_file(path), seen
-        self.tool.no_truncation()
-        self.tool.no_padding()
-        self.dtype = np.dtype("<u2" if self.tool.get_vocab_size() <= 1 << 16 else "<u4")
-        conf = json.loads(self.tool.to_str())
-        pre, model = conf["pre_tokenizer"] or {}, conf["model"]
-        self.by_unit = conf["normalizer"] is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and model["type"] == "BPE" and not model.get("dropout")
-        self.added = tuple(a["content"] for a in conf["added_tokens"])
+        self.size, self.added, self.seen = size, added, seen
+        self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
+        self.each = [np.array([k], self.dtype).tobytes() for k in range(size)]
         self.letters = {b: c for b, c in byte_letters().items() if chr(b) != c}
-        self.pieces_of, self.bpe = regex.compile(PATTERN).findall, self.tool.model
-        self.each = [np.array([k], self.dtype).tobytes() for k in range(self.tool.get_vocab_size())]
+        self.pieces_of = regex.compile(PATTERN).findall
         self.first: dict[str, bytes] = {}
         self.rest: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
+    def _bpe(self, letters: str) -> bytes:
+        """Ids of a pre-split part, given in byte-level letters."""
+        raise NotImplementedError
+
+    def _whole(self, text: str) -> bytes:
+        """Ids of a text that doesn't split into units."""
+        raise NotImplementedError
+
+    def _odd(self, unit: str) -> bytes:
+        """Ids of a unit that holds rare characters."""
+        raise NotImplementedError
+
     def _pack(self, ids: list[int]) -> bytes:
         return np.array(ids, self.dtype).tobytes()
 
-    def _bpe(self, letters: str) -> bytes:
-        each = self.each
-        return b"".join([each[t.id] for t in self.bpe.tokenize(letters)])
-
     def _part(self, part: str) -> bytes:
         found = self.parts.get(part)
         if found is None:
@@ -99,7 +101,7 @@ class IdEncoder:
 
     def _unit(self, unit: str) -> bytes:
         if not PLAIN.fullmatch(unit):
-            return self._pack(self.tool.encode(unit, add_special_tokens=False).ids)
+            return self._odd(unit)
         return b"".join(map(self._part, self.pieces_of(unit)))
 
     def encode(self, text: str | None) -> bytes:
@@ -107,7 +109,10 @@ class IdEncoder:
             return b""
         units = units_of(text, self.added) if self.by_unit else None
         if units is None:
-            return self._pack(self.tool.encode(text, add_special_tokens=False).ids)
+            return self._whole(text)
+        return self._units(units)
+
+    def _units(self, units: list[str]) -> bytes:
         got = list(map(self.rest.get, units))
         got[0] = self.first.get(units[0])
         try:
@@ -131,6 +136,32 @@ class IdEncoder:
         return b"".join(got)
 
 
+class IdEncoder(UnitEncoder):
+    """New units go through the tokenizers library: plain parts through its model, all else through its whole pipeline."""
+
+    def __init__(self, path: str, seen: int = SEEN):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tool = Tokenizer.from_file(path)
+        self.tool.no_truncation()
+        self.tool.no_padding()
+        conf = json.loads(self.tool.to_str())
+        super().__init__(self.tool.get_vocab_size(), tuple(a["content"] for a in conf["added_tokens"]), seen)
+        pre, model = conf["pre_tokenizer"] or {}, conf["model"]
+        self.by_unit = conf["normalizer"] is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and model["type"] == "BPE" and not model.get("dropout")
+        self.model = self.tool.model
+
+    def _bpe(self, letters: str) -> bytes:
+        each = self.each
+        return b"".join([each[t.id] for t in self.model.tokenize(letters)])
+
+    def _whole(self, text: str) -> bytes:
+        return self._pack(self.tool.encode(text, add_special_tokens=False).ids)
+
+    _odd = _whole
+
+
 _ENCODERS: dict[str, IdEncoder] = {}
 
 
