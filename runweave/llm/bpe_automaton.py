@@ -137,7 +137,7 @@ class AutomatonEncoder(UnitEncoder):
         return b"".join([each[t] for t in self.automaton.encode(letters)])
 
     def _odd(self, unit: str) -> bytes:
-        return b"".join(map(self._part, self.pieces_of(unit)))
+        return b"".join(map(self.parts.__getitem__, self.pieces_of(unit)))
 
     def _whole(self, text: str) -> bytes:
         out = []

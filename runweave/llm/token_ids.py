@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SEEN = 600_000  # units that a worker remembers
+SEEN = 400_000  # units in each of the two generations that a worker remembers
 ODD_SPACE = re.compile(r"[\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
 PLAIN = re.compile("[ -~\n\tÀ-ÖØ-öø-ÿ]*")
 INNER_SPACE = re.compile(r"(?<=\S) (?=\S)")
@@ -46,6 +46,26 @@ def units_of(text: str, added: tuple[str, ...]) -> list[str] | None:
     return text.split(" ")
 
 
+class Seen(dict):
+    """Values made once for a key, in two generations: what a full one held comes back from the older as it recurs."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make, self.old = make, {}
+
+    def __missing__(self, key: str) -> bytes:
+        found = self.old.get(key)
+        if found is None:
+            found = self.make(key)
+        if len(key) < 64:
+            self[key] = found
+        return found
+
+    def turn(self) -> None:
+        self.old = dict(self)
+        self.clear()
+
+
 class UnitEncoder:
     """Text to ids as little-endian bytes of `dtype`; units seen before are looked up.  Subclasses encode what is new."""
 
@@ -60,9 +80,7 @@ class UnitEncoder:
         self.each = [np.array([k], self.dtype).tobytes() for k in range(size)]
         self.letters = {b: c for b, c in byte_letters().items() if chr(b) != c}
         self.pieces_of = regex.compile(PATTERN).findall
-        self.first: dict[str, bytes] = {}
-        self.rest: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.first, self.rest, self.parts = Seen(self._unit), Seen(self._word), Seen(self._part)
 
     def _bpe(self, letters: str) -> bytes:
         """Ids of a pre-split part, given in byte-level letters."""
@@ -80,12 +98,7 @@ class UnitEncoder:
         return np.array(ids, self.dtype).tobytes()
 
     def _part(self, part: str) -> bytes:
-        found = self.parts.get(part)
-        if found is None:
-            found = self._bpe(part.encode().decode("latin-1").translate(self.letters))
-            if len(part) < 24:
-                self.parts[part] = found
-        return found
+        return self._bpe(part.encode().decode("latin-1").translate(self.letters))
 
     def _word(self, word: str) -> bytes:
         """Of a unit after a space: mostly a word, or a word and a mark after it."""
@@ -93,16 +106,13 @@ class UnitEncoder:
         if not stem.isalpha() or not (stem.isascii() or PLAIN.fullmatch(stem)):
             return self._unit(f" {word}")
         if stem is not word:
-            found = self.rest.get(stem)
-            if found is None:
-                found = self.rest[stem] = self._word(stem)
-            return found + self._part(word[-1])
+            return self.rest[stem] + self.parts[word[-1]]
         return self._bpe(f"Ġ{stem}" if stem.isascii() else "Ġ" + stem.encode().decode("latin-1").translate(self.letters))
 
     def _unit(self, unit: str) -> bytes:
         if not PLAIN.fullmatch(unit):
             return self._odd(unit)
-        return b"".join(map(self._part, self.pieces_of(unit)))
+        return b"".join(map(self.parts.__getitem__, self.pieces_of(unit)))
 
     def encode(self, text: str | None) -> bytes:
         if not text:
@@ -113,27 +123,11 @@ class UnitEncoder:
         return self._units(units)
 
     def _units(self, units: list[str]) -> bytes:
-        got = list(map(self.rest.get, units))
-        got[0] = self.first.get(units[0])
-        try:
-            return b"".join(got)
-        except TypeError:
-            pass
-        if len(self.rest) + len(self.parts) > self.seen:
-            self.rest.clear()
-            self.parts.clear()
-            self.first.clear()
-        for k, found in enumerate(got):
-            if found is None:
-                unit = units[k]
-                seen = self.rest if k else self.first
-                found = seen.get(unit)
-                if found is None:
-                    found = self._word(unit) if k else self._unit(unit) if unit else b""
-                    if len(unit) < 64:
-                        seen[unit] = found
-                got[k] = found
-        return b"".join(got)
+        for seen in (self.first, self.rest, self.parts):
+            if len(seen) > self.seen:
+                seen.turn()
+        begin = self.first[units[0]]
+        return begin + b"".join(map(self.rest.__getitem__, units[1:])) if len(units) > 1 else begin
 
 
 class IdEncoder(UnitEncoder):
