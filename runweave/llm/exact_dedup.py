@@ -65,6 +65,14 @@ def exact_groups(df: DataFrame, key: str = "doc_id", text: str = "text", keep: s
     return out.select(key, "keep_id", "group_size", F.col(key).eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
+def keep_first(df: DataFrame, key: str = "doc_id", text: str = "text", keep: str = "max") -> DataFrame:
+    """df's rows, one of each group of equal texts, with all their columns; of rows that also share the key, any one."""
+    kept = exact_groups(df.select(key, text), key, text, keep).filter("kept").select(F.col(key).alias("_rw_key"), F.col("text_sha256").alias("_rw_kept")).distinct()
+    own = df.withColumn("_rw_sha", F.sha2(lower_ascii(F.coalesce(F.col(text), F.lit(""))), 256))
+    own = own.join(kept, own[key].eqNullSafe(kept["_rw_key"]) & (F.col("_rw_sha") == F.col("_rw_kept")), "left_semi")
+    return own.groupBy("_rw_sha").agg(F.first(F.struct(*(F.col(f"`{c}`") for c in df.columns))).alias("_rw_row")).select("_rw_row.*")
+
+
 def op8_exact_dedup(spark, sf_dir):
     """Groups of documents equal but for the case of A-Z; the largest doc_id stays."""
     return exact_groups(documents(spark, sf_dir))

@@ -101,6 +101,20 @@ def identify(df: DataFrame, raw: dict[str, bytes], key: str = "doc_id", text: st
     return df.select(F.col(key).cast("long").alias(key), text).mapInArrow(run, f"`{key}` long, lang_pred string, score double, margin double, rejected boolean")
 
 
+def keep_identified(df: DataFrame, raw: dict[str, bytes], text: str = "text", margin: float = MARGIN) -> DataFrame:
+    """df's rows whose language is not rejected, with all their columns."""
+
+    def run(batches):
+        model = Classifier(raw, margin)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                texts = part.column(part.schema.get_field_index(text)).to_pylist()
+                yield part.filter(pa.array([not model.classify(t)[3] for t in texts], pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def held_out(key: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit(""))) % 3 == 1
 

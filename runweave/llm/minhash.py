@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runweave.llm.common import documents, lower_words, stage_table
+from runweave.llm.common import documents, stage_table
 from runweave.llm.substring_dedup import FIRST, gram_hashes, mix, word_hashes
 from runweave.llm.token_ids import parts_of, slices
 
@@ -201,14 +201,12 @@ def near_components(df: DataFrame, k: int = 5, threshold: int = 80, key: str = "
 
     named = classes.join(labels, classes["a"] == labels["node"], "left").select(*(F.col(c).alias(f"{c}_") for c in same), F.coalesce("label", "a").alias("label"))
     salt, salts = F.pmod(F.xxhash64("k", F.lit(7)), F.lit(16)), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(15).cast("long")))
-    crowded = signed.filter("n > 0").groupBy(*same).agg(F.count("*").alias("copies"))
-    named = named.join(crowded, (F.col("n_") == F.col("n")) & (F.col("f1_") == F.col("f1")) & (F.col("f2_") == F.col("f2"))).select("n_", "f1_", "f2_", "label", F.when(F.col("copies") > 64, F.lit(True)).otherwise(False).alias("big"))
-    own = signed.select("k", "n", "f1", "f2", salt.alias("salt"))
+    own = signed.select("k", "th", "n", "f1", "f2", salt.alias("salt"))
     spread = named.withColumn("salt", salts)
     out = own.join(spread, (F.col("n") == F.col("n_")) & (F.col("f1") == F.col("f1_")) & (F.col("f2") == F.col("f2_")) & (own["salt"] == spread["salt"]), "left")
     null = lambda c: F.when(F.col(c) != FIRST, F.col(c))
-    out = out.select(F.col("k"), F.col("n").alias("n_shingles"), F.coalesce("label", "k").alias("label"))
-    return out.select(null("k").alias(key), "n_shingles", null("label").alias("component_id"), (F.col("k") == F.col("label")).alias("kept"))
+    out = out.select("k", "th", F.col("n").alias("n_shingles"), F.coalesce("label", "k").alias("label"))
+    return out.select(null("k").alias(key), "n_shingles", null("label").alias("component_id"), (F.col("k") == F.col("label")).alias("kept"), F.col("th").alias("text_hash"))
 
 
 def _compare(low: int, high: int, threshold: int):
@@ -255,9 +253,16 @@ def _compare(low: int, high: int, threshold: int):
     return run
 
 
+def keep_representatives(df: DataFrame, k: int = 5, threshold: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """df's rows, one of each component, with all their columns; what links with nothing stays."""
+    found = near_components(df.select(key, text), k, threshold, key, text).filter("kept")
+    found = found.select(F.col(key).alias("_rw_key"), F.col("text_hash").alias("_rw_hash")).distinct()
+    return df.join(found, df[key].eqNullSafe(found["_rw_key"]) & (F.xxhash64(df[text]) == F.col("_rw_hash")), "left_semi")
+
+
 def op7_minhash(spark, sf_dir):
     """Components of documents whose sets of two-word shingles are similar by 0.8 or more."""
-    return near_components(documents(spark, sf_dir), k=2, threshold=80)
+    return near_components(documents(spark, sf_dir), k=2, threshold=80).drop("text_hash")
 
 
 SQL = {

@@ -1,6 +1,6 @@
 """The corpus operators' queries and their SQL, as __spark_entry__ registers them."""
 
-from runweave.llm import bpe_automaton, exact_dedup, langid, media, minhash, packing, sharding, substring_dedup, token_files
+from runweave.llm import bpe_automaton, exact_dedup, langid, lm, media, minhash, packing, sharding, substring_dedup, token_files
 
 QUERIES = {
     "op1_shard": sharding.op1_shard,
@@ -12,5 +12,6 @@ QUERIES = {
     "op7_minhash": minhash.op7_minhash,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_language": langid.op9_language,
+    "op10_score": lm.op10_score,
 }
 SQL = {**substring_dedup.SQL, **minhash.SQL, **exact_dedup.SQL}

@@ -257,9 +257,11 @@ def removed_words(n_words: int, hits: list | None, window: int) -> np.ndarray:
 
 
 def _with_hits(df: DataFrame, window: int, key: str, text: str, hot: int) -> DataFrame:
-    hits = repeated_windows(df, window, key, text, hot).withColumnsRenamed({"k": "k2", "th": "th2"})
-    same = (F.coalesce(F.col(key).cast("long"), F.lit(FIRST)) == F.col("k2")) & (F.xxhash64(text) == F.col("th2"))
-    return df.join(hits, same, "left").drop("k2", "th2")
+    """df's rows with a column _rw_hits."""
+    hits = repeated_windows(df.select(key, text), window, key, text, hot)
+    hits = hits.withColumnsRenamed({"k": "_rw_k", "th": "_rw_th", "hits": "_rw_hits"})
+    same = (F.coalesce(F.col(key).cast("long"), F.lit(FIRST)) == F.col("_rw_k")) & (F.xxhash64(text) == F.col("_rw_th"))
+    return df.join(hits, same, "left").drop("_rw_k", "_rw_th")
 
 
 def strip_repeats(df: DataFrame, window: int = WINDOW, key: str = "doc_id", text: str = "text", hot: int = HOT) -> DataFrame:
@@ -271,7 +273,7 @@ def strip_repeats(df: DataFrame, window: int = WINDOW, key: str = "doc_id", text
     def keep(batches):
         for batch in batches:
             for part in slices(batch):
-                at, own = part.schema.get_field_index(text), part.schema.get_field_index("_hits")
+                at, own = part.schema.get_field_index(text), part.schema.get_field_index("_rw_hits")
                 texts = part.column(at).to_pylist()
                 for i, hits in enumerate(part.column(own).to_pylist()):
                     if hits:
@@ -281,7 +283,7 @@ def strip_repeats(df: DataFrame, window: int = WINDOW, key: str = "doc_id", text
                 cols = [pa.array(texts, pa.string()) if c == at else part.column(c) for c in range(part.num_columns) if c != own]
                 yield pa.RecordBatch.from_arrays(cols, names=[n for c, n in enumerate(part.schema.names) if c != own])
 
-    return _with_hits(df, window, key, text, hot).withColumnRenamed("hits", "_hits").mapInArrow(keep, df.schema)
+    return _with_hits(df, window, key, text, hot).mapInArrow(keep, df.schema)
 
 
 def repeat_digest(df: DataFrame, window: int = WINDOW, key: str = "doc_id", text: str = "text", hot: int = HOT) -> DataFrame:
@@ -302,7 +304,7 @@ def repeat_digest(df: DataFrame, window: int = WINDOW, key: str = "doc_id", text
                 yield pa.RecordBatch.from_arrays([part.column(0), *cols], names=[key, "n_words", "n_removed", "kept_sha256"])
 
     rows = df.select(F.col(key).cast("long").alias(key), text)
-    return _with_hits(rows, window, key, text, hot).select(key, text, "hits").mapInArrow(digest, f"`{key}` long, n_words long, n_removed long, kept_sha256 string")
+    return _with_hits(rows, window, key, text, hot).select(key, text, "_rw_hits").mapInArrow(digest, f"`{key}` long, n_words long, n_removed long, kept_sha256 string")
 
 
 def op5_substring(spark, sf_dir):
