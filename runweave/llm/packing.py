@@ -143,7 +143,9 @@ def pack_documents(df: DataFrame, path: str, end_id: int, length: int = LENGTH,
     names = [s for s, _ in totals]
     tokens = [n for _, n in totals]
     share = tokens if weights is None else [max(1, int(weights.get(s, 1))) for s in names]
-    joined = held.join(base.drop("n").withColumnsRenamed({"pid": "p2", "_source": "s2"}), (F.col("pid") == F.col("p2")) & F.col("_source").eqNullSafe(F.col("s2")))
+    # a row for each key range and source at most: the ranges are as many as shuffle partitions
+    base = F.broadcast(base.drop("n").withColumnsRenamed({"pid": "p2", "_source": "s2"}))
+    joined = held.join(base, (F.col("pid") == F.col("p2")) & F.col("_source").eqNullSafe(F.col("s2")))
 
     def cut(batches):
         mix, index = Mixture(tokens, share, length), {s: k for k, s in enumerate(names)}
