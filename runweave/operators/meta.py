@@ -30,7 +30,7 @@ def check_map(ranges: DataFrame) -> DataFrame:
     """The same ranges, with an error raised for an empty one or for two that overlap or touch."""
     before = F.lag("end").over(Window.partitionBy("mask_id").orderBy("start", "end"))
     bad = F.when(F.col("end") <= F.col("start"), F.lit("range is empty")).when(before >= F.col("start"), F.lit("ranges overlap or touch"))
-    return ranges.withColumn("_bad", bad).filter(F.when(F.col("_bad").isNotNull(), F.raise_error("_bad").cast("boolean")).otherwise(F.lit(True))).drop("_bad")
+    return ranges.withColumn("_bad", bad).filter(F.when(F.col("_bad").isNotNull(), F.raise_error(F.col("_bad")).cast("boolean")).otherwise(F.lit(True))).drop("_bad")
 
 
 def ordered_items(ranges: DataFrame) -> DataFrame:

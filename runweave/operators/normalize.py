@@ -64,7 +64,7 @@ def validate(spans: DataFrame, bounds: DataFrame | None = None, canonical: bool
     if bounds is not None:
         inside = (F.col("y") >= F.col("by")) & (F.col("y") < F.col("by") + F.col("bh")) & (F.col("x_start") >= F.col("bx")) & (F.col("x_end") <= F.col("bx") + F.col("bw"))
         out = out.join(bounds, "mask_id", "left").withColumn("_bad", F.coalesce("_bad", F.when(~F.coalesce(inside, F.lit(False)), F.lit("span outside its bounds"))))
-    return out.filter(F.when(F.col("_bad").isNotNull(), F.raise_error("_bad").cast("boolean")).otherwise(F.lit(True))).select(*spans.columns)
+    return out.filter(F.when(F.col("_bad").isNotNull(), F.raise_error(F.col("_bad")).cast("boolean")).otherwise(F.lit(True))).select(*spans.columns)
 
 
 def validate_sorted(df: DataFrame, key: Column | str, seq: str, by: str = "mask_id") -> DataFrame:

@@ -80,7 +80,7 @@ def sanitize(ranges: DataFrame, seq: str | None = None, errors: str = "raise") -
     bad = F.when(F.col("end") <= F.col("start"), F.lit("start after end")).when(F.col("start") < F.col("_open"), F.lit("smaller start"))
     marked = marked.withColumn("_bad", bad)
     if errors == "raise":
-        good = marked.filter(F.when(F.col("_bad").isNotNull(), F.raise_error("_bad").cast("boolean")).otherwise(F.lit(True)))
+        good = marked.filter(F.when(F.col("_bad").isNotNull(), F.raise_error(F.col("_bad")).cast("boolean")).otherwise(F.lit(True)))
     else:
         good = marked.withColumn("_ended", F.max(F.col("_bad").isNotNull()).over(w.rowsBetween(Window.unboundedPreceding, 0))).filter("NOT _ended")
     return normalize_ranges(good)

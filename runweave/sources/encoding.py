@@ -21,7 +21,7 @@ def to_offsets(ranges: DataFrame, extra: tuple[str, ...] = (), strict: bool = Tr
     out = ranges.select("mask_id", "start", "end", *extra, before.alias("_before"))
     if strict:
         bad = F.when(F.col("end") <= F.col("start"), F.lit("range is empty")).when(F.col("_before") >= F.col("start"), F.lit("ranges overlap or touch")).when(F.col("start") < 0, F.lit("range starts below 0"))
-        out = out.withColumn("_bad", bad).filter(F.when(F.col("_bad").isNotNull(), F.raise_error("_bad").cast("boolean")).otherwise(F.lit(True)))
+        out = out.withColumn("_bad", bad).filter(F.when(F.col("_bad").isNotNull(), F.raise_error(F.col("_bad")).cast("boolean")).otherwise(F.lit(True)))
     return out.select("mask_id", "start", (F.col("start") - F.coalesce("_before", F.lit(0))).alias("gap"), (F.col("end") - F.col("start")).alias("len"), *extra)
 
 
@@ -79,7 +79,7 @@ def wire_header(payloads: DataFrame) -> DataFrame:
     """mask_id, bx, by, bw, bh; a header that is short, of another version or type, or without area is an error."""
     n = F.octet_length("payload")
     bad = F.when(n < HEADER, F.lit("header is cut short")).when(F.expr("substring(payload, 1, 1) != X'01'"), F.lit("unknown version")).when(F.expr("substring(payload, 2, 2) != X'0000'"), F.lit("unknown type"))
-    good = payloads.withColumn("_bad", bad).filter(F.when(F.col("_bad").isNotNull(), F.raise_error("_bad").cast("boolean")).otherwise(F.lit(True)))
+    good = payloads.withColumn("_bad", bad).filter(F.when(F.col("_bad").isNotNull(), F.raise_error(F.col("_bad")).cast("boolean")).otherwise(F.lit(True)))
     out = good.select("mask_id", *(F.expr(_number(str(at), 4)).alias(c) for c, at in (("bx", 4), ("by", 8), ("bw", 12), ("bh", 16))))
     return out.filter(F.when((F.col("bw") == 0) | (F.col("bh") == 0), F.raise_error(F.lit("bounds without area")).cast("boolean")).otherwise(F.lit(True)))
 
