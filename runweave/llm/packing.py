@@ -4,7 +4,7 @@ Each source is a queue of its documents' tokens by ascending key.  Every window
 queues in proportion to their weights; what a source is owed but can't get in whole tokens is its deficit, which it
 carries into the next window.  With one token as the unit of service, the round-robin serves tokens in the order of
 (position + 1/2) / weight; so the number of tokens that each source has given to the first w windows has a closed form
-(`Mixture.given`), deficits never reach one token, and any task can fill its own part of any window without knowing what
+(`Mixture.given`), deficits stay below a token and the rounding of the other sources, and any task can fill its own part of any window without knowing what
 other tasks do.  A source that has run dry leaves its share to the others.  Only the last window can be short.
 """
 
