@@ -17,9 +17,10 @@ from runweave.llm.common import documents, literal_table
 
 BLOCK = 4096  # characters that are compressed together
 DICT_BYTES = 64 << 10
+SHORT = 64  # a shorter text is repeated up to four times this length, for the coder leaves tiny inputs as they are
 SAMPLE = 400  # training texts per language: the documented bound of the fit
 MAX_LANGS = 64
-MARGIN = 0.002
+MARGIN = 0.001
 LEVEL = 6
 LETTER = re.compile(r"[^\W\d_]")
 
@@ -60,6 +61,8 @@ class Classifier:
 
     def sizes(self, text: str) -> list[int]:
         total = [0] * len(self.tools)
+        if len(text) < SHORT:
+            text = f"{text} " * (4 * SHORT // (len(text) + 1))
         for at in range(0, len(text), BLOCK):
             block = text[at : at + BLOCK].lower().encode()
             for k, tool in enumerate(self.tools):

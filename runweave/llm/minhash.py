@@ -166,8 +166,10 @@ def near_components(df: DataFrame, k: int = 5, threshold: int = 80, key: str = "
             for part in slices(batch, 4096):
                 yield _similar(part, ("sig", "sig2"), ("n", "n2"), threshold).select(["a", "ah", "b", "bh"])
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
+    def confirmed(pairs: DataFrame) -> DataFrame | None:
         pairs = stage_table(pairs.distinct(), "pairs")
+        if pairs.isEmpty():
+            return None
         crowd = pairs.groupBy("b", "bh").agg(F.count("*").alias("company")).withColumnsRenamed({"b": "b3", "bh": "bh3"})
         return stage_table(_confirm(pairs.join(crowd, (F.col("b") == F.col("b3")) & (F.col("bh") == F.col("bh3"))), texts, k, threshold).distinct(), "links")
 
@@ -178,7 +180,8 @@ def near_components(df: DataFrame, k: int = 5, threshold: int = 80, key: str = "
     stars = posted.join(hubs, "list").filter("(a != b OR ah != bh)")
     links = confirmed(stars.select("a", "ah", "n", "sig", "b", "bh", "n2", "sig2").mapInArrow(similar, "a long, ah long, b long, bh long"))
     labels = stage_table(company.select(F.col("a").alias("node"), F.col("a").alias("label")).distinct(), "labels")
-    labels = merge_labels(labels, links)
+    if links is not None:
+        labels = merge_labels(labels, links)
 
     rest, low = posted, 0
     for high in STEPS:
@@ -196,8 +199,11 @@ def near_components(df: DataFrame, k: int = 5, threshold: int = 80, key: str = "
         dealt = targets.unionByName(probes).select("list", "chunk", "probe", "n", "a", "ah", "label", "sig")
         dealt = dealt.repartition(parts_of(df.sparkSession), "list", "chunk").sortWithinPartitions("list", "chunk", "n", "a")
         found = dealt.mapInArrow(_compare(low, high, threshold), "a long, ah long, b long, bh long")
-        labels = merge_labels(labels, confirmed(found))
-        rest, low = rest.select("a", "ah", "n", "sig", "list", "members"), high
+        links = confirmed(found)
+        if links is not None:
+            labels = merge_labels(labels, links)
+        # whoever has no more company than this has met all of it
+        rest, low = rest.filter(F.col("members") > high).select("a", "ah", "n", "sig", "list", "members"), high
 
     named = classes.join(labels, classes["a"] == labels["node"], "left").select(*(F.col(c).alias(f"{c}_") for c in same), F.coalesce("label", "a").alias("label"))
     salt, salts = F.pmod(F.xxhash64("k", F.lit(7)), F.lit(16)), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(15).cast("long")))

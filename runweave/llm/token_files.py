@@ -85,19 +85,18 @@ def read_block(raw: bytes, by_rank: np.ndarray) -> tuple[list, np.ndarray, np.nd
     return [None if z else int(k) for k, z in zip(keys, null, strict=True)], counts, ids, before
 
 
-def frequencies(ids: DataFrame, dtype: np.dtype, size: int) -> np.ndarray:
-    """How often each id occurs in all rows; at most one row per id of the vocabulary reaches the driver."""
+def frequencies(counted: DataFrame, size: int) -> np.ndarray:
+    """How often each id occurs, out of the tasks' own counts; at most one row per id of the vocabulary reaches the driver."""
 
-    def count(batches):
-        total = np.zeros(size, np.int64)
+    def split(batches):
         for batch in batches:
             for x in batch.column(0):
-                total += np.bincount(np.frombuffer(x.as_buffer(), dtype), minlength=size)
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total[some], pa.int64())], names=["id", "n"])
+                met = np.frombuffer(x.as_buffer(), np.int64)
+                some = np.flatnonzero(met)
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(met[some], pa.int64())], names=["id", "n"])
 
     out = np.zeros(size, np.int64)
-    for r in ids.select("ids").mapInArrow(count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
+    for r in counted.select("ids").mapInArrow(split, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
         out[r["id"]] = r["n"]
     return out
 
@@ -139,10 +138,11 @@ def write_token_files(df: DataFrame, path: str, end_id: int, key: str = "doc_id"
     no blocks.  Other columns are not looked at.  Texts are encoded once; the plain ids wait in the shared folder until
     their frequencies are known.  Only packed ids are shuffled, never text."""
     spark = df.sparkSession
-    plain = stage_table(tokenise(df, path, end_id, key, text, bounds=key_bounds(df, key, parts_of(spark))), "ids")
+    staged = stage_table(tokenise(df, path, end_id, key, text, bounds=key_bounds(df, key, parts_of(spark)), count=True), "ids")
+    plain = staged.filter("pid >= 0")
     tool = encoder(path)
-    dtype, size = tool.dtype, max(tool.tool.get_vocab_size(), end_id + 1)
-    count = frequencies(plain, dtype, size)
+    dtype, size = tool.dtype, max(tool.size, end_id + 1)
+    count = frequencies(staged.filter("pid < 0"), size)
     by_rank = np.lexsort((np.arange(size), -count)).astype(np.uint32)
     rank = np.empty(size, np.uint32)
     rank[by_rank] = np.arange(size, dtype=np.uint32)
@@ -174,7 +174,7 @@ def write_token_files(df: DataFrame, path: str, end_id: int, key: str = "doc_id"
     rows = plain.mapInArrow(packed, f"pid int, `{key}` long, n long, control binary, data binary")
     ordered = rows.repartition(parts_of(spark), "pid").sortWithinPartitions("pid", key)
     written = stage_table(ordered.mapInArrow(blocks, "pid int, n_ids long, block binary"), "token-blocks")
-    drop_table(plain)
+    drop_table(staged)
     return TokenFiles(written, by_rank, key)
 
 

@@ -66,6 +66,31 @@ class Seen(dict):
         self.clear()
 
 
+class SeenWords(Seen):
+    """Units after a space: mostly a word, or a word and a mark after it."""
+
+    def __init__(self, encoder: UnitEncoder):
+        super().__init__(None)
+        self.bpe, self.unit, self.parts, self.letters = encoder._bpe, encoder._unit, encoder.parts, encoder.letters
+
+    def __missing__(self, word: str) -> bytes:
+        found = self.old.get(word)
+        if found is None:
+            stem = word[:-1] if word.endswith((",", ".")) else word
+            plain = stem.isascii()
+            if not stem.isalpha() or not (plain or PLAIN.fullmatch(stem)):
+                found = self.unit(f" {word}")
+            elif stem is not word:
+                found = self[stem] + self.parts[word[-1]]
+            elif plain:
+                found = self.bpe(f"Ġ{word}")
+            else:
+                found = self.bpe("Ġ" + "".join([self.letters[b] for b in word.encode()]))
+        if len(word) < 64:
+            self[word] = found
+        return found
+
+
 class UnitEncoder:
     """Text to ids as little-endian bytes of `dtype`; units seen before are looked up.  Subclasses encode what is new."""
 
@@ -78,9 +103,10 @@ class UnitEncoder:
         self.size, self.added, self.seen = size, added, seen
         self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         self.each = [np.array([k], self.dtype).tobytes() for k in range(size)]
-        self.letters = {b: c for b, c in byte_letters().items() if chr(b) != c}
+        self.letters = [byte_letters()[b] for b in range(256)]
         self.pieces_of = regex.compile(PATTERN).findall
-        self.first, self.rest, self.parts = Seen(self._unit), Seen(self._word), Seen(self._part)
+        self.first, self.parts = Seen(self._unit), Seen(self._part)
+        self.rest = SeenWords(self)
 
     def _bpe(self, letters: str) -> bytes:
         """Ids of a pre-split part, given in byte-level letters."""
@@ -98,16 +124,7 @@ class UnitEncoder:
         return np.array(ids, self.dtype).tobytes()
 
     def _part(self, part: str) -> bytes:
-        return self._bpe(part.encode().decode("latin-1").translate(self.letters))
-
-    def _word(self, word: str) -> bytes:
-        """Of a unit after a space: mostly a word, or a word and a mark after it."""
-        stem = word[:-1] if word[-1:] in ",." else word
-        if not stem.isalpha() or not (stem.isascii() or PLAIN.fullmatch(stem)):
-            return self._unit(f" {word}")
-        if stem is not word:
-            return self.rest[stem] + self.parts[word[-1]]
-        return self._bpe(f"Ġ{stem}" if stem.isascii() else "Ġ" + stem.encode().decode("latin-1").translate(self.letters))
+        return self._bpe("".join([self.letters[b] for b in part.encode()]))
 
     def _unit(self, unit: str) -> bytes:
         if not PLAIN.fullmatch(unit):
@@ -173,22 +190,30 @@ def slices(batch: pa.RecordBatch, rows: int = 256):
         yield batch.slice(at, rows)
 
 
-def tokenise(df: DataFrame, path: str, end_id: int, key: str, text: str, others: tuple[str, ...] = (), bounds: list[int] | None = None) -> DataFrame:
+def tokenise(df: DataFrame, path: str, end_id: int, key: str, text: str, others: tuple[str, ...] = (), bounds: list[int] | None = None, count: bool = False) -> DataFrame:
     """pid, key, others..., n, ids: ids of each whole text (null: empty) with `end_id` after them, as little-endian bytes of
-    the encoder's dtype; pid is the key's range among `bounds` (null keys come first)."""
+    the encoder's dtype; pid is the key's range among `bounds` (null keys come first).  count: each task's last row has pid -1
+    and, as ids, how often it has met each id, as 64-bit integers."""
     cut = np.array(bounds or [], np.int64)
 
     def run(batches):
         tool = encoder(path)
         end, width = np.array([end_id], tool.dtype).tobytes(), tool.dtype.itemsize
+        met = np.zeros(max(tool.size, end_id + 1), np.int64)
         for batch in batches:
             for part in slices(batch):
                 ids = [tool.encode(t) + end for t in part.column(1).to_pylist()]
                 keys = part.column(0)
                 pid = np.where(np.asarray(keys.is_valid()), np.searchsorted(cut, np.asarray(keys.fill_null(0)), side="right"), 0)
                 cols = [pa.array(pid, pa.int32()), keys, *part.columns[2:], pa.array([len(x) // width for x in ids], pa.int64()), pa.array(ids, pa.binary())]
+                if count:
+                    met += np.bincount(np.frombuffer(b"".join(ids), tool.dtype), minlength=len(met))
                 yield pa.RecordBatch.from_arrays(cols, names=["pid", key, *others, "n", "ids"])
+        if count:
+            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([None], pa.int64()), pa.array([0], pa.int64()), pa.array([met.tobytes()], pa.binary())], names=["pid", key, "n", "ids"])
 
+    if count and others:
+        raise ValueError("counts come without other columns")
     rows = df.select(F.col(key).cast("long").alias(key), text, *others)
     kinds = "".join(f"`{c}` {rows.schema[c].dataType.simpleString()}, " for c in others)
     return rows.mapInArrow(run, f"pid int, `{key}` long, {kinds}n long, ids binary")
