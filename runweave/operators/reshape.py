@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from runweave.functions.columns import col, rect, rect_intersection
+from runweave.functions.columns import FITS, check_fits, col, rect, rect_intersection
 from runweave.operators.normalize import normalize_ranges
 
 
@@ -49,6 +49,13 @@ def ranges_to_spans(ranges: DataFrame, bounds: DataFrame) -> DataFrame:
     )
 
 
+def typed_spans(ranges: DataFrame, bounds: DataFrame, kind: str) -> DataFrame:
+    """ranges_to_spans(), with an error raised where a span's end, its row's end or its range's end doesn't fit the unsigned type."""
+    spans = ranges_to_spans(ranges.withColumn("end", check_fits("end", kind)), bounds)
+    fits = F.when(F.col("y") + 1 > FITS[kind], F.raise_error(F.lit(f"row does not fit {kind}")).cast("long")).otherwise(F.col("y"))
+    return spans.withColumns({"y": fits, "x_end": check_fits("x_end", kind)})
+
+
 def reproject(spans: DataFrame, width: int) -> DataFrame:
     """Flat ranges in a frame at (0, 0) of another width; columns beyond it are left out."""
     kept = spans.filter(F.col("x_start") < width).withColumn("x_end", F.least("x_end", F.lit(width).cast("long")))

@@ -255,6 +255,12 @@ def ranges_to_spans(spark, d):
     return reshape.ranges_to_spans(e, _month(e))
 
 
+@_query(runs(f"(SELECT mask_id, p // 1440 AS y, p % 1440 AS x FROM {PE})"))
+def typed_spans(spark, d):
+    e = _e(spark, d)
+    return reshape.typed_spans(e, _month(e), "u32")
+
+
 @_query(runs(f"(SELECT mask_id, p // 1440 AS y, p FROM {PE})", "mask_id, y", "p", "start", "end").replace("SELECT mask_id, y,", "SELECT mask_id,", 1))
 def split_rows(spark, d):
     return reshape.split_rows(_e(spark, d), 1440)

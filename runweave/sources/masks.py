@@ -71,6 +71,23 @@ def from_bounds(spark: SparkSession, rows: list[tuple[int, int, int, int, int]])
     return spark.createDataFrame(rows, "mask_id long, bx long, by long, bw long, bh long")
 
 
+def single_span(spark: SparkSession, y: int, x_start: int, x_end: int, mask_id: int = 0) -> tuple[DataFrame, DataFrame]:
+    """A mask of one span, and the span as its bounds."""
+    if x_start >= x_end:
+        raise ValueError("the span is empty")
+    spans = from_spans(spark, [(mask_id, y, x_start, x_end)])
+    return spans, span_bounds(spans)
+
+
+def single_range(spark: SparkSession, start: int, end: int, bounds: tuple[int, int, int, int], mask_id: int = 0) -> tuple[DataFrame, DataFrame]:
+    """A mask of one flat range in bounds that begin at (0, 0)."""
+    if bounds[:2] != (0, 0):
+        raise ValueError("the bounds don't begin at (0, 0)")
+    if start >= end:
+        raise ValueError("the range is empty")
+    return from_ranges(spark, [(mask_id, start, end)]), from_bounds(spark, [(mask_id, *bounds)])
+
+
 def span_bounds(spans: DataFrame) -> DataFrame:
     """Each single span as the bounds of its mask."""
     return spans.select("mask_id", F.col("x_start").alias("bx"), F.col("y").alias("by"), F.expr("x_end - x_start").alias("bw"), F.lit(1).cast("long").alias("bh"))

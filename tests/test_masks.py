@@ -345,3 +345,16 @@ def test_interval_columns(spark):
     q = spark.range(1).select(*(columns.floor_div(a, b).alias(f"{k}") for k, (a, b) in enumerate((("-7", "2"), ("7", "2"), ("-8", "2"), ("7", "0"))))).first()
     assert list(q) == [-4, 3, -4, None]
     assert morph.row_steps(200) == [1, 3, 9, 27, 81, 79]
+
+
+def test_single_masks_and_types(spark):
+    one, bounds = masks.single_span(spark, 7, 6, 9)
+    assert got(one) == [(6, 9, 7)] and boxes(bounds) == [(6, 7, 3, 1)]
+    assert got(masks.single_range(spark, 3, 5, (0, 0, 10, 10))[0]) == [(3, 5)]
+    for bad in ((lambda: masks.single_span(spark, 0, 3, 3)), (lambda: masks.single_range(spark, 3, 5, (1, 0, 9, 9))), (lambda: masks.single_range(spark, 5, 5, (0, 0, 9, 9)))):
+        with pytest.raises(ValueError):
+            bad()
+    wide = box(spark, 250, 0, 10, 10)
+    assert got(reshape.typed_spans(ranges(spark, (0, 5)), wide, "u8")) == [(250, 255, 0)]
+    with pytest.raises(Exception, match="does not fit"):
+        reshape.typed_spans(ranges(spark, (0, 7)), wide, "u8").collect()
