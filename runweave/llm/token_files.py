@@ -31,16 +31,27 @@ def _lengths() -> np.ndarray:
     return ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.uint8) + 1
 
 
-def pack(values: np.ndarray) -> tuple[bytes, bytes]:
-    """(control bytes, data bytes) of unsigned 32-bit values."""
+def pack_many(values: np.ndarray, counts: np.ndarray) -> tuple[list[bytes], list[bytes]]:
+    """(control bytes, data bytes) of several documents' unsigned 32-bit values; each has `counts` of them."""
     values = np.ascontiguousarray(values, "<u4")
-    length = 1 + (values > 0xFF) + (values > 0xFFFF).astype(np.int64) + (values > 0xFFFFFF)
-    codes = np.zeros(-(-len(values) // 4) * 4, np.uint8)
-    codes[: len(values)] = length - 1
+    code = (values > 0xFF).astype(np.uint8)
+    code += values > 0xFFFF
+    code += values > 0xFFFFFF
+    per = -(-counts // 4)
+    codes = np.zeros(4 * int(per.sum()), np.uint8)
+    codes[np.arange(len(values)) + np.repeat(4 * (np.cumsum(per) - per) - (np.cumsum(counts) - counts), counts)] = code
     codes = codes.reshape(-1, 4)
-    control = codes[:, 0] | codes[:, 1] << 2 | codes[:, 2] << 4 | codes[:, 3] << 6
-    data = values.view(np.uint8).reshape(-1, 4)[np.arange(4) < length[:, None]]
-    return control.tobytes(), data.tobytes()
+    control = (codes[:, 0] | codes[:, 1] << 2 | codes[:, 2] << 4 | codes[:, 3] << 6).tobytes()
+    data = values.view(np.uint8).reshape(-1, 4)[np.arange(4) <= code[:, None]].tobytes()
+    sizes = np.concatenate([[0], np.cumsum(code, dtype=np.int64) + np.arange(1, len(values) + 1)])
+    c_end, d_end = np.cumsum(per), sizes[np.cumsum(counts)]
+    cut = lambda raw, ends: [raw[i:j] for i, j in zip([0, *ends.tolist()], ends.tolist())]
+    return cut(control, c_end), cut(data, d_end)
+
+
+def pack(values: np.ndarray) -> tuple[bytes, bytes]:
+    control, data = pack_many(values, np.array([len(values)]))
+    return control[0], data[0]
 
 
 def unpack(control: np.ndarray, data: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -150,8 +161,8 @@ def write_token_files(df: DataFrame, path: str, end_id: int, key: str = "doc_id"
     def packed(batches):
         for batch in batches:
             for part in slices(batch, 512):
-                both = [pack(rank[np.frombuffer(x.as_buffer(), dtype)]) for x in part.column(3)]
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array([c for c, _ in both], pa.binary()), pa.array([d for _, d in both], pa.binary())], names=["pid", key, "n", "control", "data"])
+                control, data = pack_many(rank[np.frombuffer(b"".join(part.column(3).to_pylist()), dtype)], np.asarray(part.column(2)))
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(control, pa.binary()), pa.array(data, pa.binary())], names=["pid", key, "n", "control", "data"])
 
     def blocks(batches):
         pid, before, total, keys, docs = None, 0, 0, [], []
