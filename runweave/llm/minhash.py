@@ -10,10 +10,12 @@ Pairs that remain are confirmed on the full shingle sets.
 Only components are asked for, so a link inside a component that is already known need not be looked at:
 
 1. Each list's hub (the class with most company over all its lists) is compared with the list's other members.
-2. Then, in each list that still holds several components, members outside the hub's component are compared with all
-   members of other components: first with their best few, then with eight times as many, until all have been.
+2. In each list that still holds several components, members outside the hub's component are compared with the few
+   members of other components that match best.
+3. What still has matches in other components gets a sketch, the SKETCH smallest hashes of its set. All pairs that are left
+   are compared by sketches (which decide alone where sets are no larger), and only those that may pass are confirmed.
 
-No list is ever held by one task: hubs come from an aggregate, and in step 2 the members are dealt over as many tasks as the
+No list is ever held by one task: hubs come from an aggregate, and after that the members are dealt over as many tasks as the
 list's length asks for, to each of which the members outside the hub's component are sent.  Texts move once into a table
 of what has company, and once with each pair to be confirmed.
 """
@@ -32,7 +34,9 @@ from runweave.llm.token_ids import parts_of, slices
 COORDS, PREFIX, MATCHES = 64, 10, 36
 CHUNK = 4096  # members of a list that one task compares
 HUB_SALTS = 500  # members that one task compares with a hub, about
-STEPS = (8, 64, 512, 4096, 1 << 60)
+FIRST_RANKS = 8  # partners that a class is compared with before sketches are fetched
+STEPS = (256, 1 << 60)
+SKETCH, DOUBT = 256, 13  # smallest hashes of a set; what the similarity that they show may be off by, in hundredths
 SIGNATURE_SEED = 20260101
 
 
@@ -183,27 +187,43 @@ def near_components(df: DataFrame, k: int = 5, threshold: int = 80, key: str = "
     if links is not None:
         labels = merge_labels(labels, links)
 
-    rest, low = posted, 0
-    for high in STEPS:
+    def open_lists(rest: DataFrame) -> DataFrame:
+        """Of lists that still hold several components, the rows with their labels, the list's length and its hub's label.
+
+        A member that has joined its list's hub never leaves it, so whoever still probes has probed in every step before."""
         rest = rest.join(labels, rest["a"] == labels["node"]).drop("node")
         state = rest.groupBy("list").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("members")).filter("x != y")
-        # a member that has joined its list's hub never leaves it, so whoever still probes has probed in every step before
-        main = hubs.join(labels, hubs["b"] == labels["node"]).select("list", F.col("label").alias("main"))
-        state = state.join(main, "list")
-        rest = stage_table(rest.drop("members").join(stage_table(state.select("list", "members", "main"), "open-lists"), "list"), "open")
-        if rest.isEmpty():
-            break
+        state = state.join(hubs.join(labels, hubs["b"] == labels["node"]).select("list", F.col("label").alias("main")), "list")
+        return rest.join(stage_table(state.select("list", "members", "main"), "open-lists"), "list")
+
+    def dealt(rest: DataFrame, *more: str) -> DataFrame:
+        """Every row in one chunk of its list as a member, and in all chunks as a probe if it is outside the hub's component."""
         chunks = (F.floor((F.col("members") - 1) / CHUNK) + 1).cast("int")
         targets = rest.select("*", F.lit(False).alias("probe"), F.pmod(F.xxhash64("a", "ah"), chunks).cast("int").alias("chunk"))
         probes = rest.filter("label != main").select("*", F.lit(True).alias("probe"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"))
-        dealt = targets.unionByName(probes).select("list", "chunk", "probe", "n", "a", "ah", "label", "sig")
-        dealt = dealt.repartition(parts_of(df.sparkSession), "list", "chunk").sortWithinPartitions("list", "chunk", "n", "a")
-        found = dealt.mapInArrow(_compare(low, high, threshold), "a long, ah long, b long, bh long")
+        both = targets.unionByName(probes).select("list", "chunk", "probe", "n", "a", "ah", "label", "sig", *more)
+        return both.repartition(parts_of(df.sparkSession), "list", "chunk").sortWithinPartitions("list", "chunk", "n", "a", "ah")
+
+    def joined(found: DataFrame) -> DataFrame:
         links = confirmed(found)
-        if links is not None:
-            labels = merge_labels(labels, links)
-        # whoever has no more company than this has met all of it
-        rest, low = rest.filter(F.col("members") > high).select("a", "ah", "n", "sig", "list", "members"), high
+        return labels if links is None else merge_labels(labels, links)
+
+    pair = "a long, ah long, b long, bh long"
+    rest = stage_table(open_lists(posted.drop("members")), "open")
+    labels = joined(dealt(rest).mapInArrow(_groups(_best(0, FIRST_RANKS, threshold), 4), pair))
+    rest = open_lists(rest.filter(F.col("members") > FIRST_RANKS).select("list", "a", "ah", "n", "sig"))
+    involved = stage_table(dealt(rest).mapInArrow(_groups(_involved(threshold), 3), "list long, a long, ah long").distinct(), "involved")
+    if not involved.isEmpty():
+        sketches = involved.select("a", "ah").distinct().join(texts, (F.col("a") == F.col("k")) & (F.col("ah") == F.col("th"))).select("a", "ah", "t")
+        sketches = stage_table(sketches.mapInArrow(_sketched(k), "a long, ah long, sketch binary"), "sketches")
+        rest = stage_table(involved.join(posted.drop("members"), ["list", "a", "ah"]).join(sketches, ["a", "ah"]).select("list", "a", "ah", "n", "sig", "sketch"), "sketched")
+        low = 0
+        for high in STEPS:
+            own = stage_table(open_lists(rest), "open")
+            if own.isEmpty():
+                break
+            labels = joined(dealt(own, "sketch").mapInArrow(_groups(_best(low, high, threshold), 4), pair))
+            rest, low = own.filter(F.col("members") > high).select("list", "a", "ah", "n", "sig", "sketch"), high
 
     named = classes.join(labels, classes["a"] == labels["node"], "left").select(*(F.col(c).alias(f"{c}_") for c in same), F.coalesce("label", "a").alias("label"))
     salt, salts = F.pmod(F.xxhash64("k", F.lit(7)), F.lit(16)), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(15).cast("long")))
@@ -215,46 +235,113 @@ def near_components(df: DataFrame, k: int = 5, threshold: int = 80, key: str = "
     return out.select(null("k").alias(key), "n_shingles", null("label").alias("component_id"), (F.col("k") == F.col("label")).alias("kept"), F.col("th").alias("text_hash"))
 
 
-def _compare(low: int, high: int, threshold: int):
-    """Each list chunk's probes against its members of other components: those ranked low .. high by matches."""
+def _sketched(k: int):
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch):
+                made = [(shingle_set(t, k)[:SKETCH] >> np.uint64(32)).astype("<u4").tobytes() for t in part.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(made, pa.binary())], names=["a", "ah", "sketch"])
+
+    return run
+
+
+def may_pass(sketch: np.ndarray, n: int, sketches: np.ndarray, sizes: np.ndarray, threshold: int) -> np.ndarray:
+    """Which of several sketches (rows, filled up with the largest value) may belong to sets similar to that of `sketch`.
+
+    What is not above the smaller of two sketches' largest values is known of both sets; where both sketches hold the whole
+    sets, that is all, and the answer is exact up to hashes of 32 bits."""
+    top = np.uint64(1 << 32)
+    end = np.minimum(sketch[-1].astype(np.uint64) if n > SKETCH else top, np.where(sizes > SKETCH, sketches[:, -1].astype(np.uint64), top))
+    known = (np.arange(SKETCH) < sizes[:, None]) & (sketches <= end[:, None])
+    at = np.minimum(np.searchsorted(sketch, sketches), len(sketch) - 1)
+    both = (known & (sketch[at] == sketches)).sum(axis=1)
+    union = known.sum(axis=1) + np.searchsorted(sketch.astype(np.uint64), end, side="right") - both
+    doubt = np.where((sizes > SKETCH) | (n > SKETCH), DOUBT, 1)
+    return 100 * both >= (threshold - doubt) * union
+
+
+class _Chunk:
+    """The members and probes of a list's chunk, by set size."""
+
+    def __init__(self, rows: list[tuple]):
+        self.probes = [r for r in rows if r[2]]
+        self.members = [r for r in rows if not r[2]] if self.probes else []
+        if self.members:
+            self.sig = np.frombuffer(b"".join(r[7] for r in self.members), np.uint8).reshape(-1, COORDS)
+            self.n, self.a, self.ah, self.label = (np.array([r[c] for r in self.members]) for c in (3, 4, 5, 6))
+
+    def near(self, p: tuple, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the members that match a probe, and the matches; what can't reach the threshold by its size is skipped."""
+        i, j = np.searchsorted(self.n, -(-threshold * p[3] // 100)), np.searchsorted(self.n, 100 * p[3] // threshold, side="right")
+        m = matches(self.sig[i:j], np.frombuffer(p[7], np.uint8))
+        at = np.flatnonzero(m >= MATCHES)
+        return at + i, m[at]
+
+
+def _best(low: int, high: int, threshold: int):
+    """Each probe's pairs with members of other components among those ranked low .. high by matches."""
 
     def close(rows: list[tuple]) -> list[tuple]:
-        probes = [r for r in rows if r[2]]
-        if not probes:
-            return []
-        members = [r for r in rows if not r[2]]
-        sig = np.frombuffer(b"".join(r[7] for r in members), np.uint8).reshape(-1, COORDS)
-        n, a = np.array([r[3] for r in members]), np.array([r[4] for r in members])
-        out = []
-        for p in probes:
-            # members are in the order of their sizes: what can't reach the threshold is skipped
-            i, j = np.searchsorted(n, -(-threshold * p[3] // 100)), np.searchsorted(n, 100 * p[3] // threshold, side="right")
-            if i >= j:
-                continue
-            m = matches(sig[i:j], np.frombuffer(p[7], np.uint8))
-            near = np.flatnonzero(m >= MATCHES)
-            for q in near[np.lexsort((a[i:j][near], -m[near]))][low:high]:  # ranks don't depend on labels, which change
-                r = members[i + int(q)]
-                if r[6] != p[6]:
-                    out.append((p[4], p[5], r[4], r[5]))
+        chunk, out = _Chunk(rows), []
+        if not chunk.members:
+            return out
+        sketched = len(rows[0]) > 8
+        if sketched:
+            full = np.full((len(chunk.members), SKETCH), 0xFFFFFFFF, np.uint32)
+            for i, r in enumerate(chunk.members):
+                own = np.frombuffer(r[8], "<u4")
+                full[i, : len(own)] = own
+        for p in chunk.probes:
+            at, m = chunk.near(p, threshold)
+            at = at[np.lexsort((chunk.ah[at], chunk.a[at], -m))][low:high]  # ranks don't depend on labels, which change
+            at = at[chunk.label[at] != p[6]]
+            if sketched and len(at):
+                at = at[may_pass(np.frombuffer(p[8], "<u4"), p[3], full[at], chunk.n[at], threshold)]
+            out += [(p[4], p[5], chunk.members[q][4], chunk.members[q][5]) for q in at.tolist()]
         return out
 
+    return close
+
+
+def _involved(threshold: int):
+    """The members and probes that still match something in another component."""
+
+    def close(rows: list[tuple]) -> list[tuple]:
+        chunk = _Chunk(rows)
+        if not chunk.members:
+            return []
+        met, own = np.zeros(len(chunk.members), bool), []
+        for p in chunk.probes:
+            at, _ = chunk.near(p, threshold)
+            at = at[chunk.label[at] != p[6]]
+            if len(at):
+                met[at] = True
+                own.append((p[0], p[4], p[5]))
+        return own + [(rows[0][0], r[4], r[5]) for r, x in zip(chunk.members, met.tolist(), strict=True) if x]
+
+    return close
+
+
+def _groups(close, width: int):
+    """A function for mapInArrow that calls close() with the rows of each (list, chunk), which come together."""
+
     def run(batches):
         group, rows, done = None, [], []
+        names = ["a", "ah", "b", "bh"] if width == 4 else ["list", "a", "ah"]
 
-        def batch_of(pairs):
-            return pa.RecordBatch.from_arrays([pa.array([x[c] for x in pairs], pa.int64()) for c in range(4)], names=["a", "ah", "b", "bh"])
+        def batch_of(found):
+            return pa.RecordBatch.from_arrays([pa.array([x[c] for x in found], pa.int64()) for c in range(width)], names=names)
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
                 if row[:2] != group:
-                    done += close(rows)
+                    done += close(rows) if rows else []
                     group, rows = row[:2], []
                     if len(done) > 20_000:
                         yield batch_of(done)
                         done = []
                 rows.append(row)
-        yield batch_of(done + close(rows))
+        yield batch_of(done + (close(rows) if rows else []))
 
     return run
 

@@ -356,7 +356,8 @@ def test_near_components(request, table, k):
 def test_chain_of_near_copies(spark, monkeypatch):
     """A group in which each text is near the next one only, so that hubs alone don't connect it; in small chunks."""
     monkeypatch.setattr(minhash, "CHUNK", 3)
-    monkeypatch.setattr(minhash, "STEPS", (1, 3, 1 << 60))
+    monkeypatch.setattr(minhash, "FIRST_RANKS", 1)
+    monkeypatch.setattr(minhash, "STEPS", (1, 1 << 60))
     base = [f"w{i}" for i in range(400)]
     texts = [" ".join(base[12 * j : 12 * j + 130]) for j in range(20)]
     df = spark.createDataFrame([(j, t) for j, t in enumerate(texts)], "doc_id long, text string")
@@ -364,6 +365,24 @@ def test_chain_of_near_copies(spark, monkeypatch):
     assert out == sorted(brute_components(list(enumerate(texts)), 2, 80)) and {c for _, _, c in out} == {0}
 
 
+def test_sketches():
+    rng = np.random.default_rng(3)
+    for size in (40, 200, 2000):
+        base = rng.integers(0, 1 << 63, size, np.uint64) * np.uint64(2)
+        sets = [np.unique(np.concatenate([base[rng.random(size) < keep], rng.integers(0, 1 << 63, int(size * (1 - keep)), np.uint64)])) for keep in np.linspace(0.3, 1, 40)]
+        full = np.full((len(sets), minhash.SKETCH), 0xFFFFFFFF, np.uint32)
+        for i, s in enumerate(sets):
+            full[i, : len(s[: minhash.SKETCH])] = s[: minhash.SKETCH] >> np.uint64(32)
+        for s in sets[::5]:
+            own = (s[: minhash.SKETCH] >> np.uint64(32)).astype(np.uint32)
+            got = minhash.may_pass(own, len(s), full, np.array([len(x) for x in sets]), 80)
+            for x, g in zip(sets, got):
+                both = len(np.intersect1d(s, x))
+                share = both / (len(s) + len(x) - both)
+                assert g if share >= 0.8 else True
+                assert not g if share < 0.6 else True
+
+
 # --- 8: exact duplicates ---
 
 
