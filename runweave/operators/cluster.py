@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from runweave.shipping import ship
+
 STRIP = 512
 
 
@@ -67,6 +69,7 @@ def _join_strips(frame: pd.DataFrame) -> pd.DataFrame:
 
 def cluster(spans: DataFrame, width: int, strip: int = STRIP) -> DataFrame:
     """mask_id, cluster_id, y, x_start, x_end: a component's id is its first run's place, y * width + x_start."""
+    ship(spans.sparkSession)
     cut = spans.select("mask_id", "y", "x_start", "x_end").withColumn("_strip", F.expr(f"y div {strip}"))
     part = cut.groupBy("mask_id", "_strip").applyInPandas(_label_strip, "mask_id long, y long, x_start long, x_end long, _ly long, _lx long")
     above = part.filter(F.expr(f"y % {strip} = {strip - 1}")).select("mask_id", (F.col("y") + 1).alias("y"), F.col("x_start").alias("_s"), F.col("x_end").alias("_e"), F.col("_ly").alias("ay"), F.col("_lx").alias("ax"))

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from runweave.operators.cluster import label_runs
+from runweave.shipping import ship
 
 SPANS = "mask_id long, y long, x_start long, x_end long"
 
@@ -40,6 +41,7 @@ def _frame(mask: int, rows: list[tuple], names: list[str]) -> pd.DataFrame:
 
 def normalize_stream(spans: DataFrame) -> DataFrame:
     """Canonical spans of the rows that a mask's stream has passed; the last row stays open."""
+    ship(spans.sparkSession)
 
     def step(key, frames, state: GroupState):
         held = [tuple(r) for r in zip(*state.get)] if state.exists else []
@@ -56,6 +58,7 @@ def normalize_stream(spans: DataFrame) -> DataFrame:
 def cluster_stream(spans: DataFrame, width: int) -> DataFrame:
     """mask_id, cluster_id, y, x_start, x_end of components that no further row can reach: those whose last row is at least
     two rows behind the stream's."""
+    ship(spans.sparkSession)
 
     def step(key, frames, state: GroupState):
         held = [tuple(r) for r in zip(*state.get)] if state.exists else []
@@ -76,6 +79,7 @@ def cluster_stream(spans: DataFrame, width: int) -> DataFrame:
 def encode_stream(ranges: DataFrame) -> DataFrame:
     """mask_id, gap, len of ranges that arrive in the order of starts; one that overlaps or touches what came before is an
     error.  What stays is each mask's last end."""
+    ship(ranges.sparkSession)
 
     def step(key, frames, state: GroupState):
         last = state.get[0] if state.exists else None
