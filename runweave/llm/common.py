@@ -10,17 +10,21 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from runweave.shipping import ship
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    ship(spark)
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = getattr(shared_folder, "own", None) or tempfile.mkdtemp(prefix="runweave-")
@@ -64,6 +68,7 @@ def drop_table(df: DataFrame) -> None:
 
 def literal_table(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
     """A small table out of driver-side values, without RDDs: JSON parsed in the plan."""
+    ship(spark)
     names = [c.strip().split(" ")[0] for c in ddl.split(",")]
     text = json.dumps([dict(zip(names, r, strict=True)) for r in rows])
     kind = "array<struct<" + ",".join(":".join(c.strip().split(" ")) for c in ddl.split(",")) + ">>"
