@@ -43,29 +43,33 @@ def sample_texts(df: DataFrame, lang: str, text: str, per_lang: int = SAMPLE, pi
 
 
 def dictionaries(samples: dict[str, list[str]], size: int = DICT_BYTES) -> dict[str, bytes]:
-    """Raw dictionary content per language, of equal sizes as far as the texts reach."""
-    joined = {lang: "\n".join(dict.fromkeys(texts)).lower().encode() for lang, texts in sorted(samples.items())}
-    least = min([size, *map(len, joined.values())])
-    return {lang: data[: max(least, 1)] for lang, data in joined.items()}
+    """Raw dictionary content per language, cut at `size` bytes and shorter only where the language's own texts are."""
+    return {lang: "\n".join(dict.fromkeys(texts)).lower().encode()[:size] for lang, texts in sorted(samples.items())}
 
 
 class Classifier:
     def __init__(self, raw: dict[str, bytes], margin: float = MARGIN, level: int = LEVEL):
         import zstandard as z
 
-        self.margin, self.langs, self.tools = margin, sorted(raw), []
-        for lang in self.langs:
-            content = z.ZstdCompressionDict(raw[lang], dict_type=z.DICT_TYPE_RAWCONTENT)
+        def tool(data: bytes):
+            data = ((data + b"\n") * -(-size // (len(data) + 1)))[:size] or b"\n"
+            content = z.ZstdCompressionDict(data, dict_type=z.DICT_TYPE_RAWCONTENT)
             content.precompute_compress(level=level)
-            self.tools.append(z.ZstdCompressor(level=level, dict_data=content, write_content_size=False))
+            return z.ZstdCompressor(level=level, dict_data=content, write_content_size=False)
 
-    def sizes(self, text: str) -> list[int]:
-        total = [0] * len(self.tools)
+        # shorter dictionaries are repeated up to the size of the longest, for size alone changes how the coder works
+        self.margin, self.langs, size = margin, sorted(raw), max(map(len, raw.values()), default=0)
+        self.tools = [tool(raw[lang]) for lang in self.langs]
+        self.short, self.neutral = {k for k, lang in enumerate(self.langs) if len(raw[lang]) < size}, [tool(b"")]
+
+    def sizes(self, text: str, tools: list | None = None) -> list[int]:
+        tools = self.tools if tools is None else tools
+        total = [0] * len(tools)
         if len(text) < SHORT:
             text = f"{text} " * (4 * SHORT // (len(text) + 1))
         for at in range(0, len(text), BLOCK):
             block = text[at : at + BLOCK].lower().encode()
-            for k, tool in enumerate(self.tools):
+            for k, tool in enumerate(tools):
                 total[k] += len(tool.compress(block))
         return total
 
@@ -76,6 +80,9 @@ class Classifier:
             return "und", 0.0, 0.0, True
         total = self.sizes(text)
         order = sorted(range(len(total)), key=lambda k: (total[k], k))
+        if self.short.intersection(order[:2]):  # a filled dictionary has to help, not just to mislead the coder less
+            least = self.sizes(text, self.neutral)[0]
+            order = [k for k in order if k not in self.short or total[k] < least]
         if len(order) == 1:
             return self.langs[order[0]], 1.0, 1.0, False
         margin = (total[order[1]] - total[order[0]]) / max(1, total[order[1]])

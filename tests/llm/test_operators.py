@@ -421,6 +421,18 @@ def test_languages(docs, odd, empty):
     assert langid.keep_identified(odd, raw).columns == odd.columns
 
 
+def test_a_language_with_one_short_document(spark, docs):
+    train = docs.filter(~langid.held_out()).select("lang", "text")
+    few = spark.createDataFrame([("xx", " "), ("yy", "Tere hommikust, kuidas läheb?")], "lang string, text string")
+    raw, plain = langid.fit(train.unionByName(few)), langid.fit(train)
+    assert set(raw) == {*plain, "xx", "yy"} and {k: raw[k] for k in plain} == plain and min(map(len, plain.values())) > 10_000
+    held = rows(docs.filter(langid.held_out()).select("text", "lang"))
+    model, before = langid.Classifier(raw), langid.Classifier(plain)
+    found, alone = ([m.classify(r["text"]) for r in held] for m in (model, before))
+    assert [f[0] for f in found] == [f[0] for f in alone]
+    assert [f[3] for f in found] == [f[3] for f in alone] and model.classify("tere hommikust")[0] == "yy"
+
+
 # --- 10: language model ---
 
 
