@@ -2,15 +2,18 @@
 
 Tokens are words (A-Z in lower case) and one end per document.  A word's subword ids put it into a class: frequent first
 ids have classes of their own, the others share some.  The model predicts the next class from the classes before it, by
-one block of masked self-attention and a feed-forward layer trained with Adam on a bounded sample of training documents;
-inside a class, a word has the probability (c + 1) / (N_class + V_class + 1) with counts over all training documents.
+one block of masked self-attention and a feed-forward layer trained with Adam on all of every training document; inside a
+class, a word has the probability (c + 1) / (N_class + V_class + 1) with counts over all training documents.
 So the score is a probability of the whole text (unknown words of a class being one event), and what the corpus adds to
 the base score is what context tells.
 
 A document is scored in windows of CONTEXT classes that overlap by OVERLAP: each token is scored once, with at least
 OVERLAP classes of context unless it stands nearer to the start; windows of many documents form one batch.
 
-Counts are gathered from all training documents.  Words with many occurrences, at most FREQUENT of them by a histogram of
+Training starts on the driver from a few documents.  From there, each task trains a copy of the model on all windows of its
+documents, and the copies are averaged by the numbers of words that they learnt from.
+
+Counts and classes are gathered from all training documents.  Words with many occurrences, at most FREQUENT of them by a histogram of
 the counts, are broadcast; the counts of all others reach the documents by a join.
 """
 
@@ -30,14 +33,15 @@ from runweave.llm.token_ids import Seen, encoder, slices, vocabulary_path
 CLASSES, SHARED = 40, 8  # the last class is the end; SHARED classes take the ids without a class of their own
 CONTEXT, OVERLAP, WIDTH, HIDDEN = 32, 8, 16, 32
 FREQUENT = 131_072
-SAMPLE, SAMPLE_WORDS = 600, 2000  # documents and words of each that the model is fitted to: the documented bound
+SAMPLE, SAMPLE_WORDS = 600, 2000  # documents and words of each that the training starts from
 STEPS, BATCH, RATE = 400, 96, 0.01
+BLOCKS = 64  # of a step over whole texts; larger batches take more CPU a block
 END = CLASSES - 1
 MOST_COUNTED = 300_000
 
 
-def class_table(counts: Counter, size: int) -> np.ndarray:
-    """Class by first subword id."""
+def class_table(counts: dict[int, int], size: int) -> np.ndarray:
+    """Class by first subword id, out of the ids' counts."""
     table = np.arange(size) % SHARED
     for c, (i, _) in enumerate(sorted(counts.items(), key=lambda x: (-x[1], x[0]))[: CLASSES - 1 - SHARED]):
         table[i] = SHARED + c
@@ -47,13 +51,13 @@ def class_table(counts: Counter, size: int) -> np.ndarray:
 class Words:
     """A worker's word classes, remembered."""
 
-    def __init__(self, path: str, table: np.ndarray):
+    def __init__(self, path: str, table: np.ndarray | None = None):
         tool = encoder(path)
         self.tool, self.dtype, self.table = tool, tool.dtype, table
-        self.classes = Seen(self._class)
+        self.classes = Seen(lambda word: int(self.table[self.first(word)]))
 
-    def _class(self, word: bytes) -> int:
-        return int(self.table[np.frombuffer(self.tool.rest[word.decode()][: self.dtype.itemsize], self.dtype)[0]])
+    def first(self, word: bytes) -> int:
+        return int(np.frombuffer(self.tool.rest[word.decode()][: self.dtype.itemsize], self.dtype)[0])
 
     def turn(self) -> None:
         for seen in (self.classes, self.tool.rest, self.tool.parts):
@@ -129,8 +133,7 @@ class Model:
         for name, d in (("Q", dq), ("K", dk), ("V", dv)):
             g[name] = flat(h0).T @ flat(d)
         g["P"] = dh0.sum(0)
-        g["E"] = np.zeros_like(p["E"])
-        np.add.at(g["E"], x, dh0)
+        g["E"] = np.eye(CLASSES + 1, dtype=dh0.dtype)[x.ravel()].T @ flat(dh0)
         return loss, g
 
     def fit(self, sequences: list[np.ndarray], steps: int = STEPS, seed: int = 11) -> float:
@@ -139,19 +142,66 @@ class Model:
         if not pieces:
             return float("nan")
         x, y, w = (np.concatenate([p[k] for p in pieces]) for k in range(3))
-        rng, m, v, losses = np.random.default_rng(seed), {k: np.zeros_like(a) for k, a in self.p.items()}, {k: np.zeros_like(a) for k, a in self.p.items()}, []
+        rng, adam, losses = np.random.default_rng(seed), Adam(self), []
         for t in range(1, steps + 1):
             some = rng.integers(0, len(x), BATCH)
-            loss, g = self.gradients(x[some], y[some], w[some])
-            losses.append(loss)
-            rate = RATE * min(1, 2 * (1 - t / (steps + 1)))
-            for k in self.p:
-                m[k] = 0.9 * m[k] + 0.1 * g[k]
-                v[k] = 0.99 * v[k] + 0.01 * g[k] ** 2
-                self.p[k] -= (rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.99**t)) + 1e-8)).astype(np.float32)
+            losses.append(adam.step(x[some], y[some], w[some], RATE * min(1, 2 * (1 - t / (steps + 1)))))
         return float(np.mean(losses[-50:]))
 
 
+class Adam:
+    """Adam's moments for a model's parameters."""
+
+    def __init__(self, model: Model):
+        self.model, self.t = model, 0
+        self.m, self.v = ({k: np.zeros_like(a) for k, a in model.p.items()} for _ in range(2))
+
+    def step(self, x: np.ndarray, y: np.ndarray, w: np.ndarray, rate: float) -> float:
+        loss, g = self.model.gradients(x, y, w)
+        self.t += 1
+        m, v, p = self.m, self.v, self.model.p
+        for k in p:
+            m[k] = 0.9 * m[k] + 0.1 * g[k]
+            v[k] = 0.99 * v[k] + 0.01 * g[k] ** 2
+            p[k] -= (rate * (m[k] / (1 - 0.9**self.t)) / (np.sqrt(v[k] / (1 - 0.99**self.t)) + 1e-8)).astype(np.float32)
+        return loss
+
+
+class Learner:
+    """Trains a model on every block of the sequences it is given, each once, in batches of mixed blocks."""
+
+    def __init__(self, model: Model, seed: int = 13):
+        self.model, self.adam, self.rng, self.rest, self.learnt = model, Adam(model), np.random.default_rng(seed), [], 0
+
+    def _step(self, x: np.ndarray, y: np.ndarray, w: np.ndarray) -> None:
+        t = self.adam.t + 1
+        self.adam.step(x, y, w, RATE * min(1, t / 20) / np.sqrt(1 + t / 100))
+        self.learnt += int(w.sum())
+
+    def learn(self, sequences: list[np.ndarray], last: bool = False) -> None:
+        pieces = [*self.rest, *map(blocks, sequences)]
+        if not pieces:
+            return
+        parts = tuple(np.concatenate([p[k] for p in pieces]) for k in range(3))
+        order = self.rng.permutation(len(parts[0]))
+        full = len(order) // BLOCKS * BLOCKS
+        for at in range(0, full, BLOCKS):
+            self._step(*(p[order[at : at + BLOCKS]] for p in parts))
+        self.rest = [tuple(p[order[full:]] for p in parts)] if full < len(order) else []
+        if last and self.rest:
+            self._step(*self.rest.pop())
+
+
+def blocks(classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A document's classes as windows() has them, in blocks that don't overlap: inputs, targets, and which places count."""
+    n = OVERLAP + len(classes) + 1
+    x, y, w = np.full(-(-n // CONTEXT) * CONTEXT, CLASSES, np.int16), np.zeros(-(-n // CONTEXT) * CONTEXT, np.int16), np.zeros(-(-n // CONTEXT) * CONTEXT, bool)
+    x[OVERLAP], x[OVERLAP + 1 : n] = END, classes
+    y[OVERLAP : n - 1], y[n - 1] = classes, END
+    w[OVERLAP:n] = True
+    return x.reshape(-1, CONTEXT), y.reshape(-1, CONTEXT), w.reshape(-1, CONTEXT)
+
+
 def windows(classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Overlapping windows of a document's classes (without the end): inputs, targets, and which places are scored.
 
@@ -190,8 +240,8 @@ def held_out(key: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit(""))) % 7 == 2
 
 
-def word_counts(train: DataFrame, path: str, table: np.ndarray, text: str = "text") -> DataFrame:
-    """word (binary; a line feed stands for the end), n and cls, over all rows."""
+def word_counts(train: DataFrame, path: str, text: str = "text") -> DataFrame:
+    """word (binary; a line feed stands for the end), n and its first subword id (-1 for the end), over all rows."""
 
     def count(batches):
         seen = Counter()
@@ -209,29 +259,72 @@ def word_counts(train: DataFrame, path: str, table: np.ndarray, text: str = "tex
                     seen = Counter()
         yield out()
 
-    def classed(batches):
-        words = Words(path, table)
+    def with_id(batches):
+        words = Words(path)
         for batch in batches:
             for part in slices(batch, 4096):
                 words.turn()
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([END if w == b"\n" else words.classes[w] for w in part.column(0).to_pylist()], pa.int32())], names=["word", "n", "cls"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([-1 if w == b"\n" else words.first(w) for w in part.column(0).to_pylist()], pa.int32())], names=["word", "n", "first"])
 
     counts = train.select(text).mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return stage_table(counts.mapInArrow(classed, "word binary, n long, cls int"), "word-counts")
+    return stage_table(counts.mapInArrow(with_id, "word binary, n long, first int"), "word-counts")
+
 
+class Index(dict):
+    """Places of frequent words, and -1 minus the class of every other one."""
 
-def fit_model(train: DataFrame, path: str, key: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> tuple[np.ndarray, Model]:
-    """Class table and model, from the `sample` training documents whose keys hash lowest, up to SAMPLE_WORDS words of each."""
+    def __init__(self, order: dict[bytes, int], words: Words):
+        super().__init__(order)
+        self.words = words
+
+    def __missing__(self, word: bytes) -> int:
+        return -1 - self.words.classes[word]
+
+    def sequence(self, tokens: list[bytes], cls: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The tokens' places, which of them are frequent, and their classes."""
+        at = np.fromiter(map(self.__getitem__, tokens), np.int32, len(tokens))
+        often = at >= 0
+        return at, often, np.where(often, cls[at] if len(cls) else 0, -1 - at).astype(np.int16)
+
+
+def start_model(train: DataFrame, path: str, table: np.ndarray, key: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> Model:
+    """A model fitted to the `sample` training documents whose keys hash lowest, up to SAMPLE_WORDS words of each."""
     chosen = [r["h"] for r in train.select(F.xxhash64(key).alias("h")).orderBy("h").limit(sample).collect()]
     rows = train.filter(F.xxhash64(key).isin(chosen)).select(F.xxhash64(key).alias("h"), F.xxhash64(text).alias("t"), F.substring(text, 1, 16 * SAMPLE_WORDS).alias("text")).orderBy("h", "t").limit(sample).collect() if chosen else []
-    texts = [lower_words(r["text"])[:SAMPLE_WORDS] for r in rows]
-    tool = encoder(path)
-    first = lambda w: int(np.frombuffer(tool.rest[w.decode()][: tool.dtype.itemsize], tool.dtype)[0])
-    ids = [[first(w) for w in t] for t in texts]
-    table = class_table(Counter(i for t in ids for i in t), tool.size)
-    model = Model()
-    model.fit([table[np.array(t, np.int64)] for t in ids])
-    return table, model
+    words, model = Words(path, table), Model()
+    model.fit([np.array([words.classes[w] for w in lower_words(r["text"])[:SAMPLE_WORDS]], np.int16) for r in rows])
+    return model
+
+
+def fit_model(train: DataFrame, path: str, table: np.ndarray, order: dict[bytes, int], cls: np.ndarray, key: str = "doc_id", text: str = "text") -> Model:
+    """A model trained on all of every training document.  Each task goes on from start_model() through all its documents;
+    the mean of the tasks' parameters, by the numbers of targets, is the model.  Only sums per parameter reach the driver."""
+    model = start_model(train, path, table, key, text)
+    shared = train.sparkSession.sparkContext.broadcast((order, cls, model, table))
+
+    def learn(batches):
+        order, cls, model, table = shared.value
+        own = Model()
+        own.p = {k: a.copy() for k, a in model.p.items()}
+        words = Words(path, table)
+        index, learner = Index(order, words), Learner(own)
+        for batch in batches:
+            for part in slices(batch):
+                words.turn()
+                learner.learn([index.sequence(lower_words(t), cls)[2] for t in part.column(0).to_pylist()])
+        learner.learn([], last=True)
+        if learner.learnt:
+            flat = np.concatenate([a.ravel() for a in own.p.values()]).astype(np.float64) * learner.learnt
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat) + 1), pa.int32()), pa.array(np.append(flat, learner.learnt), pa.float64())], names=["at", "part"])
+
+    sums = train.select(text).mapInArrow(learn, "at int, part double").groupBy("at").agg(F.sum("part").alias("sum")).collect()
+    if sums:
+        flat = np.array([r["sum"] for r in sorted(sums, key=lambda r: r["at"])])
+        flat = (flat[:-1] / flat[-1]).astype(np.float32)
+        for k, a in model.p.items():
+            model.p[k], flat = flat[: a.size].reshape(a.shape), flat[a.size :]
+    shared.unpersist()
+    return model
 
 
 def score_documents(df: DataFrame, train: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -240,11 +333,14 @@ def score_documents(df: DataFrame, train: DataFrame, path: str, key: str = "doc_
     A null text is one end; null keys and repeated rows stay as they are; without training rows all words are unknown and N
     is 0; an empty df gives an empty result; other columns are not looked at."""
     spark = df.sparkSession
-    table, model = fit_model(train, path, key, text)
-    counts = word_counts(train, path, table, text)
-    by_class = {r["cls"]: (r["n"], r["v"]) for r in counts.groupBy("cls").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()}
-    n, v = sum(x for x, _ in by_class.values()), sum(x for _, x in by_class.values())
-    norm = np.array([log10(sum(by_class.get(c, (0, 0))) + 1) for c in range(CLASSES)])
+    counts = word_counts(train, path, text)
+    by_id = {r["first"]: (r["n"], r["v"]) for r in counts.groupBy("first").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()}
+    table = class_table({i: x for i, (x, _) in by_id.items() if i >= 0}, encoder(path).size)
+    n, v = sum(x for x, _ in by_id.values()), sum(x for _, x in by_id.values())
+    inside = [0] * CLASSES
+    for i, x in by_id.items():
+        inside[END if i < 0 else table[i]] += sum(x)
+    norm = np.array([log10(x + 1) for x in inside])
     base = log10(n + v + 1)
     # the least count for which at most FREQUENT words remain, from a histogram of a few hundred rows
     steps = F.floor(F.log2("n") * 16).cast("int")
@@ -256,7 +352,10 @@ def score_documents(df: DataFrame, train: DataFrame, path: str, key: str = "doc_
         least = r["least"]
     top = counts.filter(F.col("n") >= (least or 1 << 62)).toArrow()
     order = dict(zip(top["word"].to_pylist(), range(top.num_rows)))
-    shared = spark.sparkContext.broadcast((order, np.log10(np.asarray(top["n"], dtype=np.float64) + 1), np.asarray(top["cls"], dtype=np.int16), model, table))
+    ids = np.asarray(top["first"], dtype=np.int64)
+    cls = np.where(ids < 0, END, table[ids]).astype(np.int16)
+    model = fit_model(train, path, table, order, cls, key, text)
+    shared = spark.sparkContext.broadcast((order, np.log10(np.asarray(top["n"], dtype=np.float64) + 1), cls, model, table))
 
     def score(batches):
         order, logs, cls, model, table = shared.value
@@ -264,20 +363,14 @@ def score_documents(df: DataFrame, train: DataFrame, path: str, key: str = "doc_
         end_log = logs[order[b"\n"]] if b"\n" in order else 0.0
         known_end = b"\n" in order
 
-        class Index(dict):
-            def __missing__(self, word):
-                return -1 - words.classes[word]
-
-        index = Index(order)
+        index = Index(order, words)
         for batch in batches:
             for part in slices(batch):
                 words.turn()
                 rows, rare, sequences = [], [], []
                 for rid, k, t in zip(*(c.to_pylist() for c in part.columns)):
                     tokens = lower_words(t)
-                    at = np.fromiter(map(index.__getitem__, tokens), np.int32, len(tokens))
-                    often = at >= 0
-                    seq = np.where(often, cls[at] if len(cls) else 0, -1 - at).astype(np.int16)
+                    at, often, seq = index.sequence(tokens, cls)
                     sequences.append(seq)
                     rare += [(rid, w, c) for w, c in Counter(map(tokens.__getitem__, np.flatnonzero(~often).tolist())).items()]
                     inner = norm[seq].sum() + norm[END]

@@ -496,3 +496,27 @@ def test_model_beats_the_base(docs):
     out = rows(lm.score_documents(docs, docs.filter(~lm.held_out()), PATH))
     held = [r for r in out if zlib.crc32(str(r["doc_id"]).encode()) % 7 == 2]
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
+
+
+def test_model_learns_from_whole_documents(spark):
+    """The words' order shows only after the part that the training starts from."""
+    names, rng = "time people water house world school family city night group money story".split(), np.random.default_rng(5)
+    train = [(i, " ".join([*rng.choice(names, lm.SAMPLE_WORDS), *names * 250])) for i in range(200)]
+    df = spark.createDataFrame(train, "doc_id long, text string").repartition(2)
+    test = spark.createDataFrame([(1, " ".join(names * 50)), (2, " ".join(rng.choice(names, 600)))], "doc_id long, text string")
+    ordered, mixed = (r["score"] / r["n_tokens"] for r in sorted(rows(lm.score_documents(test, df, PATH)), key=lambda r: r["doc_id"]))
+    assert ordered > -0.8 and ordered > mixed + 0.3
+
+
+def test_every_target_is_learnt_once():
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 22, 23, 24, 100):
+        seq = rng.integers(0, lm.CLASSES - 1, n)
+        x, y, w = lm.blocks(seq)
+        assert y[w].tolist() == [*seq, lm.END] and x[w].tolist() == [lm.END, *seq]
+    many = [rng.integers(0, lm.CLASSES - 1, n) for n in (0, 5, 7000, 300)]
+    learner = lm.Learner(lm.Model())
+    for part in ([], many[:2], many[2:]):
+        learner.learn(part)
+    learner.learn([], last=True)
+    assert learner.learnt == sum(map(len, many)) + len(many) and not learner.rest
