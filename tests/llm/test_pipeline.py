@@ -66,3 +66,10 @@ def test_pipeline(spark, docs):
 def test_pipeline_on_odd_rows(spark, request, table):
     stages = dict(play(spark, request.getfixturevalue(table)))
     assert stages["packing"].count() >= 0
+
+
+def test_bench_times_every_corpus_query():
+    import __spark_entry__
+    import bench
+
+    assert {n for n in __spark_entry__.queries() if n == "pipeline" or n.startswith("op")} <= set(bench.HEADLINE)
