@@ -1,45 +1,58 @@
 """MinHash near-duplicates by a signature-coordinate inverted join.
 
-Documents with equal shingle sets form a class, and only classes go on.  A class is posted under each of the first
-PREFIX coordinates of its signature together with the coordinate's value; two classes with Jaccard similarity s share none
-of these lists with probability (1 - s) ** PREFIX (1e-7 at 0.8), so all else meets.  Lists are kept by set size, and what
-is too small or too large for the threshold is skipped; of what meets, the coinciding coordinates are counted over the
-whole signature and pairs below MATCHES (of COORDS) are left (4e-6 of the pairs at exactly 0.8 are lost; fewer above).
-Pairs that remain are confirmed on the full shingle sets.
+Documents with equal shingle sets form a class, and only classes go on.  A class's signature is a set of COORDS pairs of
+a coordinate and its value.  Two classes are compared if at least `least_matches` of their pairs coincide, so of each class
+only a prefix needs to be posted: its pairs in one order, rarest first, but for the last `least_matches - 1`.  Two classes with
+that many pairs in common share one of their prefixes' pairs for certain; pairs that a single class has take places of the
+prefix and need no list, so most classes without company are posted nowhere.  Lists are kept by set size, and what is too
+small or too large for the threshold is skipped; of what meets, the coinciding pairs are counted over the whole signature.
+At similarity 0.8, 4e-6 of the links are lost that way, fewer above; what remains is decided on the full shingle sets.
+`exact=True` posts the rarest shingles themselves, as many as the threshold asks for, and loses none.
 
 Only components are asked for, so a link inside a component that is already known need not be looked at:
 
-1. Each list's hub (the class with most company over all its lists) is compared with the list's other members.
-2. In each list that still holds several components, members outside the hub's component are compared with the few
-   members of other components that match best.
-3. What still has matches in other components gets a sketch, the SKETCH smallest hashes of its set. All pairs that are left
-   are compared by sketches (which decide alone where sets are no larger), and only those that may pass are confirmed.
+1. Each list has a hub, the class with most company.  Each class is compared with the hub that it matches best.
+2. Classes that still match one of another component are involved; those that meet in lists form groups.
+3. The full sets of a group's members are dealt over as many tasks as their size asks for; each member outside the group's
+   largest component visits all of these, where its intersections with all members are counted.  A task joins components as
+   it finds links, so it returns fewer links than it has members.
 
-No list is ever held by one task: hubs come from an aggregate, and after that the members are dealt over as many tasks as the
-list's length asks for, to each of which the members outside the hub's component are sent.  Texts move once into a table
-of what has company, and once with each pair to be confirmed.
+No list or group is held by one task: hubs come from an aggregate, and members are dealt by size.  Texts move once into a
+table of what has company, and once to the hub or the group that they are compared in.
 """
 
 from __future__ import annotations
 
+from math import comb
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runweave.llm.common import documents, stage_table
+from runweave.llm.common import documents, drop_table, stage_table
 from runweave.llm.substring_dedup import FIRST, gram_hashes, mix, word_hashes
 from runweave.llm.token_ids import parts_of, slices
 
-COORDS, PREFIX, MATCHES = 64, 10, 36
+COORDS = 64
+LOSS = 5e-6  # share of the links at the threshold that signatures may miss
 CHUNK = 4096  # members of a list that one task compares
+CHUNK_SHINGLES = 1 << 17  # of a group's sets that one task holds, about
 HUB_SALTS = 500  # members that one task compares with a hub, about
-FIRST_RANKS = 8  # partners that a class is compared with before sketches are fetched
-STEPS = (256, 1 << 60)
-SKETCH, DOUBT = 256, 13  # smallest hashes of a set; what the similarity that they show may be off by, in hundredths
+HEAVY = 4096  # classes with over 1 / HEAVY of all rows are joined by a broadcast: there are fewer than HEAVY
 SIGNATURE_SEED = 20260101
 
 
+def least_matches(threshold: int) -> int:
+    """The most coinciding coordinates that all but LOSS of the pairs at the threshold have."""
+    s, below = threshold / 100, 0.0
+    for m in range(COORDS + 1):
+        below += comb(COORDS, m) * s**m * (1 - s) ** (COORDS - m)
+        if below > LOSS:
+            return m
+    return COORDS
+
+
 def shingle_set(text: str | None, k: int) -> np.ndarray:
     """Sorted distinct hashes of the k-word shingles of a text with A-Z in lower case; of all its words if they are fewer."""
     words = word_hashes((text or "").encode().lower())
@@ -70,7 +83,7 @@ def _keyed(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def _signed(docs: DataFrame, k: int) -> DataFrame:
-    """k, th, n (set size), f1 and f2 (fingerprint of the set), keys (of the lists) and sig (a byte per coordinate)."""
+    """k, th, n (set size), f1 and f2 (fingerprint of the set), mins (COORDS 32-bit integers) and sig (a byte of each)."""
 
     def run(batches):
         for batch in batches:
@@ -81,34 +94,76 @@ def _signed(docs: DataFrame, k: int) -> DataFrame:
                     sig = signature(s)
                     with np.errstate(over="ignore"):
                         f1, f2 = mix(s).sum(dtype=np.uint64), mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)
-                        lists = mix(sig[:PREFIX].astype(np.uint64) | np.arange(1, PREFIX + 1, dtype=np.uint64) << np.uint64(40)).view(np.int64)
-                    rows.append((len(s), int(f1.view(np.int64)), int(f2.view(np.int64)), lists if len(s) else [], sig.astype(np.uint8).tobytes()))
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array([r[c] for r in rows], kind) for c, kind in enumerate(kinds))], names=["k", "th", "n", "f1", "f2", "keys", "sig"])
+                    rows.append((len(s), int(f1.view(np.int64)), int(f2.view(np.int64)), sig.astype("<u4").tobytes(), sig.astype(np.uint8).tobytes()))
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array([r[c] for r in rows], kind) for c, kind in enumerate(kinds))], names=["k", "th", "n", "f1", "f2", "mins", "sig"])
+
+    return docs.mapInArrow(run, "k long, th long, n long, f1 long, f2 long, mins binary, sig binary")
+
+
+def _signature_pairs(classes: DataFrame) -> DataFrame:
+    """cid, token: a class's pairs of coordinate and value."""
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, 1024):
+                mins = np.frombuffer(b"".join(part.column(1).to_pylist()), "<u4").astype(np.int64).reshape(-1, COORDS)
+                token = mins | np.arange(COORDS, dtype=np.int64) << 32
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.asarray(part.column(0)), COORDS)), pa.array(token.ravel())], names=["cid", "token"])
+
+    return classes.select("cid", "mins").mapInArrow(run, "cid long, token long")
+
+
+def _shingle_pairs(classes: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """cid, token: a class's shingles."""
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch):
+                for cid, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    own = shingle_set(t, k).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), cid, np.int64)), pa.array(own)], names=["cid", "token"])
+
+    return texts.select("cid", "t").mapInArrow(run, "cid long, token long")
+
 
-    return docs.mapInArrow(run, "k long, th long, n long, f1 long, f2 long, keys array<long>, sig binary")
+def _prefixes(classes: DataFrame, tokens: DataFrame, size, prefix) -> DataFrame:
+    """cid, company, lists: of each class's tokens in the order of frequency, those of its first `prefix` that others have too.
 
+    `size`: tokens that a class has in all."""
+    counts = stage_table(tokens.groupBy("token").agg(F.count("*").alias("freq")).filter("freq > 1"), "token-counts")
+    shared = tokens.join(counts, "token").groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("freq", "token"))).alias("all"))
+    room = (prefix - size + F.size("all")).cast("int")
+    first = F.slice("all", 1, F.greatest(room, F.lit(0)))
+    out = shared.join(classes.select("cid", "n"), "cid").withColumn("first", first).filter(F.size("first") > 0)
+    out = stage_table(out.select("cid", F.aggregate("first", F.lit(0).cast("long"), lambda x, y: x + y["freq"]).alias("company"), F.col("first.token").alias("lists")), "prefixes")
+    drop_table(counts)
+    return out
 
-def _similar(part: pa.RecordBatch, names: tuple[str, str], sizes: tuple[str, str], threshold: int) -> pa.RecordBatch:
-    """The rows whose two signatures match and whose sizes allow the threshold."""
+
+def _similar(part: pa.RecordBatch, names: tuple[str, str], sizes: tuple[str, str], threshold: int, least: int) -> tuple[pa.RecordBatch, np.ndarray]:
+    """The rows whose two signatures match and whose sizes allow the threshold, and their matches."""
     a, b = (np.frombuffer(b"".join(part.column(part.schema.get_field_index(c)).to_pylist()), np.uint8).reshape(-1, COORDS) for c in names)
     x, y = (np.asarray(part.column(part.schema.get_field_index(c))) for c in sizes)
-    return part.filter(pa.array((matches(a, b) >= MATCHES) & (100 * np.minimum(x, y) >= threshold * np.maximum(x, y))))
+    m = matches(a, b)
+    ok = (m >= least) & (100 * np.minimum(x, y) >= threshold * np.maximum(x, y))
+    return part.filter(pa.array(ok)), m[ok]
 
 
 def _confirm(pairs: DataFrame, texts: DataFrame, k: int, threshold: int) -> DataFrame:
-    """Of pairs (a, ah, b, bh), those with 100 * intersection >= threshold * union on the full sets: a, b."""
+    """Of pairs (a, b), those with 100 * intersection >= threshold * union on the full sets."""
     parts = parts_of(pairs.sparkSession)
-    pairs = pairs.withColumn("salt", F.pmod(F.xxhash64("a", "ah"), F.floor((F.col("company") - 1) / HUB_SALTS) + 1))
-    members = pairs.join(texts, (F.col("a") == F.col("k")) & (F.col("ah") == F.col("th"))).select("b", "bh", "salt", F.col("a"), "t")
-    hubs = pairs.select("b", "bh", "salt").distinct().join(texts, (F.col("b") == F.col("k")) & (F.col("bh") == F.col("th"))).select("b", "bh", "salt", F.lit(None).cast("long").alias("a"), "t")
+    crowd = pairs.groupBy("b").agg(F.count("*").alias("company"))
+    pairs = pairs.join(crowd, "b").withColumn("salt", F.pmod(F.xxhash64("a"), F.floor((F.col("company") - 1) / HUB_SALTS) + 1))
+    members = pairs.join(texts, pairs["a"] == texts["cid"]).select("b", "salt", "a", "t")
+    hubs = pairs.select("b", "salt").distinct().join(texts, F.col("b") == texts["cid"]).select("b", "salt", F.lit(None).cast("long").alias("a"), "t")
 
     def run(batches):
         hub = None
         for batch in batches:
             for part in slices(batch):
                 out = []
-                for b, a, t in zip(*(part.column(c).to_pylist() for c in (0, 3, 4))):
+                for b, a, t in zip(*(part.column(c).to_pylist() for c in (0, 2, 3))):
                     own = shingle_set(t, k)
                     if a is None:
                         hub = own
@@ -119,231 +174,273 @@ def _confirm(pairs: DataFrame, texts: DataFrame, k: int, threshold: int) -> Data
                 yield pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], pa.int64()) for c in (0, 1)], names=["a", "b"])
 
     # a hub comes before its members in its task: a null sorts first
-    both = members.unionByName(hubs).repartition(parts, "b", "bh", "salt").sortWithinPartitions("b", "bh", "salt", F.col("a").asc_nulls_first())
+    both = members.unionByName(hubs).repartition(parts, "b", "salt").sortWithinPartitions("b", "salt", F.col("a").asc_nulls_first())
     return both.mapInArrow(run, "a long, b long")
 
 
 def merge_labels(labels: DataFrame, edges: DataFrame) -> DataFrame:
     """labels (node, label) after joining what the edges (a, b) link; each label is its component's smallest node.
 
-    Labels hook onto smaller ones and chains of hooks are shortened until nothing moves; every step is written down."""
+    Labels hook onto smaller ones and chains of hooks are shortened until nothing moves; every step is written down, and
+    dropped once the next one is.  The table that `labels` is read from stays."""
+    first = labels
     while True:
         of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}"))
         apart = edges.join(of("a"), "a").join(of("b"), "b").filter("la != lb")
         apart = stage_table(apart.select("a", "b", F.greatest("la", "lb").alias("high"), F.least("la", "lb").alias("low")), "edges")
+        if hasattr(edges, "staged_path"):
+            drop_table(edges)
         if apart.isEmpty():
+            drop_table(apart)
             return labels
-        edges = apart.select("a", "b")
         hooks = stage_table(apart.groupBy("high").agg(F.min("low").alias("low")), "hooks")
         while True:
             onward = hooks.select(F.col("high").alias("low"), F.col("low").alias("lower"))
             jumped = stage_table(hooks.join(onward, "low", "left").select("high", F.coalesce("lower", "low").alias("low"), F.col("lower").isNotNull().alias("moved")), "hooks")
-            hooks = jumped.select("high", "low")
+            drop_table(hooks)
+            hooks = jumped
             if jumped.filter("moved").isEmpty():
                 break
-        labels = labels.join(hooks, labels["label"] == hooks["high"], "left").select("node", F.coalesce("low", "label").alias("label"))
-        labels = stage_table(labels, "labels")
+        merged = labels.join(hooks.select("high", "low"), labels["label"] == hooks["high"], "left").select("node", F.coalesce("low", "label").alias("label"))
+        merged = stage_table(merged, "labels")
+        drop_table(hooks)
+        if labels is not first:
+            drop_table(labels)
+        labels, path = merged, apart.staged_path
+        edges = apart.select("a", "b")
+        edges.staged_path = path
 
 
-def near_components(df: DataFrame, k: int = 5, threshold: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n_shingles, component_id (the smallest key reachable by links of similarity threshold / 100 or more) and kept
-    (whether that is the row's own), for every row.
+class _Chunk:
+    """The members of a list's chunk, by set size: (n, cid, label, signature) of each."""
 
-    Null and wordless texts have no shingles and link with nothing; a null key counts as smaller than all others and gives a
-    null component_id; rows that share a key are documents of their own, but components whose smallest keys coincide are
-    one.  An empty table gives an empty result; other columns are not looked at."""
-    docs = _keyed(df, key, text)
-    signed = stage_table(_signed(docs, k), "signatures")
-    same = ["n", "f1", "f2"]
-    classes = signed.filter("n > 0").groupBy(*same).agg(F.min(F.struct("k", "th")).alias("rep"), F.first("keys").alias("keys"), F.first("sig").alias("sig"))
-    classes = stage_table(classes.select(*same, F.col("rep.k").alias("a"), F.col("rep.th").alias("ah"), "keys", "sig"), "classes")
-    posted = classes.select("a", "ah", "n", "sig", F.explode("keys").alias("list"))
-    lengths = posted.groupBy("list").agg(F.count("*").alias("members")).filter("members > 1")
-    posted = stage_table(posted.join(stage_table(lengths, "lists"), "list"), "postings")
-    company = posted.groupBy("a", "ah").agg(F.sum("members").alias("company"))
-    company = stage_table(company, "company")
-    texts = docs.join(company.select(F.col("a").alias("k"), F.col("ah").alias("th")), ["k", "th"], "left_semi").groupBy("k", "th").agg(F.first("t").alias("t"))
-    texts = stage_table(texts, "company-texts")
+    def __init__(self, members: list[tuple]):
+        self.sig = np.frombuffer(b"".join(r[3] for r in members), np.uint8).reshape(-1, COORDS)
+        self.n, self.cid, self.label = (np.array([r[c] for r in members]) for c in range(3))
+        self.met = np.zeros(len(members), bool)
 
-    def similar(batches):
-        for batch in batches:
-            for part in slices(batch, 4096):
-                yield _similar(part, ("sig", "sig2"), ("n", "n2"), threshold).select(["a", "ah", "b", "bh"])
-
-    def confirmed(pairs: DataFrame) -> DataFrame | None:
-        pairs = stage_table(pairs.distinct(), "pairs")
-        if pairs.isEmpty():
-            return None
-        crowd = pairs.groupBy("b", "bh").agg(F.count("*").alias("company")).withColumnsRenamed({"b": "b3", "bh": "bh3"})
-        return stage_table(_confirm(pairs.join(crowd, (F.col("b") == F.col("b3")) & (F.col("bh") == F.col("bh3"))), texts, k, threshold).distinct(), "links")
-
-    ranked = posted.join(company, ["a", "ah"])
-    hub = F.max(F.struct(F.col("company"), (-F.col("a")).alias("m"), F.struct("a", "ah", "n", "sig").alias("row"))).alias("hub")
-    hubs = ranked.groupBy("list").agg(hub).select("list", F.col("hub.row.a").alias("b"), F.col("hub.row.ah").alias("bh"), F.col("hub.row.n").alias("n2"), F.col("hub.row.sig").alias("sig2"))
-    hubs = stage_table(hubs, "hubs")
-    stars = posted.join(hubs, "list").filter("(a != b OR ah != bh)")
-    links = confirmed(stars.select("a", "ah", "n", "sig", "b", "bh", "n2", "sig2").mapInArrow(similar, "a long, ah long, b long, bh long"))
-    labels = stage_table(company.select(F.col("a").alias("node"), F.col("a").alias("label")).distinct(), "labels")
-    if links is not None:
-        labels = merge_labels(labels, links)
-
-    def open_lists(rest: DataFrame) -> DataFrame:
-        """Of lists that still hold several components, the rows with their labels, the list's length and its hub's label.
-
-        A member that has joined its list's hub never leaves it, so whoever still probes has probed in every step before."""
-        rest = rest.join(labels, rest["a"] == labels["node"]).drop("node")
-        state = rest.groupBy("list").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("members")).filter("x != y")
-        state = state.join(hubs.join(labels, hubs["b"] == labels["node"]).select("list", F.col("label").alias("main")), "list")
-        return rest.join(stage_table(state.select("list", "members", "main"), "open-lists"), "list")
-
-    def dealt(rest: DataFrame, *more: str) -> DataFrame:
-        """Every row in one chunk of its list as a member, and in all chunks as a probe if it is outside the hub's component."""
-        chunks = (F.floor((F.col("members") - 1) / CHUNK) + 1).cast("int")
-        targets = rest.select("*", F.lit(False).alias("probe"), F.pmod(F.xxhash64("a", "ah"), chunks).cast("int").alias("chunk"))
-        probes = rest.filter("label != main").select("*", F.lit(True).alias("probe"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"))
-        both = targets.unionByName(probes).select("list", "chunk", "probe", "n", "a", "ah", "label", "sig", *more)
-        return both.repartition(parts_of(df.sparkSession), "list", "chunk").sortWithinPartitions("list", "chunk", "n", "a", "ah")
-
-    def joined(found: DataFrame) -> DataFrame:
-        links = confirmed(found)
-        return labels if links is None else merge_labels(labels, links)
-
-    pair = "a long, ah long, b long, bh long"
-    rest = stage_table(open_lists(posted.drop("members")), "open")
-    labels = joined(dealt(rest).mapInArrow(_groups(_best(0, FIRST_RANKS, threshold), 4), pair))
-    rest = open_lists(rest.filter(F.col("members") > FIRST_RANKS).select("list", "a", "ah", "n", "sig"))
-    involved = stage_table(dealt(rest).mapInArrow(_groups(_involved(threshold), 3), "list long, a long, ah long").distinct(), "involved")
-    if not involved.isEmpty():
-        sketches = involved.select("a", "ah").distinct().join(texts, (F.col("a") == F.col("k")) & (F.col("ah") == F.col("th"))).select("a", "ah", "t")
-        sketches = stage_table(sketches.mapInArrow(_sketched(k), "a long, ah long, sketch binary"), "sketches")
-        rest = stage_table(involved.join(posted.drop("members"), ["list", "a", "ah"]).join(sketches, ["a", "ah"]).select("list", "a", "ah", "n", "sig", "sketch"), "sketched")
-        low = 0
-        for high in STEPS:
-            own = stage_table(open_lists(rest), "open")
-            if own.isEmpty():
-                break
-            labels = joined(dealt(own, "sketch").mapInArrow(_groups(_best(low, high, threshold), 4), pair))
-            rest, low = own.filter(F.col("members") > high).select("list", "a", "ah", "n", "sig", "sketch"), high
-
-    named = classes.join(labels, classes["a"] == labels["node"], "left").select(*(F.col(c).alias(f"{c}_") for c in same), F.coalesce("label", "a").alias("label"))
-    salt, salts = F.pmod(F.xxhash64("k", F.lit(7)), F.lit(16)), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(15).cast("long")))
-    own = signed.select("k", "th", "n", "f1", "f2", salt.alias("salt"))
-    spread = named.withColumn("salt", salts)
-    out = own.join(spread, (F.col("n") == F.col("n_")) & (F.col("f1") == F.col("f1_")) & (F.col("f2") == F.col("f2_")) & (own["salt"] == spread["salt"]), "left")
-    null = lambda c: F.when(F.col(c) != FIRST, F.col(c))
-    out = out.select("k", "th", F.col("n").alias("n_shingles"), F.coalesce("label", "k").alias("label"))
-    return out.select(null("k").alias(key), "n_shingles", null("label").alias("component_id"), (F.col("k") == F.col("label")).alias("kept"), F.col("th").alias("text_hash"))
+    def meets(self, n: int, label: int, sig: bytes, threshold: int, least: int) -> bool:
+        """Whether a probe matches members of other components, which are marked; what can't reach the threshold by its size
+        is skipped."""
+        i, j = np.searchsorted(self.n, -(-threshold * n // 100)), np.searchsorted(self.n, 100 * n // threshold, side="right")
+        near = (matches(self.sig[i:j], np.frombuffer(sig, np.uint8)) >= least) & (self.label[i:j] != label)
+        self.met[i:j] |= near
+        return bool(near.any())
 
 
-def _sketched(k: int):
+def _involved(threshold: int, least: int):
+    """(list, member) of the members and probes of each (list, chunk) that match something in another component: members come
+    first, then the probes one by one."""
+
     def run(batches):
-        for batch in batches:
-            for part in slices(batch):
-                made = [(shingle_set(t, k)[:SKETCH] >> np.uint64(32)).astype("<u4").tobytes() for t in part.column(2).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(made, pa.binary())], names=["a", "ah", "sketch"])
+        group, members, held, done = None, [], None, []
 
-    return run
+        def close():
+            return [] if held is None else [(group[0], c) for c in held.cid[held.met].tolist()]
 
+        def batch_of(found):
+            return pa.RecordBatch.from_arrays([pa.array([x[c] for x in found], pa.int64()) for c in range(2)], names=["list", "cid"])
 
-def may_pass(sketch: np.ndarray, n: int, sketches: np.ndarray, sizes: np.ndarray, threshold: int) -> np.ndarray:
-    """Which of several sketches (rows, filled up with the largest value) may belong to sets similar to that of `sketch`.
+        for batch in batches:
+            for part in slices(batch, 1024):
+                for lst, chunk, probe, *row in zip(*(c.to_pylist() for c in part.columns)):
+                    if (lst, chunk) != group:
+                        done += close()
+                        group, members, held = (lst, chunk), [], None
+                    if not probe:
+                        members.append(row)
+                        continue
+                    if held is None and members:
+                        held = _Chunk(members)
+                    if held is not None and held.meets(row[0], row[2], row[3], threshold, least):
+                        done.append((lst, row[1]))
+                if len(done) > 20_000:
+                    yield batch_of(done)
+                    done = []
+        yield batch_of(done + close())
 
-    What is not above the smaller of two sketches' largest values is known of both sets; where both sketches hold the whole
-    sets, that is all, and the answer is exact up to hashes of 32 bits."""
-    top = np.uint64(1 << 32)
-    end = np.minimum(sketch[-1].astype(np.uint64) if n > SKETCH else top, np.where(sizes > SKETCH, sketches[:, -1].astype(np.uint64), top))
-    known = (np.arange(SKETCH) < sizes[:, None]) & (sketches <= end[:, None])
-    at = np.minimum(np.searchsorted(sketch, sketches), len(sketch) - 1)
-    both = (known & (sketch[at] == sketches)).sum(axis=1)
-    union = known.sum(axis=1) + np.searchsorted(sketch.astype(np.uint64), end, side="right") - both
-    doubt = np.where((sizes > SKETCH) | (n > SKETCH), DOUBT, 1)
-    return 100 * both >= (threshold - doubt) * union
+    return run
 
 
-class _Chunk:
-    """The members and probes of a list's chunk, by set size."""
-
-    def __init__(self, rows: list[tuple]):
-        self.probes = [r for r in rows if r[2]]
-        self.members = [r for r in rows if not r[2]] if self.probes else []
-        if self.members:
-            self.sig = np.frombuffer(b"".join(r[7] for r in self.members), np.uint8).reshape(-1, COORDS)
-            self.n, self.a, self.ah, self.label = (np.array([r[c] for r in self.members]) for c in (3, 4, 5, 6))
-
-    def near(self, p: tuple, threshold: int) -> tuple[np.ndarray, np.ndarray]:
-        """Places of the members that match a probe, and the matches; what can't reach the threshold by its size is skipped."""
-        i, j = np.searchsorted(self.n, -(-threshold * p[3] // 100)), np.searchsorted(self.n, 100 * p[3] // threshold, side="right")
-        m = matches(self.sig[i:j], np.frombuffer(p[7], np.uint8))
-        at = np.flatnonzero(m >= MATCHES)
-        return at + i, m[at]
-
-
-def _best(low: int, high: int, threshold: int):
-    """Each probe's pairs with members of other components among those ranked low .. high by matches."""
-
-    def close(rows: list[tuple]) -> list[tuple]:
-        chunk, out = _Chunk(rows), []
-        if not chunk.members:
-            return out
-        sketched = len(rows[0]) > 8
-        if sketched:
-            full = np.full((len(chunk.members), SKETCH), 0xFFFFFFFF, np.uint32)
-            for i, r in enumerate(chunk.members):
-                own = np.frombuffer(r[8], "<u4")
-                full[i, : len(own)] = own
-        for p in chunk.probes:
-            at, m = chunk.near(p, threshold)
-            at = at[np.lexsort((chunk.ah[at], chunk.a[at], -m))][low:high]  # ranks don't depend on labels, which change
-            at = at[chunk.label[at] != p[6]]
-            if sketched and len(at):
-                at = at[may_pass(np.frombuffer(p[8], "<u4"), p[3], full[at], chunk.n[at], threshold)]
-            out += [(p[4], p[5], chunk.members[q][4], chunk.members[q][5]) for q in at.tolist()]
+class _Sets:
+    """Members' shingle sets, against which intersections of other sets are counted all at once."""
+
+    def __init__(self, cids: list[int], labels: list[int], sets: list[np.ndarray]):
+        self.cids, self.labels, self.sizes = cids, np.array(labels), np.array([len(s) for s in sets])
+        self.known, self.places = np.unique(np.concatenate(sets), return_inverse=True)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.held = np.zeros(len(self.known), np.int64)
+        self.joined: dict[int, int] = {}
+
+    def links(self, cid: int, label: int, own: np.ndarray, threshold: int) -> list[tuple[int, int]]:
+        """Links that join the component of the set `own` with others; afterwards they are one here."""
+        at = np.minimum(np.searchsorted(self.known, own), len(self.known) - 1)
+        at = at[self.known[at] == own]
+        self.held[at] = 1
+        both = np.add.reduceat(self.held[self.places], self.starts)
+        self.held[at] = 0
+        label = self.now(label)
+        out = []
+        for i in np.flatnonzero((100 * both >= threshold * (self.sizes + len(own) - both)) & (self.labels != label)).tolist():
+            if self.labels[i] != label:
+                out.append((cid, self.cids[i]))
+                self.joined[int(self.labels[i])] = label
+                self.labels[self.labels == self.labels[i]] = label
         return out
 
-    return close
+    def now(self, label: int) -> int:
+        while label in self.joined:
+            label = self.joined[label]
+        return label
 
 
-def _involved(threshold: int):
-    """The members and probes that still match something in another component."""
+def _linked(threshold: int):
+    """Links among the members and probes of each (group, chunk): members come first, then the probes one by one."""
 
-    def close(rows: list[tuple]) -> list[tuple]:
-        chunk = _Chunk(rows)
-        if not chunk.members:
-            return []
-        met, own = np.zeros(len(chunk.members), bool), []
-        for p in chunk.probes:
-            at, _ = chunk.near(p, threshold)
-            at = at[chunk.label[at] != p[6]]
-            if len(at):
-                met[at] = True
-                own.append((p[0], p[4], p[5]))
-        return own + [(rows[0][0], r[4], r[5]) for r, x in zip(chunk.members, met.tolist(), strict=True) if x]
+    def run(batches):
+        group, members, held, done = None, [], None, []
 
-    return close
+        def batch_of(found):
+            return pa.RecordBatch.from_arrays([pa.array([x[c] for x in found], pa.int64()) for c in range(2)], names=["a", "b"])
 
+        for batch in batches:
+            for part in slices(batch):
+                for g, chunk, probe, cid, label, raw in zip(*(c.to_pylist() for c in part.columns)):
+                    if (g, chunk) != group:
+                        group, members, held = (g, chunk), [], None
+                    own = np.frombuffer(raw, np.uint64)
+                    if not probe:
+                        members.append((cid, label, own))
+                        continue
+                    if held is None and members:
+                        held = _Sets(*map(list, zip(*members)))
+                    if held is not None:
+                        done += held.links(cid, label, own, threshold)
+                if len(done) > 20_000:
+                    yield batch_of(done)
+                    done = []
+        yield batch_of(done)
+
+    return run
 
-def _groups(close, width: int):
-    """A function for mapInArrow that calls close() with the rows of each (list, chunk), which come together."""
 
+def _with_sets(k: int):
     def run(batches):
-        group, rows, done = None, [], []
-        names = ["a", "ah", "b", "bh"] if width == 4 else ["list", "a", "ah"]
+        for batch in batches:
+            for part in slices(batch):
+                made = [shingle_set(t, k).tobytes() for t in part.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array([len(m) // 8 for m in made], pa.int64()), pa.array(made, pa.binary())], names=["g", "cid", "n", "shingles"])
 
-        def batch_of(found):
-            return pa.RecordBatch.from_arrays([pa.array([x[c] for x in found], pa.int64()) for c in range(width)], names=names)
+    return run
+
+
+def near_components(df: DataFrame, k: int = 5, threshold: int = 80, key: str = "doc_id", text: str = "text", exact: bool = False) -> DataFrame:
+    """key, n_shingles, component_id (the smallest key reachable by links of similarity threshold / 100 or more) and kept
+    (whether that is the row's own), for every row; text_hash tells rows with one key apart.
 
+    exact: shingles are posted instead of signature pairs, so that no link is missed, at the cost of more rows.
+    Null and wordless texts have no shingles and link with nothing; a null key counts as smaller than all others and gives a
+    null component_id; rows that share a key are documents of their own.  An empty table gives an empty result; other
+    columns are not looked at."""
+    docs = _keyed(df, key, text)
+    parts, least = parts_of(df.sparkSession), 0 if exact else least_matches(threshold)
+    signed = stage_table(_signed(docs, k), "signatures")
+    same = ["n", "f1", "f2"]
+    classes = signed.filter("n > 0").groupBy(*same).agg(F.min(F.struct("k", "th")).alias("rep"), F.count("*").alias("copies"), F.first("mins").alias("mins"), F.first("sig").alias("sig"))
+    classes = stage_table(classes.select(F.monotonically_increasing_id().alias("cid"), *same, F.col("rep.k").alias("a"), F.col("rep.th").alias("ah"), "copies", "mins", "sig"), "classes")
+    read = lambda some: docs.join(some.select(F.col("cid"), F.col("a").alias("k"), F.col("ah").alias("th")), ["k", "th"]).groupBy("cid").agg(F.first("t").alias("t"))
+    if exact:
+        size = F.col("n")
+        prefixes = _prefixes(classes, _shingle_pairs(classes, read(classes), k), size, size - F.ceil(size * threshold / 100) + 1)
+    else:
+        prefixes = _prefixes(classes, _signature_pairs(classes), F.lit(COORDS), F.lit(COORDS - least + 1))
+    posted = prefixes.select("cid", "company", F.explode("lists").alias("list"))
+    lengths = stage_table(posted.groupBy("list").agg(F.count("*").alias("members")).filter("members > 1"), "lists")
+    posted = posted.join(lengths, "list").join(classes.select("cid", "n", "sig"), "cid")
+    posted = stage_table(posted.select("list", "company", "cid", "n", "sig"), "postings")
+    drop_table(lengths)
+    drop_table(prefixes)
+    company = stage_table(posted.select("cid").distinct(), "company")
+    texts = stage_table(read(classes.join(company, "cid", "left_semi")), "company-texts")
+    labels = stage_table(company.select(F.col("cid").alias("node"), F.col("cid").alias("label")), "labels")
+    drop_table(company)
+
+    def similar(batches):
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if row[:2] != group:
-                    done += close(rows) if rows else []
-                    group, rows = row[:2], []
-                    if len(done) > 20_000:
-                        yield batch_of(done)
-                        done = []
-                rows.append(row)
-        yield batch_of(done + (close(rows) if rows else []))
+            for part in slices(batch, 4096):
+                found, m = _similar(part, ("sig", "sig2"), ("n", "n2"), threshold, least)
+                yield pa.RecordBatch.from_arrays([found.column(0), found.column(1), pa.array(m, pa.int64())], names=["a", "b", "m"])
 
-    return run
+    top = F.max(F.struct(F.col("company"), (-F.col("cid")).alias("m"), F.struct("cid", "n", "sig").alias("row"))).alias("hub")
+    hubs = posted.groupBy("list").agg(top).select("list", F.col("hub.row.cid").alias("b"), F.col("hub.row.n").alias("n2"), F.col("hub.row.sig").alias("sig2"))
+    hubs = stage_table(hubs, "hubs")
+    stars = posted.join(hubs, "list").filter("cid != b").select(F.col("cid").alias("a"), "b", "n", "sig", "n2", "sig2").mapInArrow(similar, "a long, b long, m long")
+    best = stars.groupBy("a").agg(F.max(F.struct("m", "b")).getField("b").alias("b"))
+    pairs = stage_table(best, "pairs")
+    links = stage_table(_confirm(pairs, texts, k, threshold), "links")
+    drop_table(pairs)
+    starred = merge_labels(labels, links)
+
+    def dealt(rest: DataFrame, group: str, chunks, *more: str) -> DataFrame:
+        """Every row in one chunk of its group as a member, and in all chunks as a probe if it is outside the main component."""
+        targets = rest.select("*", F.lit(False).alias("probe"), F.pmod(F.xxhash64("cid"), chunks).cast("int").alias("chunk"))
+        probes = rest.filter("label != main").select("*", F.lit(True).alias("probe"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"))
+        both = targets.unionByName(probes).select(group, "chunk", "probe", *more)
+        return both.repartition(parts, group, "chunk").sortWithinPartitions(group, "chunk", "probe", *more[:2])
+
+    # lists that still hold several components: their rows with labels, the list's length and its hub's label
+    rest = posted.join(starred, posted["cid"] == starred["node"]).drop("node", "company")
+    state = rest.groupBy("list").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("members")).filter("x != y")
+    state = stage_table(state.join(hubs.join(starred, hubs["b"] == starred["node"]).select("list", F.col("label").alias("main")), "list").select("list", "members", "main"), "open-lists")
+    chunks = (F.floor((F.col("members") - 1) / CHUNK) + 1).cast("int")
+    met = dealt(rest.join(state, "list"), "list", chunks, "n", "cid", "label", "sig").mapInArrow(_involved(threshold, least), "list long, cid long")
+    involved = stage_table(met.distinct(), "involved")
+    for used in (state, hubs, posted):
+        drop_table(used)
+    final = starred
+    if not involved.isEmpty():
+        nodes = stage_table(involved.select(F.col("cid").alias("node"), F.col("cid").alias("label")).distinct(), "nodes")
+        edges = involved.join(involved.groupBy("list").agg(F.min("cid").alias("b")), "list").filter("cid != b").select(F.col("cid").alias("a"), "b").distinct()
+        groups = merge_labels(nodes, stage_table(edges, "meetings"))
+        sets = groups.select(F.col("label").alias("g"), F.col("node").alias("cid")).join(texts, "cid").select("g", "cid", "t").mapInArrow(_with_sets(k), "g long, cid long, n long, shingles binary")
+        sets = stage_table(sets.join(starred, sets["cid"] == starred["node"]).drop("node"), "sets")
+        by_label = sets.groupBy("g", "label").agg(F.sum("n").alias("n"))
+        state = stage_table(by_label.groupBy("g").agg(F.sum("n").alias("total"), F.max(F.struct("n", "label")).getField("label").alias("main")), "groups")
+        chunks = (F.floor(F.col("total") / CHUNK_SHINGLES) + 1).cast("int")
+        found = dealt(sets.join(state, "g"), "g", chunks, "cid", "label", "shingles").mapInArrow(_linked(threshold), "a long, b long")
+        links = stage_table(found, "links")
+        for used in (sets, state, groups):
+            drop_table(used)
+        if groups.staged_path != nodes.staged_path:
+            drop_table(nodes)
+        final = merge_labels(starred, links)
+    drop_table(texts)
+    drop_table(involved)
+    for used in (starred, labels):
+        if used.staged_path != final.staged_path:
+            drop_table(used)
+
+    named = classes.join(final, classes["cid"] == final["node"], "left").withColumn("label", F.coalesce("label", "cid"))
+    least_key = named.groupBy("label").agg(F.min("a").alias("component"))
+    named = named.join(least_key, "label").select(*(F.col(c).alias(f"{c}_") for c in same), "component", "copies")
+    named = stage_table(named, "components")
+    for used in (classes, final):
+        drop_table(used)
+    return _named_rows(signed, named, same, key)
+
+
+def _named_rows(signed: DataFrame, named: DataFrame, same: list[str], key: str) -> DataFrame:
+    """signed's rows with their classes' components.  Classes of many copies are few and come by a broadcast; empty sets need none."""
+    own = signed.select("k", "th", *same)
+    filled, total = own.filter("n > 0"), signed.count()
+    often = F.broadcast(named.filter(F.col("copies") > total / HEAVY).drop("copies"))
+    rest = named.filter(F.col("copies") <= total / HEAVY).drop("copies")
+    on = lambda other: (F.col("n") == other["n_"]) & (F.col("f1") == other["f1_"]) & (F.col("f2") == other["f2_"])
+    kept = ["k", "th", "n", "component"]
+    out = filled.join(often, on(often)).select(*kept).unionByName(filled.join(often, on(often), "left_anti").join(rest, on(rest)).select(*kept))
+    out = out.unionByName(own.filter("n = 0").select("k", "th", "n", F.col("k").alias("component")))
+    null = lambda c: F.when(F.col(c) != FIRST, F.col(c))
+    return out.select(null("k").alias(key), F.col("n").alias("n_shingles"), null("component").alias("component_id"), (F.col("k") == F.col("component")).alias("kept"), F.col("th").alias("text_hash"))
 
 
 def keep_representatives(df: DataFrame, k: int = 5, threshold: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:

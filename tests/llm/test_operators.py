@@ -353,34 +353,60 @@ def test_near_components(request, table, k):
     assert sorted(out) == sorted(brute_components(texts, k, 80))
 
 
-def test_chain_of_near_copies(spark, monkeypatch):
-    """A group in which each text is near the next one only, so that hubs alone don't connect it; in small chunks."""
-    monkeypatch.setattr(minhash, "CHUNK", 3)
-    monkeypatch.setattr(minhash, "FIRST_RANKS", 1)
-    monkeypatch.setattr(minhash, "STEPS", (1, 1 << 60))
+def chain():
+    """Texts of which each is near the next one only, so that hubs alone don't connect them."""
     base = [f"w{i}" for i in range(400)]
-    texts = [" ".join(base[12 * j : 12 * j + 130]) for j in range(20)]
+    return [" ".join(base[12 * j : 12 * j + 130]) for j in range(20)]
+
+
+@pytest.mark.parametrize("exact", [False, True])
+def test_chain_of_near_copies(spark, monkeypatch, exact):
+    """In small chunks, so that a group's members are dealt over many tasks."""
+    monkeypatch.setattr(minhash, "CHUNK", 3)
+    monkeypatch.setattr(minhash, "CHUNK_SHINGLES", 300)
+    monkeypatch.setattr(minhash, "HUB_SALTS", 2)
+    texts = chain()
     df = spark.createDataFrame([(j, t) for j, t in enumerate(texts)], "doc_id long, text string")
-    out = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in rows(minhash.near_components(df, 2)))
+    out = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in rows(minhash.near_components(df, 2, exact=exact)))
     assert out == sorted(brute_components(list(enumerate(texts)), 2, 80)) and {c for _, _, c in out} == {0}
 
 
-def test_sketches():
+def test_near_components_exact(docs):
+    assert rows(minhash.near_components(docs, 5, exact=True).orderBy("doc_id")) == rows(minhash.near_components(docs, 5).orderBy("doc_id"))
+
+
+def test_many_copies_come_by_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "HEAVY", 4)
+    texts = ["a b c d"] * 9 + ["", None, "e f g", "e f g", "a b c d e"]
+    df = spark.createDataFrame([(j, t) for j, t in enumerate(texts)], "doc_id long, text string")
+    out = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in rows(minhash.near_components(df, 2)))
+    assert out == sorted(brute_components(list(enumerate(texts)), 2, 80))
+
+
+def test_keys_of_several_texts(spark):
+    """Rows that share a key are documents of their own: their components meet only where their texts are near."""
+    df = spark.createDataFrame([(5, "a b c d e f g"), (5, "p q r s t u v"), (7, "a b c d e f g"), (3, "p q r s t u v")], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["component_id"], r["kept"]) for r in rows(minhash.near_components(df, 2))) == [(3, 3, True), (5, 3, False), (5, 5, True), (7, 5, False)]
+
+
+def test_matches_lose_few_links():
+    from math import comb
+
+    for threshold in (50, 80, 90):
+        least = minhash.least_matches(threshold)
+        tail = lambda m, s=threshold / 100: sum(comb(minhash.COORDS, i) * s**i * (1 - s) ** (minhash.COORDS - i) for i in range(m))
+        assert tail(least) <= minhash.LOSS < tail(least + 1)
+
+
+def test_intersections_with_a_group():
     rng = np.random.default_rng(3)
-    for size in (40, 200, 2000):
-        base = rng.integers(0, 1 << 63, size, np.uint64) * np.uint64(2)
-        sets = [np.unique(np.concatenate([base[rng.random(size) < keep], rng.integers(0, 1 << 63, int(size * (1 - keep)), np.uint64)])) for keep in np.linspace(0.3, 1, 40)]
-        full = np.full((len(sets), minhash.SKETCH), 0xFFFFFFFF, np.uint32)
-        for i, s in enumerate(sets):
-            full[i, : len(s[: minhash.SKETCH])] = s[: minhash.SKETCH] >> np.uint64(32)
-        for s in sets[::5]:
-            own = (s[: minhash.SKETCH] >> np.uint64(32)).astype(np.uint32)
-            got = minhash.may_pass(own, len(s), full, np.array([len(x) for x in sets]), 80)
-            for x, g in zip(sets, got):
-                both = len(np.intersect1d(s, x))
-                share = both / (len(s) + len(x) - both)
-                assert g if share >= 0.8 else True
-                assert not g if share < 0.6 else True
+    base = rng.integers(0, 1 << 63, 300, np.uint64)
+    sets = [np.unique(np.concatenate([base[rng.random(300) < keep], rng.integers(0, 1 << 63, int(300 * (1 - keep)), np.uint64)])) for keep in np.linspace(0.6, 1, 40)]
+    for p, own in enumerate(sets):
+        held = minhash._Sets(list(range(40)), list(range(100, 140)), sets)
+        near = {i for i, s in enumerate(sets) if 100 * len(np.intersect1d(s, own)) >= 80 * len(np.union1d(s, own))}
+        assert {b for _, b in held.links(p, 100 + p, own, 80)} == near - {p}
+        assert held.links(p, 100 + p, own, 80) == [] and len({held.now(100 + i) for i in near}) == 1
 
 
 # --- 8: exact duplicates ---
