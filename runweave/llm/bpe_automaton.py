@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runweave.llm.common import documents
-from runweave.llm.token_ids import SEEN, UnitEncoder, byte_letters, slices, units_of, vocabulary_path
+from runweave.llm.token_ids import SEEN, UnitEncoder, byte_letters, slices, text_slices, units_of, vocabulary_path
 
 NEVER = 1 << 40
 
@@ -174,8 +174,10 @@ def encode_texts(df: DataFrame, path: str, key: str = "doc_id", text: str = "tex
     def run(batches):
         tool = automaton_encoder(path)
         for batch in batches:
-            for part in slices(batch):
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([tool.ids(t) for t in part.column(1).to_pylist()], pa.list_(pa.int32()))], names=[key, "ids"])
+            for part in text_slices(batch, 1):
+                ids, sizes = tool.encode_many(part.column(1))
+                ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(ends, pa.array(ids, pa.int32()))], names=[key, "ids"])
 
     return df.select(F.col(key).cast("long").alias(key), text).mapInArrow(run, f"`{key}` long, ids array<int>")
 
@@ -198,12 +200,13 @@ def round_trip(df: DataFrame, path: str, key: str = "doc_id", text: str = "text"
     def run(batches):
         tool = automaton_encoder(path)
         for batch in batches:
-            for part in slices(batch):
-                rows = []
-                for t in part.column(1).to_pylist():
-                    ids = tool.ids(t)
-                    listed = ",".join(map(tool.decimal.__getitem__, ids))
-                    rows.append((len(ids), hashlib.sha256(listed.encode()).hexdigest(), hashlib.sha256(tool.decode(ids).encode()).hexdigest()))
+            for part in text_slices(batch, 1):
+                ids, sizes = tool.encode_many(part.column(1))
+                rows, at = [], 0
+                for n in sizes.tolist():
+                    own, at = ids[at : at + n].tolist(), at + n
+                    listed = ",".join(map(tool.decimal.__getitem__, own))
+                    rows.append((n, hashlib.sha256(listed.encode()).hexdigest(), hashlib.sha256(tool.decode(own).encode()).hexdigest()))
                 cols = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.string(), pa.string()))]
                 yield pa.RecordBatch.from_arrays([part.column(0), *cols], names=[key, "n_tokens", "ids_sha256", "decoded_sha256"])
 

@@ -14,11 +14,15 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SEEN = 400_000  # units in each of the two generations that a worker remembers
-ODD_SPACE = re.compile(r"[\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
+BATCH_BYTES = 8 << 20  # of text whose units are looked up together
+GATHER = 1 << 20  # units whose ids are put in place at a time
+SEEN = 600_000  # units in each of the two generations that a worker remembers
+ODD_SPACES = r"[\x0b\x0c\x1c-\x1f\x85\xa0  -     　]"
+ODD_SPACE = re.compile(ODD_SPACES)
 PLAIN = re.compile("[ -~\n\tÀ-ÖØ-öø-ÿ]*")
 INNER_SPACE = re.compile(r"(?<=\S) (?=\S)")
 
@@ -69,6 +73,8 @@ class Seen(dict):
 class SeenWords(Seen):
     """Units after a space: mostly a word, or a word and a mark after it."""
 
+    marks = frozenset(",.")
+
     def __init__(self, encoder: UnitEncoder):
         super().__init__(None)
         self.bpe, self.unit, self.parts, self.letters = encoder._bpe, encoder._unit, encoder.parts, encoder.letters
@@ -76,16 +82,14 @@ class SeenWords(Seen):
     def __missing__(self, word: str) -> bytes:
         found = self.old.get(word)
         if found is None:
-            stem = word[:-1] if word.endswith((",", ".")) else word
-            plain = stem.isascii()
-            if not stem.isalpha() or not (plain or PLAIN.fullmatch(stem)):
-                found = self.unit(f" {word}")
-            elif stem is not word:
-                found = self[stem] + self.parts[word[-1]]
-            elif plain:
+            if word.isalpha() and word.isascii():
                 found = self.bpe(f"Ġ{word}")
-            else:
+            elif word[-1:] in self.marks and word[:-1].isalpha() and PLAIN.fullmatch(word):
+                found = self[word[:-1]] + self.parts[word[-1]]
+            elif word.isalpha() and PLAIN.fullmatch(word):
                 found = self.bpe("Ġ" + "".join([self.letters[b] for b in word.encode()]))
+            else:
+                found = self.unit(f" {word}")
         if len(word) < 64:
             self[word] = found
         return found
@@ -107,6 +111,7 @@ class UnitEncoder:
         self.pieces_of = regex.compile(PATTERN).findall
         self.first, self.parts = Seen(self._unit), Seen(self._part)
         self.rest = SeenWords(self)
+        self.uneven = "|".join(["  ", "[\n\t\r] ", ODD_SPACES, *map(re.escape, added)])
 
     def _bpe(self, letters: str) -> bytes:
         """Ids of a pre-split part, given in byte-level letters."""
@@ -147,6 +152,42 @@ class UnitEncoder:
         return begin + b"".join(map(self.rest.__getitem__, units[1:])) if len(units) > 1 else begin
 
 
+    def encode_many(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after the other, how many each text has), with the id `end` after each text.
+
+        Units are found and numbered by Arrow; only those that differ are looked up, each once."""
+        texts = pc.fill_null(texts, "")
+        n = len(texts)
+        whole = pc.match_substring_regex(texts, self.uneven) if self.by_unit else pa.array(np.ones(n, bool))
+        listed = pc.split_pattern(pc.if_else(whole, "", texts), " ")
+        coded = pc.list_flatten(listed).dictionary_encode()
+        if not n:
+            return np.zeros(0, self.dtype), np.zeros(0, np.int64)
+        for seen in (self.first, self.rest, self.parts):
+            if len(seen) > self.seen:
+                seen.turn()
+        firsts = pc.list_element(listed, 0).to_pylist()
+        begin = [self.encode(t) if w else self.first[f] for t, w, f in zip((x.as_py() if w else None for x, w in zip(texts, whole.to_pylist())), whole.to_pylist(), firsts)]
+        met = [*map(self.rest.__getitem__, coded.dictionary.to_numpy(zero_copy_only=False).tolist()), *begin]
+        if end is not None:
+            met.append(np.array([end], self.dtype).tobytes())
+        codes = np.asarray(coded.indices).astype(np.int32)
+        counts = np.asarray(pc.list_value_length(listed)).astype(np.int64)
+        starts = np.cumsum(counts) - counts
+        codes[starts] = len(coded.dictionary) + np.arange(n, dtype=np.int32)
+        if end is not None:
+            codes, counts = np.insert(codes, starts + counts, len(met) - 1), counts + 1
+            starts = np.cumsum(counts) - counts
+        sizes = np.fromiter(map(len, met), np.int64, len(met)) // self.dtype.itemsize
+        at, ids = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(met), self.dtype)
+        out = []
+        for k in range(0, len(codes), GATHER):
+            own = codes[k : k + GATHER]
+            size = sizes[own]
+            out.append(ids[np.repeat(at[own] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))])
+        return np.concatenate(out), np.add.reduceat(sizes[codes], starts)
+
+
 class IdEncoder(UnitEncoder):
     """New units go through the tokenizers library: plain parts through its model, all else through its whole pipeline."""
 
@@ -190,6 +231,23 @@ def slices(batch: pa.RecordBatch, rows: int = 256):
         yield batch.slice(at, rows)
 
 
+def text_slices(batch: pa.RecordBatch, column: int, most: int = BATCH_BYTES):
+    """A batch in parts of about `most` bytes of text, or of one longer text."""
+    ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0)).astype(np.int64) + 1)
+    at = 0
+    while at < batch.num_rows:
+        before = int(ends[at - 1]) if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, before + most, side="right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
+def binaries(data: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """A binary column out of values that stand one after the other, of which each row takes some."""
+    ends = np.concatenate([[0], np.cumsum(counts)]) * data.dtype.itemsize
+    return pa.Array.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(ends.astype(np.int64).tobytes()), pa.py_buffer(np.ascontiguousarray(data))]).cast(pa.binary())
+
+
 def tokenise(df: DataFrame, path: str, end_id: int, key: str, text: str, others: tuple[str, ...] = (), bounds: list[int] | None = None, count: bool = False) -> DataFrame:
     """pid, key, others..., n, ids: ids of each whole text (null: empty) with `end_id` after them, as little-endian bytes of
     the encoder's dtype; pid is the key's range among `bounds` (null keys come first).  count: each task's last row has pid -1
@@ -198,17 +256,19 @@ def tokenise(df: DataFrame, path: str, end_id: int, key: str, text: str, others:
 
     def run(batches):
         tool = encoder(path)
-        end, width = np.array([end_id], tool.dtype).tobytes(), tool.dtype.itemsize
         met = np.zeros(max(tool.size, end_id + 1), np.int64)
         for batch in batches:
-            for part in slices(batch):
-                ids = [tool.encode(t) + end for t in part.column(1).to_pylist()]
+            for part in text_slices(batch, 1):
+                ids, sizes = tool.encode_many(part.column(1), end_id)
                 keys = part.column(0)
                 pid = np.where(np.asarray(keys.is_valid()), np.searchsorted(cut, np.asarray(keys.fill_null(0)), side="right"), 0)
-                cols = [pa.array(pid, pa.int32()), keys, *part.columns[2:], pa.array([len(x) // width for x in ids], pa.int64()), pa.array(ids, pa.binary())]
                 if count:
-                    met += np.bincount(np.frombuffer(b"".join(ids), tool.dtype), minlength=len(met))
-                yield pa.RecordBatch.from_arrays(cols, names=["pid", key, *others, "n", "ids"])
+                    met += np.bincount(ids, minlength=len(met))
+                for row in range(0, part.num_rows, 256):  # the worker's consumer gets small batches
+                    some, begin = sizes[row : row + 256], int(sizes[:row].sum())
+                    own = part.slice(row, 256)
+                    cols = [pa.array(pid[row : row + 256], pa.int32()), *own.columns[:1], *own.columns[2:], pa.array(some, pa.int64()), binaries(ids[begin : begin + int(some.sum())], some)]
+                    yield pa.RecordBatch.from_arrays(cols, names=["pid", key, *others, "n", "ids"])
         if count:
             yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([None], pa.int64()), pa.array([0], pa.int64()), pa.array([met.tobytes()], pa.binary())], names=["pid", key, "n", "ids"])
 
