@@ -52,9 +52,9 @@ def sweep(a: DataFrame, b: DataFrame, keep, keys: tuple[str, ...] = SPAN_KEYS, s
     return merge_runs(open_.filter(keep(F.col("_a"), F.col("_b")) & F.col(end).isNotNull()), keys, start, end)
 
 
-def validate(spans: DataFrame, bounds: DataFrame | None = None, canonical: bool = True) -> DataFrame:
+def validate(spans: DataFrame, bounds: DataFrame | None = None, canonical: bool = True, errors: str = "raise") -> DataFrame:
     """The same spans, with an error raised for an empty or negative one, for runs of a row that overlap or touch, and for
-    one outside its mask's bounds."""
+    one outside its mask's bounds.  errors="skip" leaves such spans out instead (of two that overlap, the later)."""
     good = (F.col("x_start") >= 0) & (F.col("y") >= 0) & (F.col("x_start") < F.col("x_end"))
     message = F.lit("span is empty or negative")
     out = spans.withColumn("_bad", F.when(~good, message))
@@ -64,7 +64,8 @@ def validate(spans: DataFrame, bounds: DataFrame | None = None, canonical: bool
     if bounds is not None:
         inside = (F.col("y") >= F.col("by")) & (F.col("y") < F.col("by") + F.col("bh")) & (F.col("x_start") >= F.col("bx")) & (F.col("x_end") <= F.col("bx") + F.col("bw"))
         out = out.join(bounds, "mask_id", "left").withColumn("_bad", F.coalesce("_bad", F.when(~F.coalesce(inside, F.lit(False)), F.lit("span outside its bounds"))))
-    return out.filter(F.when(F.col("_bad").isNotNull(), F.raise_error(F.col("_bad")).cast("boolean")).otherwise(F.lit(True))).select(*spans.columns)
+    bad = F.lit(False) if errors == "skip" else F.raise_error(F.col("_bad")).cast("boolean")
+    return out.filter(F.when(F.col("_bad").isNotNull(), bad).otherwise(F.lit(True))).select(*spans.columns)
 
 
 def validate_sorted(df: DataFrame, key: Column | str, seq: str, by: str = "mask_id") -> DataFrame:

@@ -29,9 +29,21 @@ def local_ranges(spans: DataFrame, bounds: DataFrame) -> DataFrame:
     return spans.join(bounds, "mask_id").select("mask_id", F.expr(f"{at} + x_start").alias("start"), F.expr(f"{at} + x_end").alias("end"))
 
 
-def into_ranges(spans: DataFrame, bounds: DataFrame) -> DataFrame:
-    """The same with flat neighbours merged, so that full rows become one range."""
-    return normalize_ranges(local_ranges(spans, bounds))
+def into_ranges(spans: DataFrame, bounds: DataFrame, output: str = "half_open") -> DataFrame:
+    """The same with flat neighbours merged, so that full rows become one range; output: see represent()."""
+    return represent(normalize_ranges(local_ranges(spans, bounds)), output)
+
+
+def represent(ranges: DataFrame, output: str = "half_open", start: str = "start", end: str = "end") -> DataFrame:
+    """Half-open runs in another representation: "half_open" (as they are), "inclusive" (`end` is the last place) or "length"
+    (`len` in place of the end)."""
+    if output == "half_open":
+        return ranges
+    if output == "inclusive":
+        return ranges.withColumn(end, F.col(end) - 1)
+    if output == "length":
+        return ranges.withColumn("len", F.col(end) - F.col(start)).drop(end)
+    raise ValueError(f"unknown output {output!r}")
 
 
 def split_rows(ranges: DataFrame, width: Column | str | int) -> DataFrame:
@@ -99,6 +111,11 @@ def shift_ranges(ranges: DataFrame, offset: int) -> DataFrame:
     return ranges.withColumns({"start": ok, "end": F.col("end") + offset})
 
 
+def shift_lengths(ranges: DataFrame, by: int) -> DataFrame:
+    """All ranges longer by `by` at their ends; a negative one drops what is left with nothing."""
+    return ranges.withColumn("end", F.col("end") + by).filter(F.col("end") > F.col("start"))
+
+
 def transform_ranges(ranges: DataFrame, change) -> DataFrame:
     """Applies a DataFrame function to a mask's ranges and brings the result into canonical form; masks left without
     ranges are empty masks, that is, have no rows."""

@@ -28,6 +28,12 @@ def inspect_range_bounds(ranges: DataFrame, bounds: DataFrame) -> DataFrame:
     return box.select("mask_id", F.col("x").alias("bx"), F.col("y").alias("by"), F.expr("_ex - x").alias("bw"), F.expr("_ey + 1 - y").alias("bh"))
 
 
+def inspect(spans: DataFrame, name: str = "bounds") -> tuple[DataFrame, Observation]:
+    """The same spans, with the bounds of all that pass (ex, ey exclusive) and their number, known once an action has run."""
+    folds = {"bx": F.min("x_start"), "by": F.min("y"), "ex": F.max("x_end"), "ey": F.max("y") + 1, "runs": F.count(F.lit(1))}
+    return fold_inline(spans, name, **folds)
+
+
 def fold_inline(df: DataFrame, name: str = "fold", **folds: Column) -> tuple[DataFrame, Observation]:
     """The same rows, with aggregates taken as they pass; they are known once an action has run over all of them."""
     seen = Observation(name)
@@ -39,6 +45,14 @@ def fold_masks(df: DataFrame, function, schema: str) -> DataFrame:
     return df.groupBy("mask_id").applyInPandas(function, schema)
 
 
+def fold_ordered(df: DataFrame, order: str, zero: Column, step, finish=None) -> DataFrame:
+    """mask_id, value: a general fold in the order of a column, as expressions: step(so far, row as a struct), then
+    finish(value).  A mask's rows come together in one array, so it is meant for masks that fit a task."""
+    listed = df.groupBy("mask_id").agg(F.sort_array(F.collect_list(F.struct(order, *(c for c in df.columns if c not in (order, "mask_id"))))).alias("_rows"))
+    value = F.aggregate("_rows", zero, step) if finish is None else F.aggregate("_rows", zero, step, finish)
+    return listed.select("mask_id", value.alias("value"))
+
+
 def preview(df: DataFrame, n: int = 10) -> str:
     """The first n rows of the keys' order, and how many more there are."""
     rows, total = df.orderBy(*df.columns).limit(n).collect(), df.count()

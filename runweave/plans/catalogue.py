@@ -5,14 +5,17 @@ The SQL mostly works on single pixels or minutes, which the engine never does, a
 
 from __future__ import annotations
 
+import uuid
 
 from pyspark.sql import functions as F
 
-from runweave.frame import MaskFrame
+from runweave.frame import MapFrame, MaskFrame
 from runweave.functions import columns
 from runweave.operators import affine, cluster, meta, morph, normalize, reshape, setops, stats
 from runweave.plans import fixtures as fx
+from runweave.shipping import shared_folder
 from runweave.sources import encoding, masks
+from runweave.streaming import spans as streaming
 
 ROTATE = ((0, 1, 0), (-1, 0, 7))
 DOUBLE = ((2, 0, 1), (0, 2, 1))
@@ -41,6 +44,15 @@ def _e(spark, d):
     return normalize.normalize_ranges(fx.events(spark, d).select("mask_id", "start", "end"))
 
 
+def _box_a(spark, d):
+    """Bounds of the masks of a, from their table: asking _a() for its masks would run it twice."""
+    return _box(fx.lines(spark, d, 0))
+
+
+def _month_e(spark, d):
+    return _month(fx.events(spark, d))
+
+
 def _box(df):
     return fx.canvas(df, 0, 0, WIDTH, 256)
 
@@ -201,8 +213,7 @@ def span_xor(spark, d):
 
 @_query(runs(f"(SELECT * FROM {ALL_A} EXCEPT SELECT * FROM {PA})"))
 def complement(spark, d):
-    a = fx.lines(spark, d, 0)
-    return setops.complement(a, _box(a))
+    return setops.complement(fx.lines(spark, d, 0), _box_a(spark, d))
 
 
 @_query(flat(f"(SELECT mask_id, p FROM {PE} UNION SELECT mask_id, p + 700 AS p FROM {PE})"))
@@ -232,7 +243,7 @@ def range_symmetric_difference(spark, d):
 @_query(flat(f"(SELECT mask_id, p FROM (SELECT DISTINCT mask_id FROM {fx.E}), (SELECT unnest(range(0, 1440 * 31)) AS p) EXCEPT SELECT mask_id, p FROM {PE})"))
 def range_complement(spark, d):
     e = _e(spark, d)
-    return setops.range_complement(e, _month(e))
+    return setops.range_complement(e, _month_e(spark, d))
 
 
 # --- reshaping ---
@@ -246,19 +257,19 @@ def clip(spark, d):
 @_query(flat(f"(SELECT mask_id, y * {WIDTH} + x AS p FROM {PA})"))
 def into_ranges(spark, d):
     a = _a(spark, d)
-    return reshape.into_ranges(a, _box(a))
+    return reshape.into_ranges(a, _box_a(spark, d))
 
 
 @_query(runs(f"(SELECT mask_id, p // 1440 AS y, p % 1440 AS x FROM {PE})"))
 def ranges_to_spans(spark, d):
     e = _e(spark, d)
-    return reshape.ranges_to_spans(e, _month(e))
+    return reshape.ranges_to_spans(e, _month_e(spark, d))
 
 
 @_query(runs(f"(SELECT mask_id, p // 1440 AS y, p % 1440 AS x FROM {PE})"))
 def typed_spans(spark, d):
     e = _e(spark, d)
-    return reshape.typed_spans(e, _month(e), "u32")
+    return reshape.typed_spans(e, _month_e(spark, d), "u32")
 
 
 @_query(runs(f"(SELECT mask_id, p // 1440 AS y, p FROM {PE})", "mask_id, y", "p", "start", "end").replace("SELECT mask_id, y,", "SELECT mask_id,", 1))
@@ -298,13 +309,13 @@ def transform_ranges(spark, d):
 @_query(flat(f"(SELECT mask_id, p FROM {PE} WHERE p // 1440 % 7 <> 3)"))
 def transform_spans(spark, d):
     e = _e(spark, d)
-    return reshape.transform_spans(e, _month(e), lambda s: s.filter("y % 7 != 3"))
+    return reshape.transform_spans(e, _month_e(spark, d), lambda s: s.filter("y % 7 != 3"))
 
 
 @_query(runs(PA))
 def validate_spans(spark, d):
     a = _a(spark, d)
-    return normalize.validate(a, _box(a))
+    return normalize.validate(a, _box_a(spark, d))
 
 
 @_query(f"""SELECT a.mask_id, a.y, greatest(a.x_start, b.x_start) AS "start", least(a.x_end, b.x_end) AS "end" FROM ({runs(PA)}) a JOIN ({runs(PB)}) b ON a.mask_id = b.mask_id AND a.y = b.y AND a.x_start < b.x_end AND b.x_start < a.x_end""")
@@ -347,7 +358,7 @@ def bounds_inspect(spark, d):
  CASE WHEN "start" // 1440 = ("end" - 1) // 1440 THEN "start" % 1440 ELSE 0 END AS x0, CASE WHEN "start" // 1440 = ("end" - 1) // 1440 THEN ("end" - 1) % 1440 + 1 ELSE 1440 END AS x1 FROM ({flat(PE)})) GROUP BY mask_id""")
 def range_bounds_inspect(spark, d):
     e = _e(spark, d)
-    return stats.inspect_range_bounds(e, _month(e))
+    return stats.inspect_range_bounds(e, _month_e(spark, d))
 
 
 @_query(_bounds_sql(f"(SELECT * FROM {PA} UNION ALL SELECT * FROM {PB})"))
@@ -481,7 +492,7 @@ def decode_gaps(spark, d):
 @_query(flat(f"(SELECT mask_id, y * {WIDTH} + x AS p FROM {PA})"))
 def encode_spans(spark, d):
     a = _a(spark, d)
-    return encoding.decode_gaps(encoding.encode_spans(a, _box(a)))
+    return encoding.decode_gaps(encoding.encode_spans(a, _box_a(spark, d)))
 
 
 WIRE_HEAD = "'010000' || " + " || ".join(LE(v, 4) for v in ("0", "0", "1440", "31"))
@@ -490,25 +501,25 @@ WIRE_HEAD = "'010000' || " + " || ".join(LE(v, 4) for v in ("0", "0", "1440", "3
 @_query(f"""SELECT mask_id, upper({WIRE_HEAD} || string_agg({LE("gap", 8)} || {LE("len", 8)}, '' ORDER BY "start") || '{"0" * 32}') AS payload FROM ({GAPS}) GROUP BY mask_id""")
 def wire_encode(spark, d):
     e = _e(spark, d)
-    return encoding.wire_encode(e, _month(e)).withColumn("payload", F.hex("payload"))
+    return encoding.wire_encode(e, _month_e(spark, d)).withColumn("payload", F.hex("payload"))
 
 
 @_query(f"""SELECT mask_id, upper({WIRE_HEAD} || string_agg({LE("gap", 8)} || {LE("len", 8)}, '' ORDER BY "start")) AS payload FROM ({GAPS}) GROUP BY mask_id""")
 def wire_encode_open(spark, d):
     e = _e(spark, d)
-    return encoding.wire_encode(e, _month(e), terminator=False).withColumn("payload", F.hex("payload"))
+    return encoding.wire_encode(e, _month_e(spark, d), terminator=False).withColumn("payload", F.hex("payload"))
 
 
 @_query(flat(PE))
 def wire_decode(spark, d):
     e = _e(spark, d)
-    return encoding.wire_decode(encoding.wire_encode(e, _month(e)))
+    return encoding.wire_decode(encoding.wire_encode(e, _month_e(spark, d)))
 
 
 @_query(f"SELECT DISTINCT mask_id, CAST(0 AS BIGINT) AS bx, CAST(0 AS BIGINT) AS by, CAST(1440 AS BIGINT) AS bw, CAST(31 AS BIGINT) AS bh FROM {fx.E}")
 def wire_header(spark, d):
     e = _e(spark, d)
-    return encoding.wire_header(encoding.wire_encode(e, _month(e)))
+    return encoding.wire_header(encoding.wire_encode(e, _month_e(spark, d)))
 
 
 # --- metadata, counts and folds ---
@@ -562,6 +573,204 @@ def union_clip_area(spark, d):
 
 @_query(flat(f"(SELECT mask_id, y * {WIDTH} + x AS p FROM (SELECT * FROM {near(f'(SELECT * FROM {PA} UNION SELECT * FROM {PB})', 1)} EXCEPT SELECT * FROM {PR}) WHERE x >= 5 AND x < 200 AND y >= 5 AND y < 150)"))
 def pipeline_union_dilate_subtract_clip(spark, d):
-    a, b, r = (MaskFrame(s, _box(s)) for s in (_a(spark, d), _b(spark, d), _r(spark, d)))
-    out = a.union(b).dilate(1).subtract(r).clip(5, 5, 195, 145)
-    return reshape.into_ranges(out.spans, _box(out.spans))
+    # what can't reach the clip by a step of 1 goes before the dilation
+    near = {"x": 4, "y": 4, "width": 197, "height": 147}
+    lines = fx.lines(spark, d, 0).unionByName(fx.lines(spark, d, 1))
+    grown = morph.dilate(setops.union(*(reshape.clip(fx.lines(spark, d, k), **near) for k in (0, 1))), 1, clip_to=(5, 5, 195, 145))
+    out = setops.subtract(grown, reshape.clip(masks.rect_spans(fx.orders(spark, d)), 5, 5, 195, 145))
+    return reshape.into_ranges(out, _box(lines))
+
+
+# --- single masks, builders, files and streams ---
+
+
+@_query("SELECT CAST(7 AS BIGINT) AS mask_id, CAST(5 AS BIGINT) AS y, CAST(3 AS BIGINT) AS x_start, CAST(9 AS BIGINT) AS x_end, CAST(3 AS BIGINT) AS bx, CAST(5 AS BIGINT) AS by, CAST(6 AS BIGINT) AS bw, CAST(1 AS BIGINT) AS bh")
+def single_span(spark, d):
+    spans, bounds = masks.single_span(spark, 5, 3, 9, 7)
+    return spans.join(bounds, "mask_id")
+
+
+@_query('SELECT CAST(7 AS BIGINT) AS mask_id, CAST(y AS BIGINT) AS y, CAST(a AS BIGINT) AS x_start, CAST(b AS BIGINT) AS x_end FROM (VALUES (1, 5, 10), (2, 0, 10), (3, 0, 4)) AS t(y, a, b)')
+def single_range(spark, d):
+    return reshape.ranges_to_spans(*masks.single_range(spark, 15, 34, (0, 0, 10, 9), 7))
+
+
+@_query("SELECT CAST(0 AS BIGINT) AS mask_id, CAST(y AS BIGINT) AS y, CAST(a AS BIGINT) AS x_start, CAST(b AS BIGINT) AS x_end FROM (VALUES (4, 7, 9), (4, 10, 11), (6, 6, 11)) AS t(y, a, b)")
+def ascii_spans(spark, d):
+    return masks.from_ascii(spark, """
+.##.#
+.....
+#####
+""", offset=(6, 4))
+
+
+_EVEN_RECTS = flat(f"(SELECT mask_id, y * 300 + x AS p FROM {PR} WHERE mask_id % 2 = 0)")
+
+
+@_query(f'SELECT f.mask_id, f."start", f."end", CAST(300 AS BIGINT) AS bw, b.bh FROM ({_EVEN_RECTS}) f JOIN (SELECT mask_id, max(y + h) AS bh FROM {fx.R} GROUP BY mask_id) b USING (mask_id)')
+def rect_ranges_bounds(spark, d):
+    rects = fx.orders(spark, d).filter("mask_id % 2 = 0")
+    return masks.rect_ranges(rects, 300).join(masks.rect_ranges_bounds(rects, 300).select("mask_id", "bw", "bh"), "mask_id")
+
+
+_SEQ = 'CASE WHEN mask_id % 2 = 0 THEN "start" ELSE -"start" END'
+
+
+@_query(f"""WITH o AS (SELECT *, max("end") OVER (PARTITION BY mask_id ORDER BY {_SEQ} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM ({flat(PE)})),
+e AS (SELECT mask_id, count(*) FILTER (WHERE "start" < coalesce(b, 0)) AS n FROM o GROUP BY mask_id),
+l AS (SELECT mask_id, string_agg(CAST(len AS VARCHAR), ',' ORDER BY "start") AS included, string_agg(CAST(gap AS VARCHAR), ',' ORDER BY "start") AS excluded FROM ({GAPS}) GROUP BY mask_id)
+SELECT mask_id, CASE WHEN n = 0 THEN included END AS included, CASE WHEN n = 0 THEN excluded END AS excluded, CASE WHEN n > 0 THEN 'range starts before the end of the one before' END AS error FROM e JOIN l USING (mask_id)""")
+def build_masks(spark, d):
+    e = _e(spark, d).withColumn("seq", F.expr("if(mask_id % 2 = 0, `start`, -`start`)"))
+    return encoding.build_masks(e, "seq").select("mask_id", *(F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in ("included", "excluded")), "error")
+
+
+def _wire_files(spark, d):
+    folder = f"{shared_folder(spark)}/masks-{uuid.uuid4().hex}"
+    encoding.write_wire_files(encoding.wire_encode(_e(spark, d), _month_e(spark, d), terminator=False), folder)
+    return folder
+
+
+def _by_name(files):
+    return files.withColumn("mask_id", F.regexp_extract("path", r"(\d+)\.mask$", 1).cast("long"))
+
+
+@_query(flat(PE))
+def wire_files(spark, d):
+    return encoding.wire_decode(_by_name(encoding.read_wire(spark, _wire_files(spark, d))))
+
+
+@_query(flat(PE))
+def wire_files_stream(spark, d):
+    return streaming.run_to_end(encoding.wire_decode(_by_name(encoding.read_wire_stream(spark, _wire_files(spark, d)))))
+
+
+@_query("SELECT CAST(1 AS BIGINT) AS mask_id, '9223372036854775808' AS \"start\", '18446744073709551615' AS \"end\"")
+def wire_decode_wide(spark, d):
+    raw = bytes([1, 0, 0]) + b"".join(x.to_bytes(4, "little") for x in (0, 0, 9, 9)) + (1 << 63).to_bytes(8, "little") + ((1 << 63) - 1).to_bytes(8, "little")
+    rows = spark.sql("SELECT 1L AS mask_id, unhex(:raw) AS payload", args={"raw": raw.hex()})
+    return encoding.wire_decode(rows, wide=True).select("mask_id", F.col("start").cast("string").alias("start"), F.col("end").cast("string").alias("end"))
+
+
+def _ending(spans, first: str):
+    """Each row twice, once with a null that says that its mask ends: what comes in one batch is whole."""
+    return spans.withColumn(first, F.explode(F.array(F.col(first), F.lit(None).cast("long"))))
+
+
+@_query(runs(PA))
+def stream_normalize(spark, d):
+    return streaming.run_to_end(streaming.normalize_stream(_ending(fx.line_spans(fx.stream(spark, d, "lineitem"), 0), "y")))
+
+
+@_query(SQL["cluster_labels"])
+def stream_clusters(spark, d):
+    spans = masks.bitmap_spans(fx.vector_bitmaps(fx.stream(spark, d, "embeddings")))
+    return streaming.run_to_end(streaming.cluster_stream(_ending(spans, "y"), 8))
+
+
+@_query(SQL["encode_gaps"])
+def stream_masks(spark, d):
+    folder = f"{shared_folder(spark)}/ranges-{uuid.uuid4().hex}"
+    _e(spark, d).write.parquet(folder)
+    ranges = spark.readStream.schema("mask_id long, start long, end long").parquet(folder)
+    out = streaming.run_to_end(streaming.mask_stream(_ending(ranges, "start")))
+    return out.select("mask_id", *(F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in ("included", "excluded")))
+
+
+# --- frames, views and parameters ---
+
+
+@_query(f"SELECT mask_id, y, x_start, x_end, CAST(10 AS BIGINT) AS bx, CAST(20 AS BIGINT) AS by, CAST(30 AS BIGINT) AS bw, CAST(40 AS BIGINT) AS bh FROM ({runs(PA)})")
+def with_roi(spark, d):
+    m = MaskFrame(_a(spark, d), _box_a(spark, d)).with_roi(10, 20, 30, 40)
+    return m.spans.join(m.bounds, "mask_id")
+
+
+@_query(f"SELECT mask_id, count(*) AS runs, CAST(0 AS BIGINT) AS bx, CAST(0 AS BIGINT) AS by, CAST(100 AS BIGINT) AS bw, CAST(50 AS BIGINT) AS bh FROM ({runs(PA)}) GROUP BY mask_id")
+def with_bounds(spark, d):
+    m = MaskFrame(_a(spark, d), _box_a(spark, d)).with_bounds(100, 50)
+    return m.run_count().join(m.bounds, "mask_id")
+
+
+@_query(f"SELECT mask_id, y, x_start, x_end, CAST(1 AS BIGINT) AS bx, CAST(1 AS BIGINT) AS by, CAST(8 AS BIGINT) AS bw, CAST(8 AS BIGINT) AS bh FROM ({runs(near(PV, 1))})")
+def dilate_within(spark, d):
+    v = fx.vectors(spark, d)
+    m = MaskFrame.of_bitmaps(v).dilate_within(1, 2, 2, 6, 6)
+    return m.spans.join(m.bounds, "mask_id")
+
+
+@_query(flat(PE))
+def validate_sorted(spark, d):
+    return normalize.validate_sorted(_e(spark, d), "start", "start")
+
+
+@_query(f"""SELECT '[' || string_agg('(' || mask_id || ', ' || y || ', ' || x_start || ', ' || x_end || ')', ', ' ORDER BY i) FILTER (WHERE i <= 10) || '] ...and ' || (count(*) - 10) || ' more' AS text
+FROM (SELECT *, row_number() OVER (ORDER BY mask_id, y, x_start, x_end) AS i FROM ({runs(PA)}))""")
+def preview(spark, d):
+    text = MaskFrame(_a(spark, d), _box_a(spark, d)).preview()
+    return spark.sql("SELECT :text AS text", args={"text": text})
+
+
+_CELLS = f'(SELECT mask_id, p, max_by(meta, priority) AS meta FROM (SELECT mask_id, unnest(range("start", "end")) AS p, meta, priority FROM {fx.E}) GROUP BY mask_id, p)'
+
+
+@_query(f"""SELECT mask_id, y, CAST(min(x) AS BIGINT) AS x_start, CAST(max(x) + 1 AS BIGINT) AS x_end, meta
+FROM (SELECT mask_id, p // 1440 AS y, p % 1440 AS x, meta, p - row_number() OVER (PARTITION BY mask_id, p // 1440, meta ORDER BY p) AS g FROM {_CELLS}) GROUP BY mask_id, y, meta, g""")
+def map_spans(spark, d):
+    return MapFrame.of_layers(fx.events(spark, d), _month_e(spark, d)).spans()
+
+
+@_query(f"""WITH m AS ({META}) SELECT m.mask_id, count(*) AS runs, CAST(sum("end" - "start") AS BIGINT) AS covered FROM m GROUP BY m.mask_id""")
+def map_views(spark, d):
+    m = MapFrame.of_layers(fx.events(spark, d), _month_e(spark, d))
+    return m.count().join(m.ranges().groupBy("mask_id").agg(F.sum(F.col("end") - F.col("start")).alias("covered")), "mask_id")
+
+
+@_query(f"""WITH m AS ({META}), c AS (SELECT mask_id, p, max(meta) AS meta FROM (SELECT mask_id, unnest(range("start", "end" + 30)) AS p, meta FROM m) GROUP BY mask_id, p)
+SELECT mask_id, CAST(min(p) AS BIGINT) AS "start", CAST(max(p) + 1 AS BIGINT) AS "end", meta FROM (SELECT mask_id, p, meta, p - row_number() OVER (PARTITION BY mask_id, meta ORDER BY p) AS g FROM c) GROUP BY mask_id, meta, g""")
+def map_transform(spark, d):
+    m = MapFrame.of_layers(fx.events(spark, d), _month_e(spark, d))
+    return m.transform(lambda r: reshape.shift_lengths(r, 30)).items
+
+
+@_query(META)
+def map_round_trip(spark, d):
+    m = MapFrame.of_layers(fx.events(spark, d), _month_e(spark, d))
+    touching = m.transform(lambda r: r)  # neighbours with other meta may touch, which the gap form can hold, strict input can't
+    listed = encoding.encode_gaps(touching.items, touching.bounds, extra=("meta",), strict=False)
+    return MapFrame.decode(listed).items
+
+
+@_query(f'SELECT mask_id, "start", "end" - 1 AS "end" FROM ({flat(f"(SELECT mask_id, y * {WIDTH} + x AS p FROM {PA})")})')
+def output_inclusive(spark, d):
+    return MaskFrame(_a(spark, d), _box_a(spark, d)).ranges("inclusive")
+
+
+@_query(f'SELECT mask_id, y, x_start, x_end - x_start AS len FROM ({runs(PA)})')
+def output_length(spark, d):
+    return MaskFrame(_a(spark, d), _box_a(spark, d)).rows("length")
+
+
+@_query(f"SELECT * FROM {fx.A} WHERE x_end <= 120 AND y < 128")
+def errors_skip(spark, d):
+    a = fx.lines(spark, d, 0)
+    return normalize.validate(a, fx.canvas(a, 0, 0, 120, 128), canonical=False, errors="skip")
+
+
+@_query(f"SELECT mask_id % 7 AS mask_id, count(*) AS area FROM (SELECT DISTINCT mask_id % 7 AS mask_id, y, x FROM {PA}) GROUP BY mask_id")
+def frame_layers(spark, d):
+    return MaskFrame(_a(spark, d), _box_a(spark, d)).layers(F.col("mask_id") % 7).area()
+
+
+@_query(f"SELECT mask_id, CAST(coalesce(sum(x_end - x_start) FILTER (WHERE y % 2 = 0), 0) AS BIGINT) AS value FROM ({runs(PA)}) GROUP BY mask_id")
+def frame_fold(spark, d):
+    even = lambda so_far, row: so_far + F.when(row["y"] % 2 == 0, row["x_end"] - row["x_start"]).otherwise(F.lit(0))
+    return MaskFrame(_a(spark, d), _box_a(spark, d)).fold("y", F.lit(0).cast("long"), even)
+
+
+@_query(f"SELECT CAST(min(x) AS BIGINT) AS bx, CAST(min(y) AS BIGINT) AS by, CAST(max(x) + 1 AS BIGINT) AS ex, CAST(max(y) + 1 AS BIGINT) AS ey, (SELECT count(*) FROM ({runs(PA)})) AS runs FROM {PA}")
+def inspect_pass(spark, d):
+    passed, seen = MaskFrame(_a(spark, d), _box_a(spark, d)).inspect()
+    passed.spans.write.format("noop").mode("overwrite").save()
+    found = seen.get
+    return spark.sql("SELECT " + ", ".join(f"CAST({found[c]} AS BIGINT) AS {c}" for c in ("bx", "by", "ex", "ey", "runs")))

@@ -15,8 +15,11 @@ def _table(spark, sf_dir: str, name: str) -> DataFrame:
 
 def lines(spark, sf_dir: str, odd: int) -> DataFrame:
     """A span per line item, masks by supplier: even (0) or odd (1) line numbers."""
-    t = _table(spark, sf_dir, "lineitem").filter(F.col("l_linenumber") % 2 == odd)
-    return t.selectExpr("CAST(l_suppkey AS BIGINT) AS mask_id", "CAST(l_orderkey % 256 AS BIGINT) AS y", "CAST(l_partkey % 200 AS BIGINT) AS x_start", "CAST(l_partkey % 200 + CAST(l_quantity AS BIGINT) AS BIGINT) AS x_end")
+    return line_spans(_table(spark, sf_dir, "lineitem"), odd)
+
+
+def line_spans(t: DataFrame, odd: int) -> DataFrame:
+    return t.filter(F.col("l_linenumber") % 2 == odd).selectExpr("CAST(l_suppkey AS BIGINT) AS mask_id", "CAST(l_orderkey % 256 AS BIGINT) AS y", "CAST(l_partkey % 200 AS BIGINT) AS x_start", "CAST(l_partkey % 200 + CAST(l_quantity AS BIGINT) AS BIGINT) AS x_end")
 
 
 def orders(spark, sf_dir: str) -> DataFrame:
@@ -34,7 +37,16 @@ def events(spark, sf_dir: str) -> DataFrame:
 
 def vectors(spark, sf_dir: str) -> DataFrame:
     """An 8x8 bitmap per embedding: the signs of its 64 numbers."""
-    return _table(spark, sf_dir, "embeddings").selectExpr("CAST(vec_id AS BIGINT) AS mask_id", "8L AS width", "transform(slice(embedding, 1, 64), v -> v > 0) AS pixels")
+    return vector_bitmaps(_table(spark, sf_dir, "embeddings"))
+
+
+def vector_bitmaps(t: DataFrame) -> DataFrame:
+    return t.selectExpr("CAST(vec_id AS BIGINT) AS mask_id", "8L AS width", "transform(slice(embedding, 1, 64), v -> v > 0) AS pixels")
+
+
+def stream(spark, sf_dir: str, name: str) -> DataFrame:
+    """The same table as it would arrive."""
+    return spark.readStream.schema(_table(spark, sf_dir, name).schema).parquet(f"{sf_dir}/{name}.parq*")
 
 
 def canvas(df: DataFrame, x: int, y: int, w: int, h: int) -> DataFrame:

@@ -24,3 +24,19 @@ def ship(spark) -> None:
         for file in sorted((ROOT / "runweave").rglob("*.py")):
             z.write(file, file.relative_to(ROOT))
     context.addPyFile(path)
+
+
+def shared_folder(spark) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir.  Where that is unset, a temporary one if all runs on
+    this machine (as in tests), and an error on a cluster, where each machine would see its own."""
+    ship(spark)
+    context = spark.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not context.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = getattr(shared_folder, "own", None) or tempfile.mkdtemp(prefix="runweave-")
+        shared_folder.own = folder
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(folder)
+    return folder
