@@ -348,7 +348,8 @@ def near_components(df: DataFrame, k: int = 5, threshold: int = 80, key: str = "
     same = ["n", "f1", "f2"]
     classes = signed.filter("n > 0").groupBy(*same).agg(F.min(F.struct("k", "th")).alias("rep"), F.count("*").alias("copies"), F.first("mins").alias("mins"), F.first("sig").alias("sig"))
     classes = stage_table(classes.select(F.monotonically_increasing_id().alias("cid"), *same, F.col("rep.k").alias("a"), F.col("rep.th").alias("ah"), "copies", "mins", "sig"), "classes")
-    read = lambda some: docs.join(some.select(F.col("cid"), F.col("a").alias("k"), F.col("ah").alias("th")), ["k", "th"]).groupBy("cid").agg(F.first("t").alias("t"))
+    # by sorting whatever the sizes, so that the same is moved a document at any scale
+    read = lambda some: docs.join(some.select(F.col("cid"), F.col("a").alias("k"), F.col("ah").alias("th")).hint("merge"), ["k", "th"]).groupBy("cid").agg(F.first("t").alias("t"))
     if exact:
         size = F.col("n")
         prefixes = _prefixes(classes, _shingle_pairs(classes, read(classes), k), size, size - F.ceil(size * threshold / 100) + 1)
