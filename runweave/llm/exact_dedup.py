@@ -66,11 +66,25 @@ def exact_groups(df: DataFrame, key: str = "doc_id", text: str = "text", keep: s
 
 
 def keep_first(df: DataFrame, key: str = "doc_id", text: str = "text", keep: str = "max") -> DataFrame:
-    """df's rows, one of each group of equal texts, with all their columns; of rows that also share the key, any one."""
-    kept = exact_groups(df.select(key, text), key, text, keep).filter("kept").select(F.col(key).alias("_rw_key"), F.col("text_sha256").alias("_rw_kept")).distinct()
-    own = df.withColumn("_rw_sha", F.sha2(lower_ascii(F.coalesce(F.col(text), F.lit(""))), 256))
-    own = own.join(kept, own[key].eqNullSafe(kept["_rw_key"]) & (F.col("_rw_sha") == F.col("_rw_kept")), "left_semi")
-    return own.groupBy("_rw_sha").agg(F.first(F.struct(*(F.col(f"`{c}`") for c in df.columns))).alias("_rw_row")).select("_rw_row.*")
+    """df's rows, one of each group of equal texts, with all their columns; of rows that also share the key, any one.
+
+    Null counts as the empty text, a null key stays only in a group of null keys, an empty table gives an empty one.
+
+    What goes is found on keys and hashes alone, and rows leave by an anti-join with that narrow table: texts don't move where it is
+    small.  Only what shares its key, too, is told apart by a number that is written down with the rows."""
+    groups = stage_table(exact_groups(df.select(key, text), key, text, keep), "exact-groups")
+    sha = F.sha2(lower_ascii(F.coalesce(F.col(text), F.lit(""))), 256)
+    gone = groups.filter("NOT kept").select(F.col(key).alias("_rw_key"), F.col("text_sha256").alias("_rw_gone")).distinct()
+    own = df.withColumn("_rw_sha", sha)
+    own = own.join(gone, own[key].eqNullSafe(gone["_rw_key"]) & (F.col("_rw_sha") == F.col("_rw_gone")), "left_anti")
+    twice = groups.filter("kept").groupBy(key, "text_sha256").count().filter("count > 1").select(F.col(key).alias("_rw_key"), F.col("text_sha256").alias("_rw_twice"))
+    twice = stage_table(twice, "repeated-rows")
+    if twice.isEmpty():
+        return own.drop("_rw_sha")
+    again = own[key].eqNullSafe(twice["_rw_key"]) & (F.col("_rw_sha") == F.col("_rw_twice"))
+    single = own.join(twice, again, "left_anti").drop("_rw_sha")
+    some = own.join(twice, again, "left_semi").groupBy("_rw_sha", key).agg(F.first(F.struct(*(F.col(f"`{c}`") for c in df.columns))).alias("_rw_row"))
+    return single.unionByName(some.select("_rw_row.*"))
 
 
 def op8_exact_dedup(spark, sf_dir):
