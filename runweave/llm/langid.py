@@ -16,28 +16,29 @@ from pyspark.sql import functions as F
 from runweave.llm.common import documents, literal_table
 
 BLOCK = 4096  # characters that are compressed together
-DICT_BYTES = 64 << 10
-SHORT = 64  # a shorter text is repeated up to four times this length, for the coder leaves tiny inputs as they are
-SAMPLE = 400  # training texts per language: the documented bound of the fit
-MAX_LANGS = 64
+FILL = 256  # every block is repeated to at least this length, for the coder leaves tiny inputs as they are
+# The documented bound of the fit: of each language, rows in the order of their hashes until pieces of PIECE characters fill
+# DICT_BYTES, and SAMPLE rows at most.
+SAMPLE, PIECE, DICT_BYTES = 400, 2000, 64 << 10
 MARGIN = 0.001
 LEVEL = 6
 LETTER = re.compile(r"[^\W\d_]")
 
 
-def sample_texts(df: DataFrame, lang: str, text: str, per_lang: int = SAMPLE, piece: int = 2000) -> dict[str, list[str]]:
-    """Up to `per_lang` pieces of training text for each of the MAX_LANGS most frequent languages, in an order fixed by the
-    texts alone.  A bounded sample of labelled rows: at most per_lang * MAX_LANGS * piece characters reach the driver."""
+def sample_texts(df: DataFrame, lang: str, text: str, per_lang: int = SAMPLE, piece: int = PIECE, size: int = DICT_BYTES) -> dict[str, list[str]]:
+    """Up to `per_lang` pieces of training text for each language, in an order fixed by the texts alone; a piece is `piece`
+    characters at a place of the text that its hash chooses.  A bounded sample of labelled rows: what fills `size` bytes, of per_lang rows of each language at most."""
     usable = df.select(F.col(lang).alias("lang"), F.col(text).alias("text")).filter("lang IS NOT NULL AND length(text) > 0")
-    langs = [r["lang"] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()]
     # only hashes are shuffled, first in many buckets, so that no language's rows meet in one task
-    keyed = usable.filter(F.col("lang").isin(langs)).withColumn("k", F.xxhash64("text"))
+    keyed = usable.withColumn("k", F.xxhash64("text"))
     part = keyed.select("lang", "k").distinct().withColumn("n", F.row_number().over(Window.partitionBy("lang", F.pmod("k", F.lit(64))).orderBy("k"))).filter(F.col("n") <= -(-per_lang // 16))
     best = part.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("k"))).filter(F.col("n") <= per_lang)
     chosen = F.broadcast(literal_table(df.sparkSession, [(r["lang"], r["k"]) for r in best.collect()], "lang string, k bigint"))
-    best = keyed.join(chosen, ["lang", "k"]).groupBy("lang", "k").agg(F.min(F.substring("text", 1, piece)).alias("piece"))
+    place = F.pmod(F.xxhash64("k"), F.greatest(F.length("text") - piece, F.lit(0)) + 1).cast("int") + 1
+    best = keyed.join(chosen, ["lang", "k"]).groupBy("lang", "k").agg(F.min(F.substring("text", place, F.lit(piece))).alias("piece"))
+    before = F.coalesce(F.sum(F.octet_length("piece")).over(Window.partitionBy("lang").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     found: dict[str, list[str]] = {}
-    for r in best.orderBy("lang", "k").collect():
+    for r in best.withColumn("before", before).filter(F.col("before") < size).orderBy("lang", "k").collect():
         found.setdefault(r["lang"], []).append(r["piece"])
     return found
 
@@ -65,10 +66,9 @@ class Classifier:
     def sizes(self, text: str, tools: list | None = None) -> list[int]:
         tools = self.tools if tools is None else tools
         total = [0] * len(tools)
-        if len(text) < SHORT:
-            text = f"{text} " * (4 * SHORT // (len(text) + 1))
         for at in range(0, len(text), BLOCK):
-            block = text[at : at + BLOCK].lower().encode()
+            block = text[at : at + BLOCK].lower()
+            block = (f"{block} " * -(-FILL // (len(block) + 1)) if len(block) < FILL else block).encode()
             for k, tool in enumerate(tools):
                 total[k] += len(tool.compress(block))
         return total
@@ -90,7 +90,7 @@ class Classifier:
 
 
 def fit(train: DataFrame, lang: str = "lang", text: str = "text", per_lang: int = SAMPLE, size: int = DICT_BYTES) -> dict[str, bytes]:
-    return dictionaries(sample_texts(train, lang, text, per_lang), size)
+    return dictionaries(sample_texts(train, lang, text, per_lang, size=size), size)
 
 
 def identify(df: DataFrame, raw: dict[str, bytes], key: str = "doc_id", text: str = "text", margin: float = MARGIN) -> DataFrame:
