@@ -15,7 +15,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from runweave.llm.common import documents, stage_table
+from runweave.llm.common import documents, drop_table, stage_table
+from runweave.llm.token_ids import slices
 
 PCM, ALAW, MULAW, IMA = 1, 6, 7, 17
 RATE = 8000
@@ -170,21 +171,61 @@ def _bytes_of(text: str | None) -> bytes:
     return raw + bytes(-len(raw) % 64 or 64 * (not raw))
 
 
-MEDIA = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary())])
+KINDS = (MULAW, ALAW, IMA)
+IMA_DATA = 64  # bytes of codes in an ADPCM block, after its 4 bytes of state
+STORED_RATE = 1000
+
+
+def from_payload(payload: bytes) -> bytes:
+    """A WAVE file whose coded samples are the payload's bytes: mu-law or A-law codes, or pairs of ADPCM codes in blocks that
+    begin at silence.  The payload's checksum chooses the codec, so equal payloads give equal files."""
+    kind = KINDS[zlib.crc32(payload) % len(KINDS)]
+    if kind != IMA:
+        return to_wav(payload, kind)
+    blocks = np.zeros((len(payload) // IMA_DATA, 4 + IMA_DATA), np.uint8)
+    blocks[:, 4:] = np.frombuffer(payload, np.uint8).reshape(-1, IMA_DATA)
+    return to_wav(blocks.tobytes(), IMA, block=4 + IMA_DATA)
+
+
+def payload_of(kind: int, data: bytes, block: int) -> bytes:
+    """The coded samples alone, without the state of ADPCM blocks."""
+    if kind != IMA:
+        return data
+    whole = np.frombuffer(data[: len(data) // block * block], np.uint8).reshape(-1, block)[:, 4:].tobytes()
+    return whole + data[len(whole) // (block - 4) * block :][4:]
+
+
+def decode_all(files: list[bytes | None], to_rate: int | None) -> list[np.ndarray | None]:
+    """16-bit PCM of each file at `to_rate` (None: the file's own), or None where it can't be read.  ADPCM blocks of one size are
+    decoded at once, whichever files they are from."""
+    found = [from_wav(x) for x in files]
+    found = [f if f and f[0] in (PCM, ALAW, MULAW, IMA) and (f[0] != IMA or f[2] > 4) and f[1] > 0 else None for f in found]
+    out: list[np.ndarray | None] = [None] * len(files)
+    together: dict[int, list[int]] = {}
+    for i, f in enumerate(found):
+        if f and f[0] == IMA and f[3] and len(f[3]) % f[2] == 0:
+            together.setdefault(f[2], []).append(i)
+        elif f:
+            out[i] = to_pcm(f[0], f[3], f[2])
+    for block, some in together.items():
+        pcm, at = decode_ima(b"".join(found[i][3] for i in some), block), 0
+        for i in some:
+            n = len(found[i][3]) // block * (2 * (block - 4) + 1)
+            out[i], at = pcm[at : at + n], at + n
+    return [None if pcm is None else resample(pcm, f[1], to_rate or f[1]) for pcm, f in zip(out, found, strict=True)]
 
 
 def store_text_media(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n_bytes, media: the UTF-8 bytes of each whole text as 8-bit mu-law samples in a WAVE file, written to the shared
-    folder and read again.  Bytes 0 fill it up to a positive multiple of 64; a null text counts as empty; null keys and
-    repeated rows stay as they are; other columns are not looked at."""
+    """key, n_bytes, media: the UTF-8 bytes of each whole text as coded samples in a WAVE file, written to the shared folder and
+    read again.  Bytes 0 fill it up to a positive multiple of 64; a null text counts as empty; null keys and repeated rows stay
+    as they are; an empty table gives an empty one; other columns are not looked at."""
 
     def write(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for part in slices(batch, 512):
                 texts = part.column(1).to_pylist()
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([len((t or "").encode()) for t in texts], pa.int64()), pa.array([to_wav(_bytes_of(t), MULAW) for t in texts], pa.binary())],
+                    [part.column(0), pa.array([len((t or "").encode()) for t in texts], pa.int64()), pa.array([from_payload(_bytes_of(t)) for t in texts], pa.binary())],
                     names=[key, "n_bytes", "media"],
                 )
 
@@ -193,51 +234,66 @@ def store_text_media(df: DataFrame, key: str = "doc_id", text: str = "text") ->
 
 
 def decode_media(df: DataFrame, media: str = "media", to_rate: int = 16000) -> DataFrame:
-    """df's rows with pcm (16-bit little-endian, at `to_rate`), n_samples and peak; all three null where the file can't be read."""
+    """df's rows with pcm (16-bit little-endian, at `to_rate`), n_samples and peak; all three null where the file is null or
+    can't be read.  Columns of df with these names give way."""
+    rows = df.drop("pcm", "n_samples", "peak")
 
     def read(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                out = []
-                for x in part.column(part.schema.get_field_index(media)).to_pylist():
-                    found = from_wav(x)
-                    pcm = None if found is None or found[0] not in (PCM, ALAW, MULAW, IMA) else resample(to_pcm(found[0], found[3], found[2]), found[1], to_rate)
-                    out.append((None, None, None) if pcm is None else (pcm.tobytes(), len(pcm), int(np.abs(pcm.astype(np.int32)).max(initial=0))))
+            for part in slices(batch, 64):
+                found = decode_all(part.column(part.schema.get_field_index(media)).to_pylist(), to_rate)
+                out = [(None, None, None) if pcm is None else (pcm.astype("<i2").tobytes(), len(pcm), int(np.abs(pcm.astype(np.int32)).max(initial=0))) for pcm in found]
                 new = [pa.array([o[k] for o in out], kind) for k, kind in enumerate((pa.binary(), pa.int64(), pa.int64()))]
                 yield pa.RecordBatch.from_arrays([*part.columns, *new], names=[*part.schema.names, "pcm", "n_samples", "peak"])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return df.mapInArrow(read, f"{kinds}, pcm binary, n_samples long, peak long")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return rows.mapInArrow(read, f"{kinds + ', ' if kinds else ''}pcm binary, n_samples long, peak long")
 
 
-def features(pcm: np.ndarray, rate: int) -> str:
-    """Samples, mean square, peak, sign changes, and a checksum of the same sound at 16 kHz."""
+def features(pcm: np.ndarray) -> str:
+    """Samples, mean square, peak, sign changes, and a checksum."""
     wide = pcm.astype(np.int64)
     turns = int(np.count_nonzero(np.signbit(pcm[1:]) != np.signbit(pcm[:-1]))) if len(pcm) else 0
-    again = resample(pcm, rate, 16000)
-    return f"{len(pcm)}|{int(wide @ wide) // max(1, len(pcm))}|{int(np.abs(wide).max(initial=0))}|{turns}|{zlib.crc32(again.astype('<i2').tobytes()):08x}"
+    return f"{len(pcm)}|{int(wide @ wide) // max(1, len(pcm))}|{int(np.abs(wide).max(initial=0))}|{turns}|{zlib.crc32(pcm.astype('<i2').tobytes()):08x}"
 
 
-def media_digest(df: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The stored files' digests: sizes, checksums of the payload read back and of the file, and features of the sound."""
+def media_digest(df: DataFrame, key: str = "doc_id", to_rate: int = STORED_RATE) -> DataFrame:
+    """The stored files' digests: sizes, checksums of the payload read back and of the file, and features of its sound, taken from
+    PCM at `to_rate` that is written to the shared folder and read again.
+
+    A null file, or one that can't be read, has nulls in what is taken from its payload and sound, and a null file in all."""
 
     def read(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                part = batch.slice(at, 128)
-                rows = []
-                for media in part.column(2).to_pylist():
-                    kind, rate, block, data = from_wav(media)
-                    rows.append((len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-64:]), len(media), hashlib.sha256(media).hexdigest(), features(to_pcm(kind, data, block), rate)))
-                kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+            for part in slices(batch, 128):
+                rows, files = [], part.column(2).to_pylist()
+                for media, pcm in zip(files, decode_all(files, to_rate), strict=True):
+                    about = (None, None) if media is None else (len(media), hashlib.sha256(media).hexdigest())
+                    if pcm is None:
+                        rows.append((None, None, None, *about, None))
+                        continue
+                    kind, _, block, data = from_wav(media)
+                    data = payload_of(kind, data, block)
+                    rows.append((len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-64:]), *about, pcm.astype("<i2").tobytes()))
+                kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary())
                 cols = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
-                names = [key, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+                names = [key, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "pcm"]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *cols], names=names)
 
-    return df.select(key, "n_bytes", "media").mapInArrow(read, f"`{key}` long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    def measure(batches):
+        for batch in batches:
+            for part in slices(batch, 512):
+                made = [None if x is None else features(np.frombuffer(x, "<i2")) for x in part.column(part.num_columns - 1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(made, pa.string())], names=[*part.schema.names[:-1], "feature"])
+
+    kinds = f"`{key}` long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, "
+    stored = stage_table(df.select(key, "n_bytes", "media").mapInArrow(read, kinds + "pcm binary"), "pcm")
+    return stored.mapInArrow(measure, kinds + "feature string")
 
 
 def op6_media(spark, sf_dir):
-    """Every whole text stored as mu-law samples, read back and measured."""
-    return media_digest(store_text_media(documents(spark, sf_dir)))
+    """Every whole text stored as telephony samples (mu-law, A-law or ADPCM), decoded, resampled, stored again and measured."""
+    media = store_text_media(documents(spark, sf_dir))
+    out = media_digest(media)
+    drop_table(media)
+    return out
