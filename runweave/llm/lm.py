@@ -1,129 +1,153 @@
-"""Language-model scoring with causal self-attention in numpy.
+"""Language-model scoring with causal self-attention in numpy, on subword ids.
 
-Tokens are words (A-Z in lower case) and one end per document.  A word's subword ids put it into a class: frequent first
-ids have classes of their own, the others share some.  The model predicts the next class from the classes before it, by
-one block of masked self-attention and a feed-forward layer trained with Adam on all of every training document; inside a
-class, a word has the probability (c + 1) / (N_class + V_class + 1) with counts over all training documents.
-So the score is a probability of the whole text (unknown words of a class being one event), and what the corpus adds to
-the base score is what context tells.
+A text is the sequence of its subword ids and one end.  Ids are ranked by their frequency in all training documents, and a
+rank is written in three digits to the base of the vocabulary's cube root.  The model predicts the first digit, the second
+given the first, and the third given both: three softmaxes of a few dozen classes each, whose product is a probability for
+every id.  Each softmax starts from the digits' frequencies in all training documents (one added to each id's count) and is
+moved by what one block of masked self-attention and a feed-forward layer make of the ids before.
 
-A document is scored in windows of CONTEXT classes that overlap by OVERLAP: each token is scored once, with at least
-OVERLAP classes of context unless it stands nearer to the start; windows of many documents form one batch.
+Documents are scored in windows of CONTEXT ids that overlap by OVERLAP: each id is scored once, with at least OVERLAP ids
+of context unless it stands nearer to the start; windows of many documents form one batch.
 
-Training starts on the driver from a few documents.  From there, each task trains a copy of the model on all windows of its
-documents, and the copies are averaged by the numbers of words that they learnt from.
+Training (Adam) starts on the driver from windows of a few documents.  From there, each task trains a copy of the model on
+all windows of its training documents, each id a target once, and the copies are averaged by the numbers of ids.
 
-Counts and classes are gathered from all training documents.  Words with many occurrences, at most FREQUENT of them by a histogram of
-the counts, are broadcast; the counts of all others reach the documents by a join.
+The base score and the numbers of known tokens are of words.  Words with many occurrences, at most FREQUENT of them by a
+histogram of the counts, are broadcast; the counts of all others reach the documents by a join.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from math import log10
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runweave.llm.common import documents, lower_words, stage_table
-from runweave.llm.token_ids import Seen, encoder, slices, vocabulary_path
+from runweave.llm.common import documents, drop_table, stage_table
+from runweave.llm.token_ids import binaries, encoder, slices, text_slices, vocabulary_path
 
-CLASSES, SHARED = 40, 8  # the last class is the end; SHARED classes take the ids without a class of their own
 CONTEXT, OVERLAP, WIDTH, HIDDEN = 32, 8, 16, 32
 FREQUENT = 131_072
-SAMPLE, SAMPLE_WORDS = 600, 2000  # documents and words of each that the training starts from
-STEPS, BATCH, RATE = 400, 96, 0.01
-BLOCKS = 64  # of a step over whole texts; larger batches take more CPU a block
-END = CLASSES - 1
-MOST_COUNTED = 300_000
-
-
-def class_table(counts: dict[int, int], size: int) -> np.ndarray:
-    """Class by first subword id, out of the ids' counts."""
-    table = np.arange(size) % SHARED
-    for c, (i, _) in enumerate(sorted(counts.items(), key=lambda x: (-x[1], x[0]))[: CLASSES - 1 - SHARED]):
-        table[i] = SHARED + c
-    return table.astype(np.int16)
-
-
-class Words:
-    """A worker's word classes, remembered."""
-
-    def __init__(self, path: str, table: np.ndarray | None = None):
-        tool = encoder(path)
-        self.tool, self.dtype, self.table = tool, tool.dtype, table
-        self.classes = Seen(lambda word: int(self.table[self.first(word)]))
-
-    def first(self, word: bytes) -> int:
-        return int(np.frombuffer(self.tool.rest[word.decode()][: self.dtype.itemsize], self.dtype)[0])
-
-    def turn(self) -> None:
-        for seen in (self.classes, self.tool.rest, self.tool.parts):
-            if len(seen) > MOST_COUNTED:
-                seen.turn()
+SAMPLE, SAMPLE_WINDOWS = 600, 32  # documents, and windows of each, that the training starts from
+STEPS, BATCH, RATE = 300, 96, 0.01
+BLOCKS = 128  # of a step over whole texts
+SCORED = 256  # windows that are scored at a time
+
+
+class Ranks:
+    """Ids by falling frequency, the digits of their ranks, and the digits' log shares."""
+
+    def __init__(self, counts: np.ndarray):
+        """counts: of each id, the end being the last."""
+        self.size = len(counts)
+        self.base = next(b for b in range(2, 1 << 11) if b**3 >= self.size)
+        order = np.lexsort((np.arange(self.size), -counts))
+        self.rank = np.empty(self.size, np.int32)
+        self.rank[order] = np.arange(self.size, dtype=np.int32)
+        b, weight = self.base, np.zeros(self.base**3)
+        weight[: self.size] = counts[order] + 1.0
+        share = lambda w: np.log(np.maximum(w, 1e-300)) - np.log(np.maximum(w.sum(axis=-1, keepdims=True), 1e-300))
+        third = weight.reshape(b * b, b)
+        second = third.sum(axis=1).reshape(b, b)
+        self.shares = [np.maximum(share(w), -80).astype(np.float32) for w in (second.sum(axis=1), second, third)]
+        # inputs: a row for each of the most frequent ranks, one for each group of a base of others, one for no id
+        self.rows = np.minimum(np.arange(self.size + 1), b * b) * 0
+        ranks = np.arange(self.size)
+        self.rows[: self.size] = np.where(ranks < b * b, ranks, b * b + ranks // b)
+        self.rows[self.size] = self.none = 2 * b * b
 
 
 class Model:
-    """One block of causal self-attention over classes.  Parameters: embeddings of classes (and of a pad) and of places,
-    query, key, value and output projections, a feed-forward layer, and the classes' output weights."""
-
-    def __init__(self, seed: int = 7):
-        rng, d = np.random.default_rng(seed), WIDTH
-        shapes = {"E": (CLASSES + 1, d), "P": (CONTEXT, d), "Q": (d, d), "K": (d, d), "V": (d, d), "O": (d, d), "A": (d, HIDDEN), "a": (HIDDEN,), "B": (HIDDEN, d), "b": (d,), "U": (d, CLASSES), "u": (CLASSES,)}
-        self.p = {k: (rng.normal(0, 0.3 if k in "EP" else 1 / np.sqrt(s[0]), s) * (k not in "abu")).astype(np.float32) for k, s in shapes.items()}
+    """One block of causal self-attention.  Parameters: embeddings of ranks (frequent ones singly, others by groups) and of
+    places, query, key, value and output projections, a feed-forward layer, and for each digit the weights of its softmax,
+    which the digits before it scale."""
+
+    def __init__(self, ranks: Ranks, seed: int = 7):
+        rng, d, b = np.random.default_rng(seed), WIDTH, ranks.base
+        self.ranks = ranks
+        shapes = {"E": (ranks.none + 1, d), "P": (CONTEXT, d), "Q": (d, d), "K": (d, d), "V": (d, d), "O": (d, d), "A": (d, HIDDEN), "a": (HIDDEN,), "B": (HIDDEN, d), "b": (d,), "U": (d, b), "W": (d, b), "X": (d, b), "G": (b, d), "H": (b * b, d)}
+        first = {"E": 0.3, "P": 0.3, "U": 0.05, "W": 0.05, "X": 0.05, "a": 0, "b": 0}
+        self.p = {k: (np.ones(s) if k in "GH" else rng.normal(0, first.get(k, 1 / np.sqrt(s[0])), s)).astype(np.float32) for k, s in shapes.items()}
         self.mask = np.where(np.tril(np.ones((CONTEXT, CONTEXT), bool)), 0, -1e9).astype(np.float32)
 
     def _attend(self, x: np.ndarray, first: int):
+        """Embeddings, queries, keys, values, attention and what is attended to, for windows of input rows."""
         p = self.p
-        h = p["E"][x] + p["P"]
+        h = p["E"][x[:, first:]] + p["P"][first:]
         q, k, v = (p["E"] @ p["Q"])[x[:, first:]] + (p["P"] @ p["Q"])[first:], (p["E"] @ p["K"])[x] + p["P"] @ p["K"], (p["E"] @ p["V"])[x] + p["P"] @ p["V"]
         s = q @ k.transpose(0, 2, 1)
         s *= np.float32(1 / np.sqrt(WIDTH))
         s += self.mask[first:]
-        s += np.where(x == CLASSES, np.float32(-1e9), np.float32(0))[:, None, :]
+        if (x == self.ranks.none).any():
+            s += np.where(x == self.ranks.none, np.float32(-1e9), np.float32(0))[:, None, :]
         s -= s.max(axis=2, keepdims=True)
         np.exp(s, out=s)
         s /= s.sum(axis=2, keepdims=True)
-        o = s @ v
-        return h, q, k, v, s, o
+        return h, q, k, v, s, s @ v
+
+    def _digits(self, y: np.ndarray):
+        b = self.ranks.base
+        return y // (b * b), y // b, (y // b) % b, y % b
+
+    def _shares(self, h: np.ndarray, y: np.ndarray):
+        """For states h (rows) and the ranks y that follow: the digits' probabilities, three in a row."""
+        p, (one, both, two, three) = self.p, self._digits(y)
+        s1, s2, s3 = self.ranks.shares
+        z = np.empty((len(h), 3, self.ranks.base), h.dtype)
+        g, k = h * p["G"][one], h * p["H"][both]
+        z[:, 0] = h @ p["U"] + s1
+        z[:, 1] = g @ p["W"]
+        z[:, 1] += s2[one]
+        z[:, 2] = k @ p["X"]
+        z[:, 2] += s3[both]
+        z -= z.max(axis=2, keepdims=True)
+        return z, g, k, np.stack([one, two, three], axis=1), both
 
-    def logits(self, x: np.ndarray, first: int = 0):
-        """Log-probabilities (natural) of the class after each place from `first` on, for a batch of windows."""
+    def log_probabilities(self, x: np.ndarray, y: np.ndarray, w: np.ndarray, first: int = 0) -> np.ndarray:
+        """Natural logarithms, for windows of input rows x, of the ranks y at the places (from `first` on) that w marks, in order."""
         p = self.p
         h, *_, o = self._attend(x, first)
-        h = h[:, first:] + o @ p["O"]
+        w = w[:, first:]
+        h = (h + o @ p["O"])[w]
         h = h + np.maximum(h @ p["A"] + p["a"], 0) @ p["B"] + p["b"]
-        z = h @ p["U"] + p["u"]
-        z -= z.max(axis=2, keepdims=True)
-        z -= np.log(np.exp(z).sum(axis=2, keepdims=True))
-        return z
+        z, _, _, digits, _ = self._shares(h, y[:, first:][w])
+        got = np.take_along_axis(z, digits[:, :, None], axis=2)[:, :, 0]
+        np.exp(z, out=z)
+        return (got - np.log(z.sum(axis=2))).sum(axis=1)
 
     def gradients(self, x: np.ndarray, y: np.ndarray, w: np.ndarray):
         """Mean loss over the places that w marks, and the parameters' gradients."""
         p, g = self.p, {}
         h0, q, k, v, s, o = self._attend(x, 0)
         h1 = h0 + o @ p["O"]
-        f = h1 @ p["A"] + p["a"]
+        n, part = max(1, int(w.sum())), h1[w]
+        f = part @ p["A"] + p["a"]
         r = np.maximum(f, 0)
-        h2 = h1 + r @ p["B"] + p["b"]
-        z = h2 @ p["U"] + p["u"]
-        z -= z.max(axis=2, keepdims=True)
-        e = np.exp(z)
-        prob = e / e.sum(axis=2, keepdims=True)
-        n, (i, j) = max(1.0, float(w.sum())), np.indices(x.shape)
-        loss = -float((np.log(prob[i, j, y] + 1e-12) * w).sum()) / n
-        dz = prob
-        dz[i, j, y] -= 1
-        dz *= (w / n)[:, :, None].astype(np.float32)
-        flat = lambda m: m.reshape(-1, m.shape[-1])
-        g["U"], g["u"] = flat(h2).T @ flat(dz), flat(dz).sum(0)
-        dh2 = dz @ p["U"].T
-        g["B"], g["b"] = flat(r).T @ flat(dh2), flat(dh2).sum(0)
+        h2 = part + r @ p["B"] + p["b"]
+        z, hg, hk, digits, both = self._shares(h2, y[w])
+        got = np.take_along_axis(z, digits[:, :, None], axis=2)[:, :, 0]
+        np.exp(z, out=z)
+        total = z.sum(axis=2)
+        loss = float((np.log(total) - got).sum()) / n
+        z /= total[:, :, None]
+        at = np.arange(len(z))
+        for level in range(3):
+            z[at, level, digits[:, level]] -= 1
+        z *= np.asarray(1 / n, z.dtype)
+        z1, z2, z3 = z[:, 0], z[:, 1], z[:, 2]
+        g["U"], g["W"], g["X"] = h2.T @ z1, hg.T @ z2, hk.T @ z3
+        back2, back3 = z2 @ p["W"].T, z3 @ p["X"].T
+        g["G"], g["H"] = _gathered(digits[:, 0], back2 * h2, len(p["G"])), _gathered(both, back3 * h2, len(p["H"]))
+        dh2 = z1 @ p["U"].T + back2 * p["G"][digits[:, 0]] + back3 * p["H"][both]
+        g["B"], g["b"] = r.T @ dh2, dh2.sum(0)
         df = (dh2 @ p["B"].T) * (f > 0)
-        g["A"], g["a"] = flat(h1).T @ flat(df), flat(df).sum(0)
-        dh1 = dh2 + df @ p["A"].T
+        g["A"], g["a"] = part.T @ df, df.sum(0)
+        dh1 = np.zeros_like(h1)
+        dh1[w] = dh2 + df @ p["A"].T
+        flat = lambda m: m.reshape(-1, m.shape[-1])
         g["O"] = flat(o).T @ flat(dh1)
         do = dh1 @ p["O"].T
         ds, dv = do @ v.transpose(0, 2, 1), s.transpose(0, 2, 1) @ do
@@ -133,20 +157,26 @@ class Model:
         for name, d in (("Q", dq), ("K", dk), ("V", dv)):
             g[name] = flat(h0).T @ flat(d)
         g["P"] = dh0.sum(0)
-        g["E"] = np.eye(CLASSES + 1, dtype=dh0.dtype)[x.ravel()].T @ flat(dh0)
+        g["E"] = _gathered(x.ravel(), flat(dh0), len(p["E"]))
         return loss, g
 
-    def fit(self, sequences: list[np.ndarray], steps: int = STEPS, seed: int = 11) -> float:
-        """Adam over windows drawn from the sequences of classes; returns the mean loss of the last steps."""
-        pieces = [windows(s) for s in sequences]
-        if not pieces:
-            return float("nan")
-        x, y, w = (np.concatenate([p[k] for p in pieces]) for k in range(3))
-        rng, adam, losses = np.random.default_rng(seed), Adam(self), []
-        for t in range(1, steps + 1):
+    def fit(self, x: np.ndarray, y: np.ndarray, w: np.ndarray, steps: int | None = None, seed: int = 11) -> None:
+        """Adam over windows drawn from those given."""
+        rng, adam, steps = np.random.default_rng(seed), Adam(self), STEPS if steps is None else steps
+        for t in range(1, steps + 1 if len(x) else 0):
             some = rng.integers(0, len(x), BATCH)
-            losses.append(adam.step(x[some], y[some], w[some], RATE * min(1, 2 * (1 - t / (steps + 1)))))
-        return float(np.mean(losses[-50:]))
+            adam.step(x[some], y[some], w[some], RATE * min(1, 2 * (1 - t / (steps + 1))))
+
+
+def _gathered(at: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
+    """Sums of the rows by their places."""
+    out = np.zeros((size, rows.shape[1]), rows.dtype)
+    if len(at):
+        order = np.argsort(at, kind="stable")
+        found = at[order]
+        first = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]]))
+        out[found[first]] = np.add.reduceat(rows[order], first, axis=0)
+    return out
 
 
 class Adam:
@@ -161,9 +191,9 @@ class Adam:
         self.t += 1
         m, v, p = self.m, self.v, self.model.p
         for k in p:
-            m[k] = 0.9 * m[k] + 0.1 * g[k]
-            v[k] = 0.99 * v[k] + 0.01 * g[k] ** 2
-            p[k] -= (rate * (m[k] / (1 - 0.9**self.t)) / (np.sqrt(v[k] / (1 - 0.99**self.t)) + 1e-8)).astype(np.float32)
+            m[k] += np.float32(0.1) * (g[k] - m[k])
+            v[k] += np.float32(0.01) * (g[k] * g[k] - v[k])
+            p[k] -= np.float32(rate / (1 - 0.9**self.t)) * m[k] / (np.sqrt(v[k] * np.float32(1 / (1 - 0.99**self.t))) + np.float32(1e-8))
         return loss
 
 
@@ -171,7 +201,7 @@ class Learner:
     """Trains a model on every block of the sequences it is given, each once, in batches of mixed blocks."""
 
     def __init__(self, model: Model, seed: int = 13):
-        self.model, self.adam, self.rng, self.rest, self.learnt = model, Adam(model), np.random.default_rng(seed), [], 0
+        self.model, self.adam, self.rng, self.rest, self.learnt = model, Adam(model), np.random.default_rng(seed), None, 0
 
     def _step(self, x: np.ndarray, y: np.ndarray, w: np.ndarray) -> None:
         t = self.adam.t + 1
@@ -179,147 +209,172 @@ class Learner:
         self.learnt += int(w.sum())
 
     def learn(self, sequences: list[np.ndarray], last: bool = False) -> None:
-        pieces = [*self.rest, *map(blocks, sequences)]
-        if not pieces:
+        if sequences:
+            new = blocks(self.model.ranks, sequences)
+            self.rest = new if self.rest is None else tuple(map(np.concatenate, zip(self.rest, new)))
+        if self.rest is None:
             return
-        parts = tuple(np.concatenate([p[k] for p in pieces]) for k in range(3))
-        order = self.rng.permutation(len(parts[0]))
-        full = len(order) // BLOCKS * BLOCKS
+        order = self.rng.permutation(len(self.rest[0]))
+        full = len(order) if last else len(order) // BLOCKS * BLOCKS
         for at in range(0, full, BLOCKS):
-            self._step(*(p[order[at : at + BLOCKS]] for p in parts))
-        self.rest = [tuple(p[order[full:]] for p in parts)] if full < len(order) else []
-        if last and self.rest:
-            self._step(*self.rest.pop())
-
-
-def blocks(classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A document's classes as windows() has them, in blocks that don't overlap: inputs, targets, and which places count."""
-    n = OVERLAP + len(classes) + 1
-    x, y, w = np.full(-(-n // CONTEXT) * CONTEXT, CLASSES, np.int16), np.zeros(-(-n // CONTEXT) * CONTEXT, np.int16), np.zeros(-(-n // CONTEXT) * CONTEXT, bool)
-    x[OVERLAP], x[OVERLAP + 1 : n] = END, classes
-    y[OVERLAP : n - 1], y[n - 1] = classes, END
-    w[OVERLAP:n] = True
-    return x.reshape(-1, CONTEXT), y.reshape(-1, CONTEXT), w.reshape(-1, CONTEXT)
-
-
-def windows(classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Overlapping windows of a document's classes (without the end): inputs, targets, and which places are scored.
-
-    The sequence begins after an end and is followed by one; each target is marked in exactly one window."""
-    step, n = CONTEXT - OVERLAP, len(classes) + 1
-    count = -(-n // step)
-    x = np.full(OVERLAP + count * step, CLASSES, np.int16)
-    y = np.zeros(OVERLAP + count * step, np.int16)
-    w = np.zeros(OVERLAP + count * step, bool)
-    x[OVERLAP], x[OVERLAP + 1 : OVERLAP + n] = END, classes
-    y[OVERLAP : OVERLAP + n - 1], y[OVERLAP + n - 1] = classes, END
-    w[OVERLAP : OVERLAP + n] = True
-    cut = lambda a: np.lib.stride_tricks.sliding_window_view(a, CONTEXT)[::step].copy()
-    scored = cut(w)
-    scored[:, :OVERLAP] = False
-    return cut(x), cut(y), scored
-
-
-def context_scores(model: Model, documents_: list[np.ndarray]) -> list[float]:
-    """log10 probability of each document's classes, its end included."""
-    cut = [windows(c) for c in documents_]
-    sizes = [len(c[0]) for c in cut]
-    x, y, w = (np.concatenate([c[k] for c in cut]) for k in range(3)) if cut else (np.zeros((0, CONTEXT), np.int16),) * 3
-    per = np.zeros(len(x))
-    for at in range(0, len(x), 512):
-        part = slice(at, at + 512)
-        z = model.logits(x[part], OVERLAP)
-        got = np.take_along_axis(z, y[part, OVERLAP:, None].astype(np.int64), axis=2)[:, :, 0]
-        per[part] = (got * w[part, OVERLAP:]).sum(axis=1, dtype=np.float64)
+            self._step(*(p[order[at : min(at + BLOCKS, full)]] for p in self.rest))
+        self.rest = tuple(p[order[full:]] for p in self.rest) if full < len(order) else None
+
+
+def _cut(ranks: Ranks, sequences: list[np.ndarray], step: int, wide: int, lead: int):
+    """Inputs, targets and marks of sequences of ranks (each with its end), each after an end, in windows of `wide` places at
+    multiples of `step` of what begins with `lead` empty places; and the windows of each."""
+    sizes = np.array([len(s) for s in sequences], np.int64)
+    counts = -(-(sizes + (0 if step < wide else lead)) // step)
+    spans = counts * step + (wide - step)
+    starts = np.cumsum(spans) - spans
+    x, y, w = np.full(int(spans.sum()), ranks.none, np.int32), np.zeros(int(spans.sum()), np.int32), np.zeros(int(spans.sum()), bool)
+    at = np.repeat(starts + lead - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+    flat = np.concatenate(sequences).astype(np.int32)
+    y[at], w[at] = flat, True
     ends = np.cumsum(sizes)
-    total = np.concatenate([[0.0], np.cumsum(per)])
-    return [float(total[e] - total[e - n]) / np.log(10) for e, n in zip(ends, sizes, strict=True)]
+    before = np.empty_like(flat)
+    before[1:] = flat[:-1]
+    before[ends - sizes] = ranks.rank[-1]  # a text begins after an end
+    x[at] = ranks.rows[before]
+    first = np.repeat(starts - (np.cumsum(counts) - counts) * step, counts) + np.arange(int(counts.sum())) * step
+    places = first[:, None] + np.arange(wide)
+    return x[places], y[places], w[places], counts
+
+
+def blocks(ranks: Ranks, sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sequences of ranks, each with its end, in blocks that don't overlap: input rows, targets, and which places count."""
+    return _cut(ranks, sequences, CONTEXT, CONTEXT, OVERLAP)[:3]
+
+
+def windows(ranks: Ranks, sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The same in overlapping windows; each target is marked in exactly one, in its order.  And the windows of each sequence."""
+    x, y, w, counts = _cut(ranks, sequences, CONTEXT - OVERLAP, CONTEXT, OVERLAP)
+    w[:, :OVERLAP] = False
+    return x, y, w, counts
+
+
+def context_scores(model: Model, sequences: list[np.ndarray]) -> np.ndarray:
+    """log10 probability of each sequence of ranks, its end included."""
+    if not sequences:
+        return np.zeros(0)
+    x, y, w, _ = windows(model.ranks, sequences)
+    per = [model.log_probabilities(x[at : at + SCORED], y[at : at + SCORED], w[at : at + SCORED], OVERLAP) for at in range(0, len(x), SCORED)]
+    sizes = np.array([len(s) for s in sequences])
+    return np.add.reduceat(np.concatenate(per).astype(np.float64), np.cumsum(sizes) - sizes) / np.log(10)
 
 
 def held_out(key: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit(""))) % 7 == 2
 
 
-def word_counts(train: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """word (binary; a line feed stands for the end), n and its first subword id (-1 for the end), over all rows."""
+def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Lower-case words of all texts one after the other, and how many each has, by Arrow."""
+    listed = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    flat, counts = pc.list_flatten(listed), np.asarray(pc.list_value_length(listed)).astype(np.int64)
+    some = np.asarray(pc.greater(pc.binary_length(flat), 0))
+    rows = np.repeat(np.arange(len(counts)), counts)[some]
+    return flat.filter(pa.array(some)), np.bincount(rows, minlength=len(counts))
 
-    def count(batches):
-        seen = Counter()
 
-        def out():
-            return pa.RecordBatch.from_arrays([pa.array(list(seen.keys()), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
+def word_counts(train: DataFrame, text: str = "text") -> DataFrame:
+    """word (a line feed stands for the end) and n, over all rows."""
 
+    def count(batches):
         for batch in batches:
-            for part in slices(batch):
-                for t in part.column(0).to_pylist():
-                    seen.update(lower_words(t))
-                    seen[b"\n"] += 1
-                if len(seen) > MOST_COUNTED:
-                    yield out()
-                    seen = Counter()
-        yield out()
-
-    def with_id(batches):
-        words = Words(path)
+            for part in text_slices(batch, 0):
+                words, _ = _words(part.column(0))
+                met = pc.value_counts(words)
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays([met.field(0), pa.array(["\n"])]), pa.concat_arrays([met.field(1), pa.array([part.num_rows], pa.int64())])], names=["word", "n"])
+
+    return stage_table(train.select(text).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
+
+
+def encoded(df: DataFrame, path: str, learn, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """k (the key), th (hash of the text), learn and ids (with the end's after them) of each row; each task's last row has
+    a null for learn and, as ids, how often the rows to learn from have each id, as 64-bit integers."""
+
+    def run(batches):
+        tool = encoder(path)
+        met = np.zeros(tool.size + 1, np.int64)
         for batch in batches:
-            for part in slices(batch, 4096):
-                words.turn()
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([-1 if w == b"\n" else words.first(w) for w in part.column(0).to_pylist()], pa.int32())], names=["word", "n", "first"])
+            for part in text_slices(batch, 3):
+                ids, sizes = tool.encode_many(part.column(3), tool.size)
+                met += np.bincount(ids[np.repeat(np.asarray(part.column(2)), sizes)], minlength=len(met))
+                for row in range(0, part.num_rows, 256):
+                    own, some, begin = part.slice(row, 256), sizes[row : row + 256], int(sizes[:row].sum())
+                    yield pa.RecordBatch.from_arrays([*own.columns[:3], binaries(ids[begin : begin + int(some.sum())], some)], names=["k", "th", "learn", "ids"])
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([None], pa.bool_()), pa.array([met.tobytes()], pa.binary())], names=["k", "th", "learn", "ids"])
 
-    counts = train.select(text).mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return stage_table(counts.mapInArrow(with_id, "word binary, n long, first int"), "word-counts")
+    rows = df.select(F.col(key).cast("long").alias("k"), F.xxhash64(text).alias("th"), F.coalesce(learn, F.lit(False)).alias("learn"), text)
+    return stage_table(rows.mapInArrow(run, "k long, th long, learn boolean, ids binary"), "encoded")
 
 
-class Index(dict):
-    """Places of frequent words, and -1 minus the class of every other one."""
+def id_counts(coded: DataFrame, size: int) -> np.ndarray:
+    """How often each id occurs in what is learnt from, out of the tasks' own counts: at most a row per id reaches the driver."""
+
+    def split(batches):
+        for batch in batches:
+            for x in batch.column(0):
+                met = np.frombuffer(x.as_buffer(), np.int64)
+                some = np.flatnonzero(met)
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(met[some], pa.int64())], names=["id", "n"])
 
-    def __init__(self, order: dict[bytes, int], words: Words):
-        super().__init__(order)
-        self.words = words
+    out = np.zeros(size, np.int64)
+    for r in coded.filter("learn IS NULL").select("ids").mapInArrow(split, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
+        out[r["id"]] = r["n"]
+    return out
 
-    def __missing__(self, word: bytes) -> int:
-        return -1 - self.words.classes[word]
 
-    def sequence(self, tokens: list[bytes], cls: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The tokens' places, which of them are frequent, and their classes."""
-        at = np.fromiter(map(self.__getitem__, tokens), np.int32, len(tokens))
-        often = at >= 0
-        return at, often, np.where(often, cls[at] if len(cls) else 0, -1 - at).astype(np.int16)
+def _sequences(column: pa.Array, ranks: Ranks, dtype: np.dtype) -> list[np.ndarray]:
+    return [ranks.rank[np.frombuffer(x.as_buffer(), dtype)] for x in column]
 
 
-def start_model(train: DataFrame, path: str, table: np.ndarray, key: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> Model:
-    """A model fitted to the `sample` training documents whose keys hash lowest, up to SAMPLE_WORDS words of each."""
-    chosen = [r["h"] for r in train.select(F.xxhash64(key).alias("h")).orderBy("h").limit(sample).collect()]
-    rows = train.filter(F.xxhash64(key).isin(chosen)).select(F.xxhash64(key).alias("h"), F.xxhash64(text).alias("t"), F.substring(text, 1, 16 * SAMPLE_WORDS).alias("text")).orderBy("h", "t").limit(sample).collect() if chosen else []
-    words, model = Words(path, table), Model()
-    model.fit([np.array([words.classes[w] for w in lower_words(r["text"])[:SAMPLE_WORDS]], np.int16) for r in rows])
+def start_model(train: DataFrame, ranks: Ranks, dtype: np.dtype, sample: int = SAMPLE) -> Model:
+    """A model fitted to windows of the `sample` training documents whose keys hash lowest: SAMPLE_WINDOWS of each at most, spread
+    over the whole document.  Only where training begins: fit_model() goes on through everything."""
+
+    def some(batches):
+        for batch in batches:
+            for part in slices(batch):
+                for r, seq in enumerate(_sequences(part.column(1), ranks, dtype)):
+                    x, y, w = blocks(ranks, [seq])
+                    at = np.unique(np.linspace(0, len(x) - 1, SAMPLE_WINDOWS).astype(int))
+                    raw = [pa.array([a[at].astype(np.int32).tobytes()], pa.binary()) for a in (x, y, w)]
+                    yield pa.RecordBatch.from_arrays([part.column(0).slice(r, 1), *raw], names=["h", "x", "y", "w"])
+
+    keyed = train.select(F.xxhash64("k", "th").alias("h"), "ids")
+    chosen = [r["h"] for r in keyed.select("h").orderBy("h").limit(sample).collect()]
+    model = Model(ranks)
+    found = keyed.filter(F.col("h").isin(chosen)).mapInArrow(some, "h long, x binary, y binary, w binary").orderBy("h").limit(sample).collect() if chosen else []
+    if found:
+        x, y, w = (np.concatenate([np.frombuffer(r[c], np.int32) for r in found]).reshape(-1, CONTEXT) for c in "xyw")
+        model.fit(x, y, w.astype(bool))
     return model
 
 
-def fit_model(train: DataFrame, path: str, table: np.ndarray, order: dict[bytes, int], cls: np.ndarray, key: str = "doc_id", text: str = "text") -> Model:
+def fit_model(train: DataFrame, ranks: Ranks, dtype: np.dtype) -> Model:
     """A model trained on all of every training document.  Each task goes on from start_model() through all its documents;
     the mean of the tasks' parameters, by the numbers of targets, is the model.  Only sums per parameter reach the driver."""
-    model = start_model(train, path, table, key, text)
-    shared = train.sparkSession.sparkContext.broadcast((order, cls, model, table))
+    model = start_model(train, ranks, dtype)
+    shared = train.sparkSession.sparkContext.broadcast((model.p, ranks))
 
     def learn(batches):
-        order, cls, model, table = shared.value
-        own = Model()
-        own.p = {k: a.copy() for k, a in model.p.items()}
-        words = Words(path, table)
-        index, learner = Index(order, words), Learner(own)
+        params, ranks = shared.value
+        own = Model(ranks)
+        own.p = {k: a.copy() for k, a in params.items()}
+        learner = Learner(own)
         for batch in batches:
-            for part in slices(batch):
-                words.turn()
-                learner.learn([index.sequence(lower_words(t), cls)[2] for t in part.column(0).to_pylist()])
+            for part in slices(batch, 128):
+                learner.learn(_sequences(part.column(0), ranks, dtype))
         learner.learn([], last=True)
         if learner.learnt:
             flat = np.concatenate([a.ravel() for a in own.p.values()]).astype(np.float64) * learner.learnt
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat) + 1), pa.int32()), pa.array(np.append(flat, learner.learnt), pa.float64())], names=["at", "part"])
 
-    sums = train.select(text).mapInArrow(learn, "at int, part double").groupBy("at").agg(F.sum("part").alias("sum")).collect()
-    if sums:
-        flat = np.array([r["sum"] for r in sorted(sums, key=lambda r: r["at"])])
+    sums = train.select("ids").mapInArrow(learn, "at int, part double").groupBy("at").agg(F.sum("part").alias("sum")).toArrow()
+    if sums.num_rows:
+        flat = np.asarray(sums["sum"])[np.argsort(np.asarray(sums["at"]))]
         flat = (flat[:-1] / flat[-1]).astype(np.float32)
         for k, a in model.p.items():
             model.p[k], flat = flat[: a.size].reshape(a.shape), flat[a.size :]
@@ -327,20 +382,64 @@ def fit_model(train: DataFrame, path: str, table: np.ndarray, order: dict[bytes,
     return model
 
 
-def score_documents(df: DataFrame, train: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n_tokens, n_known, train_tokens, base_score, score for every row of `df`, learning from `train`.
-
-    A null text is one end; null keys and repeated rows stay as they are; without training rows all words are unknown and N
-    is 0; an empty df gives an empty result; other columns are not looked at."""
-    spark = df.sparkSession
-    counts = word_counts(train, path, text)
-    by_id = {r["first"]: (r["n"], r["v"]) for r in counts.groupBy("first").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()}
-    table = class_table({i: x for i, (x, _) in by_id.items() if i >= 0}, encoder(path).size)
-    n, v = sum(x for x, _ in by_id.values()), sum(x for _, x in by_id.values())
-    inside = [0] * CLASSES
-    for i, x in by_id.items():
-        inside[END if i < 0 else table[i]] += sum(x)
-    norm = np.array([log10(x + 1) for x in inside])
+def word_scores(df: DataFrame, counts: DataFrame, least: int | None, key: str, text: str) -> DataFrame:
+    """rid, k, th, n_tokens, n_known and logs (the sum of log10(c + 1)) for every row; counts of `least` and more are broadcast."""
+    top = counts.filter(F.col("n") >= (least or 1 << 62)).toArrow()
+    shared = df.sparkSession.sparkContext.broadcast((dict(zip(top["word"].to_pylist(), range(top.num_rows))), np.log10(np.asarray(top["n"], dtype=np.float64) + 1)))
+
+    def score(batches):
+        order, logs = shared.value
+        logs = np.append(logs, 0.0)
+        end = order.get("\n", -1)
+        for batch in batches:
+            for part in text_slices(batch, 3):
+                words, sizes = _words(part.column(3))
+                coded = words.dictionary_encode()
+                kinds = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+                place = np.fromiter((order.get(x, -1) for x in kinds), np.int64, len(kinds))[np.asarray(coded.indices)]
+                row = np.repeat(np.arange(part.num_rows), sizes)
+                often, rest = place >= 0, np.flatnonzero(place < 0)
+                known = np.bincount(row, often, part.num_rows).astype(np.int64) + (end >= 0)
+                total = np.bincount(row, logs[place], part.num_rows) + logs[end]
+                pairs, times = np.unique(row[rest] * max(1, len(kinds)) + np.asarray(coded.indices)[rest], return_counts=True)
+                rare_row, rare = pairs // max(1, len(kinds)), pa.array(pairs % max(1, len(kinds)), pa.int64())
+                a, b = part.num_rows, len(pairs)
+                none = lambda n, kind: pa.nulls(n, kind)
+                rids = part.column(0)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.concat_arrays([rids, rids.take(pa.array(rare_row))]), pa.concat_arrays([part.column(1), none(b, pa.int64())]), pa.concat_arrays([part.column(2), none(b, pa.int64())]),
+                        pa.concat_arrays([none(a, pa.string()), coded.dictionary.take(rare).cast(pa.string())]), pa.array(np.concatenate([sizes + 1, times])), pa.array(np.concatenate([known, np.zeros(b, np.int64)])), pa.array(np.concatenate([total, np.zeros(b)])),
+                    ],
+                    names=["rid", "k", "th", "word", "n", "known", "logs"],
+                )
+
+    # the row numbers are written down with what belongs to them, so a lost executor can't change them between two reads
+    numbered = df.select(F.monotonically_increasing_id().alias("rid"), F.col(key).cast("long").alias("k"), F.xxhash64(text).alias("th"), text)
+    scored = stage_table(numbered.mapInArrow(score, "rid long, k long, th long, word string, n long, known long, logs double"), "word-scores")
+    less = counts.filter(F.col("n") < (least or 1 << 62)).select("word", F.col("n").alias("c"))
+    found = scored.filter("word IS NOT NULL").select("rid", "word", "n").join(less, "word")
+    found = found.groupBy("rid").agg(F.sum("n").alias("more"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("more_logs"))
+    rows = scored.filter("word IS NULL").join(found, "rid", "left")
+    out = rows.select("k", "th", F.col("n").alias("n_tokens"), (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), (F.col("logs") + F.coalesce("more_logs", F.lit(0.0))).alias("logs"))
+    out = stage_table(out, "base-scores")
+    drop_table(scored)
+    return out
+
+
+def score_documents(df: DataFrame, path: str, learn, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, n_tokens, n_known, train_tokens, base_score, score for every row of `df`, learning from the rows that `learn` (a
+    boolean column; null is false) marks.
+
+    A null text is one end; null keys and repeated rows stay as they are; without rows to learn from all words are unknown, N
+    is 0 and all ids are equally frequent; an empty df gives an empty result; other columns are not looked at."""
+    spark, tool = df.sparkSession, encoder(path)
+    size, dtype = tool.size + 1, tool.dtype
+    if size > np.iinfo(dtype).max + 1:
+        raise ValueError("the vocabulary leaves no id for the end")
+    counts = word_counts(df.filter(learn), text)
+    about = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
+    n, v = about["n"] or 0, about["v"]
     base = log10(n + v + 1)
     # the least count for which at most FREQUENT words remain, from a histogram of a few hundred rows
     steps = F.floor(F.log2("n") * 16).cast("int")
@@ -350,56 +449,32 @@ def score_documents(df: DataFrame, train: DataFrame, path: str, key: str = "doc_
         if room < 0:
             break
         least = r["least"]
-    top = counts.filter(F.col("n") >= (least or 1 << 62)).toArrow()
-    order = dict(zip(top["word"].to_pylist(), range(top.num_rows)))
-    ids = np.asarray(top["first"], dtype=np.int64)
-    cls = np.where(ids < 0, END, table[ids]).astype(np.int16)
-    model = fit_model(train, path, table, order, cls, key, text)
-    shared = spark.sparkContext.broadcast((order, np.log10(np.asarray(top["n"], dtype=np.float64) + 1), cls, model, table))
+    by_word = word_scores(df, counts, least, key, text)
+    drop_table(counts)
 
-    def score(batches):
-        order, logs, cls, model, table = shared.value
-        words = Words(path, table)
-        end_log = logs[order[b"\n"]] if b"\n" in order else 0.0
-        known_end = b"\n" in order
+    coded = encoded(df, path, learn, key, text)
+    ranks = Ranks(id_counts(coded, size))
+    model = fit_model(coded.filter("learn"), ranks, dtype)
+    shared = spark.sparkContext.broadcast((model.p, ranks))
 
-        index = Index(order, words)
+    def score(batches):
+        params, ranks = shared.value
+        model = Model(ranks)
+        model.p = params
         for batch in batches:
-            for part in slices(batch):
-                words.turn()
-                rows, rare, sequences = [], [], []
-                for rid, k, t in zip(*(c.to_pylist() for c in part.columns)):
-                    tokens = lower_words(t)
-                    at, often, seq = index.sequence(tokens, cls)
-                    sequences.append(seq)
-                    rare += [(rid, w, c) for w, c in Counter(map(tokens.__getitem__, np.flatnonzero(~often).tolist())).items()]
-                    inner = norm[seq].sum() + norm[END]
-                    rows.append([rid, k, len(tokens) + 1, int(often.sum()) + known_end, float(logs[at[often]].sum() + end_log if len(logs) else 0.0), float(-inner)])
-                for row, got in zip(rows, context_scores(model, sequences), strict=True):
-                    row[5] += got
-                a, b = len(rows), len(rare)
-                cols = [
-                    pa.array([r[0] for r in rows] + [r[0] for r in rare], pa.int64()), pa.array([r[1] for r in rows] + [None] * b, pa.int64()), pa.array([None] * a + [r[1] for r in rare], pa.binary()),
-                    pa.array([r[2] for r in rows] + [r[2] for r in rare], pa.int64()), pa.array([r[3] for r in rows] + [0] * b, pa.int64()), pa.array([r[4] for r in rows] + [0.0] * b), pa.array([r[5] for r in rows] + [0.0] * b),
-                ]
-                yield pa.RecordBatch.from_arrays(cols, names=["rid", key, "word", "n", "known", "logs", "context"])
+            for part in slices(batch, 128):
+                got = context_scores(model, _sequences(part.column(2), ranks, dtype))
+                yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(got, pa.float64())], names=["k", "th", "score"])
 
-    # the row numbers are written down with what belongs to them, so a lost executor can't change them between two reads
-    numbered = df.select(F.monotonically_increasing_id().alias("rid"), F.col(key).cast("long").alias(key), text)
-    scored = stage_table(numbered.mapInArrow(score, f"rid long, `{key}` long, word binary, n long, known long, logs double, context double"), "scored")
-    less = counts.filter(F.col("n") < (least or 1 << 62)).select("word", F.col("n").alias("c"))
-    found = scored.filter("word IS NOT NULL").select("rid", "word", "n").join(less, "word")
-    found = found.groupBy("rid").agg(F.sum("n").alias("more"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("more_logs"))
-    rows = scored.filter("word IS NULL").join(found, "rid", "left")
-    logs = F.col("logs") + F.coalesce("more_logs", F.lit(0.0))
-    return rows.select(
-        key, F.col("n").alias("n_tokens"), (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-        (logs - F.col("n") * F.lit(base)).alias("base_score"), (logs + F.col("context")).alias("score"),
-    )
+    by_id = stage_table(coded.filter("learn IS NOT NULL").select("k", "th", "ids").mapInArrow(score, "k long, th long, score double"), "id-scores")
+    drop_table(coded)
+    # equal keys and texts have equal scores
+    by_id = by_id.groupBy("k", "th").agg(F.max("score").alias("score")).withColumnsRenamed({"k": "k2", "th": "th2"})
+    rows = by_word.join(by_id, F.col("k").eqNullSafe(F.col("k2")) & (F.col("th") == F.col("th2")))
+    return rows.select(F.col("k").alias(key), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), (F.col("logs") - F.col("n_tokens") * F.lit(base)).alias("base_score"), "score")
 
 
 def op10_score(spark, sf_dir):
     """Scores of all documents, learnt from those that aren't held out."""
-    docs = documents(spark, sf_dir)
-    out = score_documents(docs, docs.filter(~held_out()), vocabulary_path())
+    out = score_documents(documents(spark, sf_dir), vocabulary_path(), ~held_out())
     return out.withColumn("held_out", held_out()).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")

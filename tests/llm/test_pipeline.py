@@ -62,10 +62,30 @@ def test_pipeline(spark, docs):
         assert at == len(ids)
 
 
-@pytest.mark.parametrize("table", ["odd", "empty"])
-def test_pipeline_on_odd_rows(spark, request, table):
-    stages = dict(play(spark, request.getfixturevalue(table)))
-    assert stages["packing"].count() >= 0
+def test_run_writes_what_the_stages_give(spark, docs, tmp_path):
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    listed = lambda df: sorted((r["doc_id"], r["start"], r["length"], r["ids_crc32"], r["doc_tokens"], r["sequence_id"], r["offset"]) for r in df.collect())
+    assert listed(corpus_pipeline.run(spark, str(tmp_path))) == listed(dict(play(spark, docs))["packing"])
+
+
+def test_pipeline_on_odd_rows(spark, odd):
+    """Of the odd rows, six have a letter and are no copies: wordless texts go, and so do one of (4, 4, 5) and no other."""
+    stages = {n: d.collect() for n, d in play(spark, odd)}
+    ids = lambda n: sorted(r["doc_id"] if r["doc_id"] is not None else -1 for r in stages[n])
+    kept = set(ids("language_id"))
+    assert kept <= {-1, 4, 5, 6, 8, 9} and {4, 5, 6} <= kept
+    assert ids("exact_dedup") == sorted(kept - {4}) == ids("near_dedup")
+    tool = Tokenizer.from_file(vocabulary_path())
+    for r in stages["substring_dedup"]:
+        k = r["doc_id"] if r["doc_id"] is not None else -1
+        own = [p for p in stages["packing"] if (p["doc_id"] if p["doc_id"] is not None else -1) == k]
+        ids_ = [*tool.encode(r["text"], add_special_tokens=False).ids, 1]
+        assert sum(p["length"] for p in own) == len(ids_) and {p["doc_tokens"] for p in own} == {len(ids_)}
+    assert sorted(k for k in ids("packing") if k >= 0) and set(ids("packing")) == set(ids("substring_dedup"))
+
+
+def test_pipeline_on_an_empty_table(spark, empty):
+    assert [(n, d.count()) for n, d in play(spark, empty)] == [(n, 0) for n, _ in corpus_pipeline.STAGES]
 
 
 def test_bench_times_every_corpus_query():
