@@ -1,17 +1,20 @@
 """Mixture-controlled packing: deficit round-robin over source queues.
 
 Each source is a queue of its documents' tokens by ascending key.  Every window of `length` tokens is filled from the
-queues in proportion to their weights; what a source is owed but can't get in whole tokens is its deficit, which it
-carries into the next window.  With one token as the unit of service, the round-robin serves tokens in the order of
-(position + 1/2) / weight; so the number of tokens that each source has given to the first w windows has a closed form
-(`Mixture.given`), deficits stay below a token and the rounding of the other sources, and any task can fill its own part of any window without knowing what
-other tasks do.  A source that has run dry leaves its share to the others.  Only the last window can be short.
+queues in proportion to their weights: a window adds each queue's quantum (its share of the window) to its deficit, the
+queue gives the whole tokens that it is owed, and what is left of the deficit goes on into the next window, and across
+documents, key ranges and tasks.  With one token as the unit of service, tokens are served in the order of
+(position + 1/2) / weight, so the state after any number of windows has a closed form (`Mixture.given`, `Mixture.deficits`).
+That is how a task takes over the deficits of all windows before its own, without running them: a task can fill its part of any
+window without knowing what others do.  A source that has run dry leaves its share to the others.  Only the last window
+can be short.
 """
 
 from __future__ import annotations
 
 import zlib
 from bisect import bisect_right
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +25,7 @@ from runweave.llm.common import documents, stage_table
 from runweave.llm.token_ids import encoder, key_bounds, parts_of, slices, tokenise, vocabulary_path
 
 LENGTH = 2048
+MOST_SOURCES = 100_000
 
 
 class Mixture:
@@ -30,11 +34,12 @@ class Mixture:
     def __init__(self, held: list[int], weights: list[int], length: int = LENGTH):
         self.held, self.weights, self.length, self.total = held, weights, length, sum(held)
         # phases: sources run dry in the order of held / weight
-        order = sorted(range(len(held)), key=lambda s: (held[s] * 10**9 // weights[s], s))
-        self.phases, spent, active = [], 0, sum(weights)
+        order = sorted(range(len(held)), key=lambda s: (Fraction(held[s], weights[s]), s))
+        self.phases, self.dry, spent, active = [], [], 0, sum(weights)
         for s in order:  # (tokens served when the phase begins at the latest, tokens of dry sources, weight of the others)
             served = spent + active * held[s] // weights[s]
             self.phases.append((served, spent, active))
+            self.dry.append((spent + Fraction(active * held[s], weights[s]), spent, active))
             spent, active = spent + held[s], active - weights[s]
         self.ends = [p[0] for p in self.phases]
         self.windows: dict[int, tuple[list[int], list[int]]] = {}
@@ -61,6 +66,23 @@ class Mixture:
             off += -1 if off > 0 else 1
         return got
 
+    def owed(self, tokens: int) -> list[Fraction]:
+        """What is due to each source once `tokens` tokens have been served, whole or not."""
+        if tokens >= self.total:
+            return [Fraction(h) for h in self.held]
+        spent, active = next((spent, active) for end, spent, active in self.dry if end >= tokens)
+        return [min(Fraction(h), Fraction((tokens - spent) * w, active)) for h, w in zip(self.held, self.weights, strict=True)]
+
+    def quanta(self, w: int) -> list[Fraction]:
+        """What window w adds to each source's deficit."""
+        a, b = self.owed(w * self.length), self.owed((w + 1) * self.length)
+        return [y - x for x, y in zip(a, b, strict=True)]
+
+    def deficits(self, w: int) -> list[Fraction]:
+        """What each source carries into window w: what it is owed from the windows before, less what it has given.  Below 0
+        where rounding let it give a token early."""
+        return [x - y for x, y in zip(self.owed(w * self.length), self.given(w * self.length), strict=True)]
+
     def window(self, w: int) -> tuple[list[int], list[int]]:
         """(tokens of each source before window w, place in the window where each source's tokens begin)."""
         found = self.windows.get(w)
@@ -135,16 +157,18 @@ def pack_documents(df: DataFrame, path: str, end_id: int, length: int = LENGTH,
                     at += group[2]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(local, pa.int64())], names=["pid", key, "_source", "n", "ids", "local"])
 
-    ordered = rows.repartition(parts_of(spark), "pid").sortWithinPartitions("pid", "_source", key)
+    ordered = rows.repartitionById(parts_of(spark), "pid").sortWithinPartitions("pid", "_source", key)
     held = stage_table(ordered.mapInArrow(place, f"pid int, `{key}` long, _source string, n long, ids binary, local long"), "queues")
     sums = held.groupBy("_source", "pid").agg(F.sum("n").alias("n"))
     base = sums.withColumn("base", F.coalesce(F.sum("n").over(Window.partitionBy("_source").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     totals = sorted(((r["_source"], r["n"]) for r in sums.groupBy("_source").agg(F.sum("n").alias("n")).collect()), key=lambda x: (x[0] is not None, x[0] or ""))
+    if len(totals) > MOST_SOURCES:
+        raise ValueError(f"{len(totals)} sources: every task holds them all, so MOST_SOURCES is the limit; group them by another column")
     names = [s for s, _ in totals]
     tokens = [n for _, n in totals]
     share = tokens if weights is None else [max(1, int(weights.get(s, 1))) for s in names]
-    # a row for each key range and source at most: the ranges are as many as shuffle partitions
-    base = F.broadcast(base.drop("n").withColumnsRenamed({"pid": "p2", "_source": "s2"}))
+    # a row for each key range and source at most; whether that is small enough for a broadcast is left to the planner
+    base = stage_table(base.drop("n").withColumnsRenamed({"pid": "p2", "_source": "s2"}), "queue-starts")
     joined = held.join(base, (F.col("pid") == F.col("p2")) & F.col("_source").eqNullSafe(F.col("s2")))
 
     def cut(batches):

@@ -183,7 +183,8 @@ def write_token_files(df: DataFrame, path: str, end_id: int, key: str = "doc_id"
             yield out()
 
     rows = plain.mapInArrow(packed, f"pid int, `{key}` long, n long, control binary, data binary")
-    ordered = rows.repartition(parts_of(spark), "pid").sortWithinPartitions("pid", key)
+    # range k in file k: files in the order of their names have the keys in ascending order
+    ordered = rows.repartitionById(parts_of(spark), "pid").sortWithinPartitions("pid", key)
     written = stage_table(ordered.mapInArrow(blocks, "pid int, n_ids long, block binary"), "token-blocks")
     drop_table(staged)
     return TokenFiles(written, by_rank, key)
