@@ -19,6 +19,7 @@ that a passage which a third of all documents hold spreads over as many tasks as
 from __future__ import annotations
 
 import hashlib
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,8 @@ from runweave.llm.token_ids import parts_of, slices
 WINDOW = 13
 HOT = 20_000
 FIRST = -(1 << 63)
+HASHED = 1 << 20  # bytes that are hashed at a time, or a longer word
+SPACES = re.compile(rb"[\x20\x09-\x0D]")
 _POWER = np.uint64(0x9E3779B97F4A7C15)
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
@@ -54,9 +57,18 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(raw: bytes) -> np.ndarray:
-    """A 64-bit hash for each word of a text's bytes, all by numpy: differences of prefix sums of a polynomial."""
-    if not raw:
-        return np.zeros(0, np.uint64)
+    """A 64-bit hash for each word of a text's bytes, by numpy, in blocks that end between words."""
+    out, at = [], 0
+    while at < len(raw):
+        gap = SPACES.search(raw, at + HASHED) if at + HASHED < len(raw) else None
+        end = gap.start() if gap else len(raw)
+        out.append(_block_hashes(raw[at:end]))
+        at = end
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
+def _block_hashes(raw: bytes) -> np.ndarray:
+    """Differences of prefix sums of a polynomial, which don't depend on where in a block a word stands."""
     data = np.frombuffer(raw, np.uint8)
     edge = np.diff(np.concatenate([[True], _SPACE[data], [True]]).view(np.int8))
     start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)

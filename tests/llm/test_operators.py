@@ -98,6 +98,35 @@ def test_token_files(request, tool, table):
     assert len(files.by_rank) >= 50_257 and sorted(files.by_rank.tolist()) == list(range(len(files.by_rank)))
 
 
+def test_files_in_the_order_of_names_hold_ascending_keys(docs):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    files = token_files.write_token_files(docs.repartition(7), PATH, 0)
+    keys, at = [], 0
+    for name in sorted(glob.glob(f"{files.blocks.staged_path}/part-*")):
+        for raw in pq.read_table(name)["block"].to_pylist():
+            own, counts, ids, _ = token_files.read_block(raw, files.by_rank)
+            keys, at = keys + own, at + int(counts.sum())
+    assert keys == sorted(keys) and len(keys) == docs.count() and at == sum(r["n_tokens"] for r in rows(files.digest()))
+
+
+def test_ids_of_many_texts_at_once(tool):
+    import pyarrow as pa
+
+    texts = [None, "", " ", "a", "  a b", "x\ny z", "a\n b", "<|endoftext|> hi<|endoftext|>", "é à\xa0b c", "tab\t x", "a  ", " a", "a ", "漢字 🙂 ok.", "one two, two. Two two"] * 3
+    for encoder in (token_ids.IdEncoder(PATH, seen=3), bpe_automaton.AutomatonEncoder(PATH, seen=3)):
+        for end in (None, 7):
+            ids, sizes = encoder.encode_many(pa.array(texts), end)
+            at = 0
+            for t, n in zip(texts, sizes.tolist()):
+                assert ids[at : at + n].tolist() == tool.encode(t or "", add_special_tokens=False).ids + ([] if end is None else [end])
+                at += n
+            assert at == len(ids)
+        assert [len(x) for x in encoder.encode_many(pa.array([], pa.string()), 7)] == [0, 0]
+
+
 def test_ids_of_odd_texts(tool):
     import random
 
@@ -145,6 +174,29 @@ def test_mixture_serves_in_order():
             assert sorted(sources) == [cells[w, k] for k in range(len(sources))]
 
 
+def test_deficits_are_carried():
+    """Window by window: a quantum comes in, whole tokens go out, and the rest is the next window's deficit."""
+    rng = np.random.default_rng(5)
+    for _ in range(40):
+        n, length = int(rng.integers(1, 6)), int(rng.integers(1, 30))
+        held = [int(v) for v in rng.integers(1, 200, n)]
+        weights = [int(v) for v in rng.integers(1, 9, n)]
+        mix = packing.Mixture(held, weights, length)
+        deficit, left = [0] * n, list(held)
+        for w in range(sum(held) // length):
+            assert deficit == mix.deficits(w)
+            before, place = mix.window(w)
+            gives = [place[s + 1] - place[s] for s in range(n)]
+            assert sum(gives) == length and sum(mix.quanta(w)) == length
+            assert before == [h - x for h, x in zip(held, left)]
+            left = [x - g for x, g in zip(left, gives)]
+            deficit = [d + q - g for d, q, g in zip(deficit, mix.quanta(w), gives)]
+            assert min(left) >= 0 and all(abs(d) <= n for d in deficit)
+            alive = [s for s in range(n) if left[s]]
+            if len(alive) == n:  # nobody has run dry: proportions are the targets' to within a token
+                assert all(abs((held[s] - left[s]) - (w + 1) * length * weights[s] / sum(weights)) <= 1 for s in range(n))
+
+
 @pytest.mark.parametrize("table", ["docs", "odd", "empty"])
 @pytest.mark.parametrize("weights", [None, {"src0": 5, "src1": 1, "s": 3}])
 def test_pack_documents(request, tool, table, weights):
@@ -679,3 +731,79 @@ def test_every_target_is_learnt_once():
         learner.learn(part)
     learner.learn([], last=True)
     assert learner.learnt == sum(map(len, many)) and learner.rest is None
+
+
+def test_word_hashes_in_blocks(monkeypatch):
+    rng = np.random.default_rng(6)
+    raw = b"".join(bytes(rng.choice(list(b"abc \n\t"), 40)) + b"x" * int(rng.integers(0, 30)) for _ in range(200))
+    whole = substring_dedup.word_hashes(raw)
+    assert len(whole) == len(raw.split()) and len(set(whole.tolist())) == len(set(raw.split()))
+    for size in (1, 7, 64, 1000):
+        monkeypatch.setattr(substring_dedup, "HASHED", size)
+        assert (substring_dedup.word_hashes(raw) == whole).all()
+    assert len(substring_dedup.word_hashes(b"")) == len(substring_dedup.word_hashes(b" \n ")) == 0
+
+
+# --- the registered queries ---
+
+
+DIGESTS = {
+    "op1_shard": {"doc_id": "bigint", "size": "bigint", "text_crc32": "bigint", "law": "string", "shard": "int", "slot": "bigint", "grown_shard": "int"},
+    "op2_tokens": {"doc_id": "bigint", "start": "bigint", "n_tokens": "bigint", "ids_crc32": "bigint"},
+    "op3_packing": {"doc_id": "bigint", "start": "bigint", "length": "bigint", "ids_crc32": "bigint", "doc_tokens": "bigint", "sequence_id": "bigint", "offset": "bigint"},
+    "op4_bpe": {"doc_id": "bigint", "n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string"},
+    "op5_substring": {"doc_id": "bigint", "n_words": "bigint", "n_removed": "bigint", "kept_sha256": "string"},
+    "op6_media": {"doc_id": "bigint", "n_bytes": "bigint", "payload_bytes": "bigint", "payload_sha256": "string", "tail_crc32": "bigint", "media_bytes": "bigint", "media_sha256": "string", "feature": "string"},
+    "op7_minhash": {"doc_id": "bigint", "n_shingles": "bigint", "component_id": "bigint", "kept": "boolean"},
+    "op8_exact_dedup": {"doc_id": "bigint", "keep_id": "bigint", "group_size": "bigint", "kept": "boolean", "text_sha256": "string"},
+    "op9_language": {"doc_id": "bigint", "held_out": "boolean", "lang_pred": "string", "score": "double"},
+    "op10_score": {"doc_id": "bigint", "held_out": "boolean", "n_tokens": "bigint", "n_known": "bigint", "train_tokens": "bigint", "base_score": "double", "score": "double"},
+}
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", DIGESTS)
+def test_queries(spark, docs, tool, name):
+    from runweave.llm.queries import QUERIES
+
+    df = QUERIES[name](spark, SF)
+    kinds = dict(df.dtypes)
+    assert {c: kinds.get(c) for c in DIGESTS[name]} == DIGESTS[name]
+    out, texts = rows(df), {r["doc_id"]: r["text"] for r in rows(docs)}
+    assert name == "op3_packing" or sorted(r["doc_id"] for r in out) == sorted(texts)
+    crc = lambda k: zlib.crc32(str(k).encode())
+    if name == "op1_shard":
+        assert {r["law"] for r in out} == {"rows"} and {r["grown_shard"] for r in out} == {None} and {r["shard"] for r in out} == set(range(40))
+        counts = Counter(r["shard"] for r in out)
+        assert max(counts.values()) - min(counts.values()) <= 1
+        assert sorted((r["shard"], r["slot"]) for r in out) == [(s, i) for s in range(40) for i in range(counts[s])]
+    elif name == "op2_tokens":
+        at = 0
+        for r in sorted(out, key=lambda r: r["doc_id"]):
+            ids = [*tool.encode(texts[r["doc_id"]] or "", add_special_tokens=False).ids, 0]
+            assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+            at += len(ids)
+    elif name == "op3_packing":
+        total = sum(r["length"] for r in out)
+        assert {r["doc_id"] for r in out} == set(texts) and max(r["sequence_id"] for r in out) == (total - 1) // packing.LENGTH
+    elif name == "op4_bpe":
+        for r in out:
+            ids = tool.encode(texts[r["doc_id"]] or "", add_special_tokens=False).ids
+            assert r["n_tokens"] == len(ids) and r["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+            assert r["decoded_sha256"] == hashlib.sha256(tool.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+    elif name == "op5_substring":
+        assert all(r["n_words"] == len(words(texts[r["doc_id"]])) and 0 <= r["n_removed"] <= r["n_words"] for r in out) and any(r["n_removed"] for r in out)
+    elif name == "op6_media":
+        assert len({(texts[r["doc_id"]] or "") for r in out}) == len({(r["payload_sha256"], r["media_sha256"], r["feature"]) for r in out})
+    elif name == "op7_minhash":
+        want = brute_components([(k, t) for k, t in texts.items()], 2, 80)
+        assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in out) == sorted(want) and all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in out)
+    elif name == "op8_exact_dedup":
+        last = defaultdict(list)
+        for k, t in texts.items():
+            last[ascii_lower(t)].append(k)
+        assert all((r["keep_id"], r["group_size"]) == (max(last[ascii_lower(texts[r["doc_id"]])]), len(last[ascii_lower(texts[r["doc_id"]])])) for r in out)
+    else:
+        by = 3 if name == "op9_language" else 7
+        assert all(r["held_out"] == (crc(r["doc_id"]) % by == (1 if by == 3 else 2)) for r in out)
+        assert name == "op10_score" or all(0 <= r["score"] <= 1 for r in out)
