@@ -9,7 +9,8 @@ string: the tokenizer's.
 
 Copies would take a state's arcs times the vocabulary, so states are kept as what the gadgets did: the state that each
 was copied from and when, the arc that each arc was put beside and when, and when an arc was cut.  `follows` walks this
-history; each answer enters the transition table, which encoding then drives.
+history.  What is compiled are tables that read the arcs' labels letter by letter; encoding drives these and the table of
+the transitions that have been asked for, decoding emits the labels.
 """
 
 from __future__ import annotations
@@ -47,10 +48,9 @@ class Automaton:
                 self.dead.add(c)  # no path reads a and then b any more: the gadget adds no arc
             self.copied[c], self.beside[c], self.born[c] = b, a, k
             self.cut.setdefault(a << 32 | b, k)
-        self.most = max(map(len, vocab), default=0)
         letters = {c: b for b, c in byte_letters().items()}
-        self.live = {t: i for t, i in vocab.items() if i not in self.dead}
         self.labels = {i: bytes(letters[c] for c in t) for t, i in vocab.items() if all(c in letters for c in t)}
+        self._compile()
 
     def follows(self, state: int, arc: int, time: int = NEVER) -> bool:
         """Has `state` the arc `arc` when the merges before `time` have been applied?"""
@@ -70,43 +70,58 @@ class Automaton:
                     return False
                 time, arc = a, self.beside[arc]
 
+    def _compile(self) -> None:
+        """Tables that read labels letter by letter: a node's next node for a letter, and the arc whose label ends at a node."""
+        self.nodes: list[dict[str, int]] = [{}]
+        self.arcs = [-1]
+        for label, arc in self.vocab.items():
+            if arc in self.dead:
+                continue
+            node = 0
+            for letter in label:
+                onward = self.nodes[node].get(letter)
+                if onward is None:
+                    onward = self.nodes[node][letter] = len(self.nodes)
+                    self.nodes.append({})
+                    self.arcs.append(-1)
+                node = onward
+            self.arcs[node] = arc
+
     def encode(self, letters: str) -> list[int]:
-        """Ids of a pre-split part: each prefix's last token is the one that may follow the last token of what is before it."""
-        live, table, most = self.live, self.table, self.most
-        last = [-1]
-        for end in range(1, len(letters) + 1):
-            for at in range(max(0, end - most), end):
-                token = live.get(letters[at:end])
-                if token is None:
-                    continue
-                before = last[at]
-                if before < 0:
-                    break
-                edge = before << 32 | token
-                ok = table.get(edge)
-                if ok is None:
-                    if len(table) > 2_000_000:
-                        table.clear()
-                    ok = table[edge] = self.follows(before, token)
-                if ok:
+        """Ids of a pre-split part.  What has been read leads to exactly one state, so one pass of transitions over the letters
+        finds the state after each of them: from a state, labels are read in the tables, and an arc is taken if the state has
+        it (transitions that have been asked for once are in a table, too)."""
+        nodes, arcs, table, n = self.nodes, self.arcs, self.table, len(letters)
+        state, begun = [-1] * (n + 1), [0] * (n + 1)
+        for at in range(n):
+            here, node = state[at], 0
+            if at and here < 0:
+                continue
+            for end in range(at, n):
+                node = nodes[node].get(letters[end])
+                if node is None:
                     break
-            else:
-                raise ValueError(f"no arc reads {letters[end - 1]!r}")
-            last.append(token)
-        out, end = [], len(letters)
+                arc = arcs[node]
+                if arc < 0 or state[end + 1] >= 0:
+                    continue
+                if at:
+                    edge = here << 32 | arc
+                    ok = table.get(edge)
+                    if ok is None:
+                        if len(table) > 2_000_000:
+                            table.clear()
+                        ok = table[edge] = self.follows(here, arc)
+                    if not ok:
+                        continue
+                state[end + 1], begun[end + 1] = arc, at
+        if n and state[n] < 0:
+            raise ValueError(f"no arcs read {letters!r}")
+        out, end = [], n
         while end:
-            out.append(last[end])
-            end -= self.sizes[last[end]]
+            out.append(state[end])
+            end = begun[end]
         return out[::-1]
 
-    @property
-    def sizes(self) -> list[int]:
-        if not hasattr(self, "_sizes"):
-            self._sizes = [0] * len(self.born)
-            for t, i in self.vocab.items():
-                self._sizes[i] = len(t)
-        return self._sizes
-
 
 class AutomatonEncoder(UnitEncoder):
     """Encodes and decodes as the tokenizers library does with a byte-level BPE file."""
