@@ -1,19 +1,23 @@
 """Language-model scoring with causal self-attention in numpy, on subword ids.
 
-A text is the sequence of its subword ids and one end.  Ids are ranked by their frequency in all training documents, and a
-rank is written in three digits to the base of the vocabulary's cube root.  The model predicts the first digit, the second
-given the first, and the third given both: three softmaxes of a few dozen classes each, whose product is a probability for
-every id.  Each softmax starts from the digits' frequencies in all training documents (one added to each id's count) and is
-moved by what one block of masked self-attention and a feed-forward layer make of the ids before.
+Tokens are words (A-Z in lower case) and one end per document.  A word's subword ids are those of the tokenizers library for
+the word after a space; a text is the sequence of its words' ids and one end.  Ids are ranked by their frequency in all
+training documents, and a rank is written in three digits to the base of the vocabulary's cube root.  The model predicts
+the first digit, the second given the first, and the third given both: three softmaxes of a few dozen classes each, whose
+product is a probability for every id.  Each softmax starts from the digits' frequencies in all training documents (one
+added to each id's count) and is moved by what one block of masked self-attention and a feed-forward layer make of the ids
+before.
 
 Documents are scored in windows of CONTEXT ids that overlap by OVERLAP: each id is scored once, with at least OVERLAP ids
-of context unless it stands nearer to the start; windows of many documents form one batch.
+of context unless it stands nearer to the start; windows of many documents form one batch.  A word's probability is the
+mean, with weights MIXED and 1 - MIXED, of its base probability and of the product of its ids' probabilities: the ids know
+the context and can spell any word, the base knows how often whole words occur.
 
 Training (Adam) starts on the driver from windows of a few documents.  From there, each task trains a copy of the model on
 all windows of its training documents, each id a target once, and the copies are averaged by the numbers of ids.
 
-The base score and the numbers of known tokens are of words.  Words with many occurrences, at most FREQUENT of them by a
-histogram of the counts, are broadcast; the counts of all others reach the documents by a join.
+Words with many occurrences, at most FREQUENT of them by a histogram of the counts, are broadcast; the counts of all others
+reach the documents by a join.
 """
 
 from __future__ import annotations
@@ -31,10 +35,11 @@ from runweave.llm.token_ids import binaries, encoder, slices, text_slices, vocab
 
 CONTEXT, OVERLAP, WIDTH, HIDDEN = 32, 8, 16, 32
 FREQUENT = 131_072
+MIXED = 0.5
 SAMPLE, SAMPLE_WINDOWS = 600, 32  # documents, and windows of each, that the training starts from
 STEPS, BATCH, RATE = 300, 96, 0.01
-BLOCKS = 128  # of a step over whole texts
-SCORED = 256  # windows that are scored at a time
+BLOCKS = 64  # of a step over whole texts
+SCORED = 64  # windows that are scored at a time
 
 
 class Ranks:
@@ -254,14 +259,19 @@ def windows(ranks: Ranks, sequences: list[np.ndarray]) -> tuple[np.ndarray, np.n
     return x, y, w, counts
 
 
-def context_scores(model: Model, sequences: list[np.ndarray]) -> np.ndarray:
-    """log10 probability of each sequence of ranks, its end included."""
+def id_scores(model: Model, sequences: list[np.ndarray]) -> np.ndarray:
+    """log10 probability of each rank of the sequences, one after the other; each sequence has its end."""
     if not sequences:
         return np.zeros(0)
     x, y, w, _ = windows(model.ranks, sequences)
     per = [model.log_probabilities(x[at : at + SCORED], y[at : at + SCORED], w[at : at + SCORED], OVERLAP) for at in range(0, len(x), SCORED)]
+    return np.concatenate(per).astype(np.float64) / np.log(10)
+
+
+def context_scores(model: Model, sequences: list[np.ndarray]) -> np.ndarray:
+    """log10 probability of each sequence."""
     sizes = np.array([len(s) for s in sequences])
-    return np.add.reduceat(np.concatenate(per).astype(np.float64), np.cumsum(sizes) - sizes) / np.log(10)
+    return np.add.reduceat(id_scores(model, sequences), np.cumsum(sizes) - sizes) if len(sizes) else np.zeros(0)
 
 
 def held_out(key: str = "doc_id"):
@@ -291,23 +301,33 @@ def word_counts(train: DataFrame, text: str = "text") -> DataFrame:
 
 
 def encoded(df: DataFrame, path: str, learn, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """k (the key), th (hash of the text), learn and ids (with the end's after them) of each row; each task's last row has
-    a null for learn and, as ids, how often the rows to learn from have each id, as 64-bit integers."""
+    """rid, k (the key), learn, t (the text), ids (of its words, and the end's after them) and sizes (ids of each word) of each
+    row; each task's last row has a null for learn and, as ids, how often the rows to learn from have each id, as 64-bit
+    integers."""
 
     def run(batches):
         tool = encoder(path)
         met = np.zeros(tool.size + 1, np.int64)
+        end = np.array([tool.size], tool.dtype)
         for batch in batches:
             for part in text_slices(batch, 3):
-                ids, sizes = tool.encode_many(part.column(3), tool.size)
-                met += np.bincount(ids[np.repeat(np.asarray(part.column(2)), sizes)], minlength=len(met))
+                words, counts = _words(part.column(3))
+                ids, sizes = tool.encode_words(words.dictionary_encode())
+                ends = np.cumsum(counts)
+                at = np.concatenate([[0], np.cumsum(sizes)])
+                n = at[ends] - at[ends - counts]
+                ids = np.insert(ids, np.cumsum(n), end)
+                learnt = np.asarray(part.column(2).cast(pa.uint8())).astype(bool)
+                met += np.bincount(ids[np.repeat(learnt, n + 1)], minlength=len(met))
+                own = [binaries(ids, n + 1), binaries(sizes.astype("<u4"), counts)]
                 for row in range(0, part.num_rows, 256):
-                    own, some, begin = part.slice(row, 256), sizes[row : row + 256], int(sizes[:row].sum())
-                    yield pa.RecordBatch.from_arrays([*own.columns[:3], binaries(ids[begin : begin + int(some.sum())], some)], names=["k", "th", "learn", "ids"])
-        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([None], pa.bool_()), pa.array([met.tobytes()], pa.binary())], names=["k", "th", "learn", "ids"])
+                    yield pa.RecordBatch.from_arrays([*part.slice(row, 256).columns, *(c.slice(row, 256) for c in own)], names=["rid", "k", "learn", "t", "ids", "sizes"])
+        none = [pa.array([None], kind) for kind in (pa.int64(), pa.int64(), pa.bool_(), pa.string())]
+        yield pa.RecordBatch.from_arrays([*none, pa.array([met.tobytes()], pa.binary()), pa.array([None], pa.binary())], names=["rid", "k", "learn", "t", "ids", "sizes"])
 
-    rows = df.select(F.col(key).cast("long").alias("k"), F.xxhash64(text).alias("th"), F.coalesce(learn, F.lit(False)).alias("learn"), text)
-    return stage_table(rows.mapInArrow(run, "k long, th long, learn boolean, ids binary"), "encoded")
+    # the row numbers are written down with what belongs to them, so a lost executor can't change them between two reads
+    rows = df.select(F.monotonically_increasing_id().alias("rid"), F.col(key).cast("long").alias("k"), F.coalesce(learn, F.lit(False)).alias("learn"), F.col(text).alias("t"))
+    return stage_table(rows.mapInArrow(run, "rid long, k long, learn boolean, t string, ids binary, sizes binary"), "encoded")
 
 
 def id_counts(coded: DataFrame, size: int) -> np.ndarray:
@@ -343,7 +363,7 @@ def start_model(train: DataFrame, ranks: Ranks, dtype: np.dtype, sample: int = S
                     raw = [pa.array([a[at].astype(np.int32).tobytes()], pa.binary()) for a in (x, y, w)]
                     yield pa.RecordBatch.from_arrays([part.column(0).slice(r, 1), *raw], names=["h", "x", "y", "w"])
 
-    keyed = train.select(F.xxhash64("k", "th").alias("h"), "ids")
+    keyed = train.select(F.xxhash64("k", "t").alias("h"), "ids")
     chosen = [r["h"] for r in keyed.select("h").orderBy("h").limit(sample).collect()]
     model = Model(ranks)
     found = keyed.filter(F.col("h").isin(chosen)).mapInArrow(some, "h long, x binary, y binary, w binary").orderBy("h").limit(sample).collect() if chosen else []
@@ -382,51 +402,6 @@ def fit_model(train: DataFrame, ranks: Ranks, dtype: np.dtype) -> Model:
     return model
 
 
-def word_scores(df: DataFrame, counts: DataFrame, least: int | None, key: str, text: str) -> DataFrame:
-    """rid, k, th, n_tokens, n_known and logs (the sum of log10(c + 1)) for every row; counts of `least` and more are broadcast."""
-    top = counts.filter(F.col("n") >= (least or 1 << 62)).toArrow()
-    shared = df.sparkSession.sparkContext.broadcast((dict(zip(top["word"].to_pylist(), range(top.num_rows))), np.log10(np.asarray(top["n"], dtype=np.float64) + 1)))
-
-    def score(batches):
-        order, logs = shared.value
-        logs = np.append(logs, 0.0)
-        end = order.get("\n", -1)
-        for batch in batches:
-            for part in text_slices(batch, 3):
-                words, sizes = _words(part.column(3))
-                coded = words.dictionary_encode()
-                kinds = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-                place = np.fromiter((order.get(x, -1) for x in kinds), np.int64, len(kinds))[np.asarray(coded.indices)]
-                row = np.repeat(np.arange(part.num_rows), sizes)
-                often, rest = place >= 0, np.flatnonzero(place < 0)
-                known = np.bincount(row, often, part.num_rows).astype(np.int64) + (end >= 0)
-                total = np.bincount(row, logs[place], part.num_rows) + logs[end]
-                pairs, times = np.unique(row[rest] * max(1, len(kinds)) + np.asarray(coded.indices)[rest], return_counts=True)
-                rare_row, rare = pairs // max(1, len(kinds)), pa.array(pairs % max(1, len(kinds)), pa.int64())
-                a, b = part.num_rows, len(pairs)
-                none = lambda n, kind: pa.nulls(n, kind)
-                rids = part.column(0)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.concat_arrays([rids, rids.take(pa.array(rare_row))]), pa.concat_arrays([part.column(1), none(b, pa.int64())]), pa.concat_arrays([part.column(2), none(b, pa.int64())]),
-                        pa.concat_arrays([none(a, pa.string()), coded.dictionary.take(rare).cast(pa.string())]), pa.array(np.concatenate([sizes + 1, times])), pa.array(np.concatenate([known, np.zeros(b, np.int64)])), pa.array(np.concatenate([total, np.zeros(b)])),
-                    ],
-                    names=["rid", "k", "th", "word", "n", "known", "logs"],
-                )
-
-    # the row numbers are written down with what belongs to them, so a lost executor can't change them between two reads
-    numbered = df.select(F.monotonically_increasing_id().alias("rid"), F.col(key).cast("long").alias("k"), F.xxhash64(text).alias("th"), text)
-    scored = stage_table(numbered.mapInArrow(score, "rid long, k long, th long, word string, n long, known long, logs double"), "word-scores")
-    less = counts.filter(F.col("n") < (least or 1 << 62)).select("word", F.col("n").alias("c"))
-    found = scored.filter("word IS NOT NULL").select("rid", "word", "n").join(less, "word")
-    found = found.groupBy("rid").agg(F.sum("n").alias("more"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("more_logs"))
-    rows = scored.filter("word IS NULL").join(found, "rid", "left")
-    out = rows.select("k", "th", F.col("n").alias("n_tokens"), (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), (F.col("logs") + F.coalesce("more_logs", F.lit(0.0))).alias("logs"))
-    out = stage_table(out, "base-scores")
-    drop_table(scored)
-    return out
-
-
 def score_documents(df: DataFrame, path: str, learn, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_tokens, n_known, train_tokens, base_score, score for every row of `df`, learning from the rows that `learn` (a
     boolean column; null is false) marks.
@@ -449,29 +424,67 @@ def score_documents(df: DataFrame, path: str, learn, key: str = "doc_id", text:
         if room < 0:
             break
         least = r["least"]
-    by_word = word_scores(df, counts, least, key, text)
-    drop_table(counts)
+    top = counts.filter(F.col("n") >= (least or 1 << 62)).toArrow()
+    order = dict(zip(top["word"].to_pylist(), range(top.num_rows)))
+    logs = np.append(np.log10(np.asarray(top["n"], dtype=np.float64) + 1), 0.0)
 
     coded = encoded(df, path, learn, key, text)
     ranks = Ranks(id_counts(coded, size))
     model = fit_model(coded.filter("learn"), ranks, dtype)
-    shared = spark.sparkContext.broadcast((model.p, ranks))
+    shared = spark.sparkContext.broadcast((order, logs, model.p, ranks))
+    mixed = lambda known, spelt: np.log10(MIXED * 10 ** (known - base) + (1 - MIXED) * 10**spelt)
 
     def score(batches):
-        params, ranks = shared.value
+        order, logs, params, ranks = shared.value
         model = Model(ranks)
         model.p = params
+        end = order.get("\n", -1)
         for batch in batches:
-            for part in slices(batch, 128):
-                got = context_scores(model, _sequences(part.column(2), ranks, dtype))
-                yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(got, pa.float64())], names=["k", "th", "score"])
+            for part in slices(batch, 256):
+                words, sizes = _words(part.column(2))
+                coded, rows = words.dictionary_encode(), part.num_rows
+                kinds = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+                places = np.fromiter((order.get(x, -1) for x in kinds), np.int64, len(kinds))[np.asarray(coded.indices)]
+                # words and ends in their order, by row; and the ids of each
+                row = np.repeat(np.arange(rows), sizes + 1)
+                ends = np.cumsum(sizes + 1) - 1
+                place = np.full(len(row), end)
+                inner = np.ones(len(row), bool)
+                inner[ends] = False
+                place[inner] = places
+                per = np.ones(len(row), np.int64)
+                per[inner] = np.frombuffer(b"".join(part.column(4).to_pylist()), "<u4")
+                by_id = id_scores(model, _sequences(part.column(3), ranks, dtype))
+                spelt = np.add.reduceat(by_id, np.cumsum(per) - per) if len(per) else by_id
+                often = place >= 0
+                known, score = logs[place], np.where(often | ~inner, mixed(logs[place], spelt), 0.0)
+                rare = np.flatnonzero(~often & inner)
+                codes = np.zeros(len(row), np.int64)
+                codes[inner] = np.asarray(coded.indices)
+                sums = [np.bincount(row, x, rows) for x in (often, known, score)]
+                rids, b = part.column(0), len(rare)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.concat_arrays([rids, rids.take(pa.array(row[rare]))]), pa.concat_arrays([part.column(1), pa.nulls(b, pa.int64())]), pa.concat_arrays([pa.nulls(rows, pa.string()), coded.dictionary.take(pa.array(codes[rare])).cast(pa.string())]),
+                        pa.array(np.concatenate([sizes + 1, np.zeros(b, np.int64)])), pa.array(np.concatenate([sums[0].astype(np.int64), np.zeros(b, np.int64)])), pa.array(np.concatenate([sums[1], np.zeros(b)])), pa.array(np.concatenate([sums[2], spelt[rare]])),
+                    ],
+                    names=["rid", "k", "word", "n_tokens", "known", "logs", "score"],
+                )
 
-    by_id = stage_table(coded.filter("learn IS NOT NULL").select("k", "th", "ids").mapInArrow(score, "k long, th long, score double"), "id-scores")
+    numbered = coded.filter("learn IS NOT NULL").select("rid", "k", "t", "ids", "sizes")
+    scored = stage_table(numbered.mapInArrow(score, "rid long, k long, word string, n_tokens long, known long, logs double, score double"), "scored")
     drop_table(coded)
-    # equal keys and texts have equal scores
-    by_id = by_id.groupBy("k", "th").agg(F.max("score").alias("score")).withColumnsRenamed({"k": "k2", "th": "th2"})
-    rows = by_word.join(by_id, F.col("k").eqNullSafe(F.col("k2")) & (F.col("th") == F.col("th2")))
-    return rows.select(F.col("k").alias(key), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), (F.col("logs") - F.col("n_tokens") * F.lit(base)).alias("base_score"), "score")
+    less = counts.filter(F.col("n") < (least or 1 << 62)).select("word", F.col("n").alias("c"))
+    c = F.coalesce(F.col("c"), F.lit(0)) + 1
+    mix = F.log10(F.lit(MIXED) * c / F.lit(float(n + v + 1)) + F.lit(1 - MIXED) * F.pow(F.lit(10.0), "score"))
+    found = scored.filter("word IS NOT NULL").select("rid", "word", "score").join(less, "word", "left")
+    found = found.groupBy("rid").agg(F.count("c").alias("more"), F.sum(F.log10(c)).alias("more_logs"), F.sum(mix).alias("more_score"))
+    rows = scored.filter("word IS NULL").join(found, "rid", "left")
+    more = lambda a, b: F.col(a) + F.coalesce(F.col(b), F.lit(0.0))
+    return rows.select(
+        F.col("k").alias(key), "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
+        (more("logs", "more_logs") - F.col("n_tokens") * F.lit(base)).alias("base_score"), more("score", "more_score").alias("score"),
+    )
 
 
 def op10_score(spark, sf_dir):

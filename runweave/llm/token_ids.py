@@ -178,14 +178,27 @@ class UnitEncoder:
         if end is not None:
             codes, counts = np.insert(codes, starts + counts, len(met) - 1), counts + 1
             starts = np.cumsum(counts) - counts
+        ids, sizes = self._placed(met, codes)
+        return ids, np.add.reduceat(sizes, starts)
+
+    def encode_words(self, words: pa.DictionaryArray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words one after the other, how many each has), each word read with a space before it."""
+        for seen in (self.rest, self.parts):
+            if len(seen) > self.seen:
+                seen.turn()
+        met = [*map(self.rest.__getitem__, words.dictionary.to_numpy(zero_copy_only=False).tolist())]
+        return self._placed(met, np.asarray(words.indices))
+
+    def _placed(self, met: list[bytes], codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the units that codes number, one after the other, and how many each has."""
         sizes = np.fromiter(map(len, met), np.int64, len(met)) // self.dtype.itemsize
         at, ids = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(met), self.dtype)
-        out = []
+        out = [np.zeros(0, self.dtype)]
         for k in range(0, len(codes), GATHER):
             own = codes[k : k + GATHER]
             size = sizes[own]
             out.append(ids[np.repeat(at[own] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))])
-        return np.concatenate(out), np.add.reduceat(sizes[codes], starts)
+        return np.concatenate(out), sizes[codes]
 
 
 class IdEncoder(UnitEncoder):

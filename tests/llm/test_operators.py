@@ -694,18 +694,32 @@ def test_scores(docs, odd, empty, few, monkeypatch):
     assert all(r["n_known"] == 0 and r["train_tokens"] == 0 and r["base_score"] == 0 for r in none)
 
 
-def test_context_beats_frequencies(docs, tool):
-    """Held-out texts against the same three softmaxes without a network, that is, against frequencies of ids."""
+def test_scores_of_whole_documents_by_brute_force(spark, monkeypatch):
+    """Each word's probability out of its ids' (one at a time) and its count, frequent or rare."""
+    monkeypatch.setattr(lm, "FREQUENT", 4)
+    seen = {}
+    real = lm.fit_model
+    monkeypatch.setattr(lm, "fit_model", lambda *a: seen.setdefault("model", real(*a)))
+    texts = ["The cat sat on the mat and the cat slept.", "the dog  sat\ton the unheard-of mat", "", None, "été 漢字 the the"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    out = {r["doc_id"]: r["score"] for r in rows(lm.score_documents(df, PATH, lm.F.col("doc_id") < 3))}
+    counts, encode = Counter(), token_ids.IdEncoder(PATH).tool
+    for t in texts[:3]:
+        counts.update([*lower_words(t), b"\n"])
+    z, model = sum(counts.values()) + len(counts) + 1, seen["model"]
+    for i, t in enumerate(texts):
+        own = [[model.ranks.rank[x] for x in encode.encode(" " + w.decode(), add_special_tokens=False).ids] for w in lower_words(t)] + [[model.ranks.rank[-1]]]
+        flat, want, at = [x for w in own for x in w], 0.0, 0
+        for word, ids in zip([*lower_words(t), b"\n"], own):
+            spelt = brute_score(model, flat[: at + len(ids)]) - brute_score(model, flat[:at])
+            want, at = want + log10(lm.MIXED * (counts[word] + 1) / z + (1 - lm.MIXED) * 10**spelt), at + len(ids)
+        assert np.isclose(out[i], want, rtol=1e-4)
+
+
+def test_model_beats_the_base(docs):
     out = rows(lm.score_documents(docs, PATH, ~lm.held_out()))
-    texts, counts = {r["doc_id"]: r["text"] for r in rows(docs)}, Counter()
-    ids = {k: [*tool.encode(t or "", add_special_tokens=False).ids, -1] for k, t in texts.items()}
-    for k, x in ids.items():
-        if zlib.crc32(str(k).encode()) % 7 != 2:
-            counts.update(x)
-    total = sum(counts.values()) + tool.get_vocab_size() + 1
     held = [r for r in out if zlib.crc32(str(r["doc_id"]).encode()) % 7 == 2]
-    plain = sum(log10((counts[i] + 1) / total) for r in held for i in ids[r["doc_id"]])
-    assert held and sum(r["score"] for r in held) > 0.9 * plain > plain
+    assert held and sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
 def test_model_learns_from_whole_documents(spark, monkeypatch):
