@@ -4,14 +4,15 @@ Tokens are words (A-Z in lower case) and one end per document.  A word's subword
 the word after a space; a text is the sequence of its words' ids and one end.  Ids are ranked by their frequency in all
 training documents, and a rank is written in three digits to the base of the vocabulary's cube root.  The model predicts
 the first digit, the second given the first, and the third given both: three softmaxes of a few dozen classes each, whose
-product is a probability for every id.  Each softmax starts from the digits' frequencies in all training documents (one
+product is a probability for every id; the first digit tells whether an id begins a word.  Each softmax starts from the digits' frequencies in all training documents (one
 added to each id's count) and is moved by what one block of masked self-attention and a feed-forward layer make of the ids
 before.
 
 Documents are scored in windows of CONTEXT ids that overlap by OVERLAP: each id is scored once, with at least OVERLAP ids
 of context unless it stands nearer to the start; windows of many documents form one batch.  A word's probability is the
-mean, with weights MIXED and 1 - MIXED, of its base probability and of the product of its ids' probabilities: the ids know
-the context and can spell any word, the base knows how often whole words occur.
+mean, with weights MIXED and 1 - MIXED, of two: its first id's probability among all ids that begin a word, times the
+word's share (c + 1) / (N + V + 1) of the words with that first id, in which all unknown ones are one; and the probability
+of all its ids and of another word's beginning after them, which can spell any word.
 
 Training (Adam) starts on the driver from windows of a few documents.  From there, each task trains a copy of the model on
 all windows of its training documents, each id a target once, and the copies are averaged by the numbers of ids.
@@ -35,7 +36,7 @@ from runweave.llm.token_ids import binaries, encoder, slices, text_slices, vocab
 
 CONTEXT, OVERLAP, WIDTH, HIDDEN = 32, 8, 16, 32
 FREQUENT = 131_072
-MIXED = 0.5
+MIXED = 0.9
 SAMPLE, SAMPLE_WINDOWS = 600, 32  # documents, and windows of each, that the training starts from
 STEPS, BATCH, RATE = 300, 96, 0.01
 BLOCKS = 64  # of a step over whole texts
@@ -43,26 +44,28 @@ SCORED = 64  # windows that are scored at a time
 
 
 class Ranks:
-    """Ids by falling frequency, the digits of their ranks, and the digits' log shares."""
-
-    def __init__(self, counts: np.ndarray):
-        """counts: of each id, the end being the last."""
-        self.size = len(counts)
-        self.base = next(b for b in range(2, 1 << 11) if b**3 >= self.size)
-        order = np.lexsort((np.arange(self.size), -counts))
+    """Ids by falling frequency, those that begin a word (and the end) before all others, the digits of their ranks, and the
+    digits' log shares.  The first digit tells whether an id begins a word: that is so below `starts`."""
+
+    def __init__(self, counts: np.ndarray, begins: np.ndarray):
+        """counts: of each id, the end being the last; begins: which of them begin a word."""
+        self.size, first = len(counts), int(begins.sum())
+        self.base = b = next(b for b in range(2, 1 << 11) if -(-first // b**2) + -(-(self.size - first) // b**2) <= b)
+        self.starts = -(-first // b**2)
+        falling = np.lexsort((np.arange(self.size), -counts))
         self.rank = np.empty(self.size, np.int32)
-        self.rank[order] = np.arange(self.size, dtype=np.int32)
-        b, weight = self.base, np.zeros(self.base**3)
-        weight[: self.size] = counts[order] + 1.0
+        self.rank[falling[begins[falling]]] = np.arange(first, dtype=np.int32)
+        self.rank[falling[~begins[falling]]] = self.starts * b**2 + np.arange(self.size - first, dtype=np.int32)
+        weight = np.zeros(b**3)
+        weight[self.rank] = counts + 1.0
         share = lambda w: np.log(np.maximum(w, 1e-300)) - np.log(np.maximum(w.sum(axis=-1, keepdims=True), 1e-300))
         third = weight.reshape(b * b, b)
         second = third.sum(axis=1).reshape(b, b)
         self.shares = [np.maximum(share(w), -80).astype(np.float32) for w in (second.sum(axis=1), second, third)]
-        # inputs: a row for each of the most frequent ranks, one for each group of a base of others, one for no id
-        self.rows = np.minimum(np.arange(self.size + 1), b * b) * 0
-        ranks = np.arange(self.size)
-        self.rows[: self.size] = np.where(ranks < b * b, ranks, b * b + ranks // b)
-        self.rows[self.size] = self.none = 2 * b * b
+        # inputs: a row for each of the most frequent ids, one for each group of a base of others, one for no id
+        self.rows = b * b + np.arange(b**3, dtype=np.int32) // b
+        self.rows[self.rank[falling[: b * b]]] = np.arange(min(b * b, self.size))
+        self.none = 2 * b * b
 
 
 class Model:
@@ -111,8 +114,9 @@ class Model:
         z -= z.max(axis=2, keepdims=True)
         return z, g, k, np.stack([one, two, three], axis=1), both
 
-    def log_probabilities(self, x: np.ndarray, y: np.ndarray, w: np.ndarray, first: int = 0) -> np.ndarray:
-        """Natural logarithms, for windows of input rows x, of the ranks y at the places (from `first` on) that w marks, in order."""
+    def log_probabilities(self, x: np.ndarray, y: np.ndarray, w: np.ndarray, first: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """Natural logarithms of probabilities, for windows of input rows x, at the places (from `first` on) that w marks, in
+        order: of the ranks y, and of there being any that begins a word."""
         p = self.p
         h, *_, o = self._attend(x, first)
         w = w[:, first:]
@@ -121,7 +125,8 @@ class Model:
         z, _, _, digits, _ = self._shares(h, y[:, first:][w])
         got = np.take_along_axis(z, digits[:, :, None], axis=2)[:, :, 0]
         np.exp(z, out=z)
-        return (got - np.log(z.sum(axis=2))).sum(axis=1)
+        total = z.sum(axis=2)
+        return (got - np.log(total)).sum(axis=1), np.log(z[:, 0, : self.ranks.starts].sum(axis=1) / total[:, 0])
 
     def gradients(self, x: np.ndarray, y: np.ndarray, w: np.ndarray):
         """Mean loss over the places that w marks, and the parameters' gradients."""
@@ -259,19 +264,31 @@ def windows(ranks: Ranks, sequences: list[np.ndarray]) -> tuple[np.ndarray, np.n
     return x, y, w, counts
 
 
-def id_scores(model: Model, sequences: list[np.ndarray]) -> np.ndarray:
-    """log10 probability of each rank of the sequences, one after the other; each sequence has its end."""
+def id_scores(model: Model, sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """log10 probability of each rank of the sequences, one after the other, and of there being one that begins a word; each
+    sequence has its end."""
     if not sequences:
-        return np.zeros(0)
+        return np.zeros(0), np.zeros(0)
     x, y, w, _ = windows(model.ranks, sequences)
     per = [model.log_probabilities(x[at : at + SCORED], y[at : at + SCORED], w[at : at + SCORED], OVERLAP) for at in range(0, len(x), SCORED)]
-    return np.concatenate(per).astype(np.float64) / np.log(10)
+    return tuple(np.concatenate(p).astype(np.float64) / np.log(10) for p in zip(*per))
+
+
+def word_probabilities(model: Model, sequences: list[np.ndarray], per: np.ndarray, norms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """log10, for the words (each of per ids) and ends of all sequences: of a word's first id where a word begins, less the
+    norm of that id; and of all its ids there, and of another word's beginning after them."""
+    (by_id, start), first = id_scores(model, sequences), np.cumsum(per) - per
+    ids = np.concatenate(sequences)
+    onward = np.append(start[first[1:]], 0.0)
+    onward[ids[first] == model.ranks.rank[-1]] = 0.0  # nothing follows an end
+    own = by_id[first] - start[first]
+    return own - norms[ids[first]], np.add.reduceat(by_id, first) - start[first] + onward
 
 
 def context_scores(model: Model, sequences: list[np.ndarray]) -> np.ndarray:
     """log10 probability of each sequence."""
     sizes = np.array([len(s) for s in sequences])
-    return np.add.reduceat(id_scores(model, sequences), np.cumsum(sizes) - sizes) if len(sizes) else np.zeros(0)
+    return np.add.reduceat(id_scores(model, sequences)[0], np.cumsum(sizes) - sizes) if len(sizes) else np.zeros(0)
 
 
 def held_out(key: str = "doc_id"):
@@ -287,8 +304,8 @@ def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return flat.filter(pa.array(some)), np.bincount(rows, minlength=len(counts))
 
 
-def word_counts(train: DataFrame, text: str = "text") -> DataFrame:
-    """word (a line feed stands for the end) and n, over all rows."""
+def word_counts(train: DataFrame, path: str, text: str = "text") -> DataFrame:
+    """word (a line feed stands for the end), n and its first id, over all rows."""
 
     def count(batches):
         for batch in batches:
@@ -297,7 +314,16 @@ def word_counts(train: DataFrame, text: str = "text") -> DataFrame:
                 met = pc.value_counts(words)
                 yield pa.RecordBatch.from_arrays([pa.concat_arrays([met.field(0), pa.array(["\n"])]), pa.concat_arrays([met.field(1), pa.array([part.num_rows], pa.int64())])], names=["word", "n"])
 
-    return stage_table(train.select(text).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
+    def with_id(batches):
+        tool = encoder(path)
+        for batch in batches:
+            ids, sizes = tool.encode_words(batch.column(0).dictionary_encode())
+            first = ids[np.cumsum(sizes) - sizes].astype(np.int32) if len(sizes) else np.zeros(0, np.int32)
+            first[np.asarray(pc.equal(batch.column(0), "\n"))] = tool.size
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(first)], names=["word", "n", "first"])
+
+    counts = train.select(text).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return stage_table(counts.mapInArrow(with_id, "word string, n long, first int"), "word-counts")
 
 
 def encoded(df: DataFrame, path: str, learn, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -412,9 +438,9 @@ def score_documents(df: DataFrame, path: str, learn, key: str = "doc_id", text:
     size, dtype = tool.size + 1, tool.dtype
     if size > np.iinfo(dtype).max + 1:
         raise ValueError("the vocabulary leaves no id for the end")
-    counts = word_counts(df.filter(learn), text)
-    about = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
-    n, v = about["n"] or 0, about["v"]
+    counts = word_counts(df.filter(learn), path, text)
+    by_first = {r["first"]: (r["n"], r["v"]) for r in counts.groupBy("first").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()}
+    n, v = sum(x for x, _ in by_first.values()), sum(x for _, x in by_first.values())
     base = log10(n + v + 1)
     # the least count for which at most FREQUENT words remain, from a histogram of a few hundred rows
     steps = F.floor(F.log2("n") * 16).cast("int")
@@ -429,13 +455,15 @@ def score_documents(df: DataFrame, path: str, learn, key: str = "doc_id", text:
     logs = np.append(np.log10(np.asarray(top["n"], dtype=np.float64) + 1), 0.0)
 
     coded = encoded(df, path, learn, key, text)
-    ranks = Ranks(id_counts(coded, size))
+    ranks = Ranks(id_counts(coded, size), np.append(tool.begins(), True))
     model = fit_model(coded.filter("learn"), ranks, dtype)
-    shared = spark.sparkContext.broadcast((order, logs, model.p, ranks))
-    mixed = lambda known, spelt: np.log10(MIXED * 10 ** (known - base) + (1 - MIXED) * 10**spelt)
+    norms = np.zeros(ranks.base**3)
+    for first, both in by_first.items():
+        norms[ranks.rank[first]] = log10(sum(both) + 1)
+    shared = spark.sparkContext.broadcast((order, logs, norms, model.p, ranks))
 
     def score(batches):
-        order, logs, params, ranks = shared.value
+        order, logs, norms, params, ranks = shared.value
         model = Model(ranks)
         model.p = params
         end = order.get("\n", -1)
@@ -454,10 +482,10 @@ def score_documents(df: DataFrame, path: str, learn, key: str = "doc_id", text:
                 place[inner] = places
                 per = np.ones(len(row), np.int64)
                 per[inner] = np.frombuffer(b"".join(part.column(4).to_pylist()), "<u4")
-                by_id = id_scores(model, _sequences(part.column(3), ranks, dtype))
-                spelt = np.add.reduceat(by_id, np.cumsum(per) - per) if len(per) else by_id
+                begins, spelt = word_probabilities(model, _sequences(part.column(3), ranks, dtype), per, norms)
                 often = place >= 0
-                known, score = logs[place], np.where(often | ~inner, mixed(logs[place], spelt), 0.0)
+                known = logs[place]
+                score = np.where(often | ~inner, np.log10(MIXED * 10 ** (begins + known) + (1 - MIXED) * 10**spelt), 0.0)
                 rare = np.flatnonzero(~often & inner)
                 codes = np.zeros(len(row), np.int64)
                 codes[inner] = np.asarray(coded.indices)
@@ -466,18 +494,18 @@ def score_documents(df: DataFrame, path: str, learn, key: str = "doc_id", text:
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.concat_arrays([rids, rids.take(pa.array(row[rare]))]), pa.concat_arrays([part.column(1), pa.nulls(b, pa.int64())]), pa.concat_arrays([pa.nulls(rows, pa.string()), coded.dictionary.take(pa.array(codes[rare])).cast(pa.string())]),
-                        pa.array(np.concatenate([sizes + 1, np.zeros(b, np.int64)])), pa.array(np.concatenate([sums[0].astype(np.int64), np.zeros(b, np.int64)])), pa.array(np.concatenate([sums[1], np.zeros(b)])), pa.array(np.concatenate([sums[2], spelt[rare]])),
+                        pa.array(np.concatenate([sizes + 1, np.zeros(b, np.int64)])), pa.array(np.concatenate([sums[0].astype(np.int64), np.zeros(b, np.int64)])), pa.array(np.concatenate([sums[1], np.zeros(b)])), pa.array(np.concatenate([sums[2], spelt[rare]])), pa.array(np.concatenate([np.zeros(rows), begins[rare]])),
                     ],
-                    names=["rid", "k", "word", "n_tokens", "known", "logs", "score"],
+                    names=["rid", "k", "word", "n_tokens", "known", "logs", "score", "begins"],
                 )
 
     numbered = coded.filter("learn IS NOT NULL").select("rid", "k", "t", "ids", "sizes")
-    scored = stage_table(numbered.mapInArrow(score, "rid long, k long, word string, n_tokens long, known long, logs double, score double"), "scored")
+    scored = stage_table(numbered.mapInArrow(score, "rid long, k long, word string, n_tokens long, known long, logs double, score double, begins double"), "scored")
     drop_table(coded)
     less = counts.filter(F.col("n") < (least or 1 << 62)).select("word", F.col("n").alias("c"))
     c = F.coalesce(F.col("c"), F.lit(0)) + 1
-    mix = F.log10(F.lit(MIXED) * c / F.lit(float(n + v + 1)) + F.lit(1 - MIXED) * F.pow(F.lit(10.0), "score"))
-    found = scored.filter("word IS NOT NULL").select("rid", "word", "score").join(less, "word", "left")
+    mix = F.log10(F.lit(MIXED) * c * F.pow(F.lit(10.0), "begins") + F.lit(1 - MIXED) * F.pow(F.lit(10.0), "score"))
+    found = scored.filter("word IS NOT NULL").select("rid", "word", "score", "begins").join(less, "word", "left")
     found = found.groupBy("rid").agg(F.count("c").alias("more"), F.sum(F.log10(c)).alias("more_logs"), F.sum(mix).alias("more_score"))
     rows = scored.filter("word IS NULL").join(found, "rid", "left")
     more = lambda a, b: F.col(a) + F.coalesce(F.col(b), F.lit(0.0))

@@ -181,6 +181,12 @@ class UnitEncoder:
         ids, sizes = self._placed(met, codes)
         return ids, np.add.reduceat(sizes, starts)
 
+    def begins(self) -> np.ndarray:
+        """Which ids begin with a space, as every word's first id does."""
+        out = np.zeros(self.size, bool)
+        out[[i for token, i in self.tool.get_vocab().items() if token.startswith("Ġ")]] = True
+        return out
+
     def encode_words(self, words: pa.DictionaryArray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words one after the other, how many each has), each word read with a space before it."""
         for seen in (self.rest, self.parts):

@@ -593,16 +593,16 @@ def test_a_hundred_languages(spark):
 
 
 def small_ranks(size=60):
-    return lm.Ranks(np.random.default_rng(4).integers(0, 50, size))
+    rng = np.random.default_rng(4)
+    return lm.Ranks(rng.integers(0, 50, size), np.append(rng.random(size - 1) < 0.5, True))
 
 
 def test_ranks():
-    ranks = lm.Ranks(np.array([3, 0, 9, 9, 1]))
-    assert ranks.rank.tolist() == [2, 4, 0, 1, 3] and ranks.base == 2 and ranks.none == 8
-    for share, used in zip(ranks.shares, (1, 2, 3)):  # groups that hold ids
-        assert np.allclose(np.exp(share).sum(axis=-1).ravel()[:used], 1, atol=1e-5)
+    ranks = lm.Ranks(np.array([3, 0, 9, 9, 1]), np.array([False, True, False, True, True]))
+    assert ranks.base == 2 and ranks.starts == 1 and ranks.rank.tolist() == [5, 2, 4, 0, 1] and ranks.none == 8
     one, two, three = (np.exp(s) for s in ranks.shares)
-    assert np.allclose([one[r // 4] * two[r // 4, r // 2 % 2] * three[r // 2, r % 2] for r in range(5)], np.array([10, 10, 4, 2, 1]) / 27)
+    assert np.allclose([one[r // 4] * two[r // 4, r // 2 % 2] * three[r // 2, r % 2] for r in ranks.rank], np.array([4, 1, 10, 10, 2]) / 27)
+    assert sorted(ranks.rows[ranks.rank]) == [0, 1, 2, 3, 5] and ranks.rows[2] == 5
 
 
 def test_gradients():
@@ -610,10 +610,10 @@ def test_gradients():
     for name in model.p:
         model.p[name] = model.p[name].astype(np.float64)
     model.ranks.shares = [s.astype(np.float64) for s in model.ranks.shares]
-    x, y, w, _ = lm.windows(model.ranks, [rng.integers(0, 60, 50)])
+    x, y, w, _ = lm.windows(model.ranks, [model.ranks.rank[rng.integers(0, 60, 50)]])
     _, grad = model.gradients(x, y, w)
     for name, value in model.p.items():
-        at = (int(x[0, 10]), 3) if name == "E" else (int(y[w][3]) // 4, 2) if name == "H" else (int(y[w][3]) // 16, 2) if name == "G" else tuple(int(rng.integers(0, s)) for s in value.shape)
+        at = (int(x[0, 10]), 3) if name == "E" else (int(y[w][3]) // model.ranks.base, 2) if name == "H" else (int(y[w][3]) // model.ranks.base**2, 2) if name == "G" else tuple(int(rng.integers(0, s)) for s in value.shape)
         value[at] += 1e-5
         up = model.gradients(x, y, w)[0]
         value[at] -= 2e-5
@@ -622,9 +622,10 @@ def test_gradients():
         assert abs((up - down) / 2e-5 - grad[name][at]) < 1e-5
 
 
-def brute_score(model, sequence):
-    """log10 probability, one rank at a time: its window's inputs up to it, one query, plain softmaxes."""
-    p, ranks, total = model.p, model.ranks, 0.0
+def brute_ids(model, sequence):
+    """log10 probability of each rank, and of any that begins a word, one at a time: its window's inputs up to it, one query,
+    plain softmaxes."""
+    p, ranks, out = model.p, model.ranks, []
     b, step = ranks.base, lm.CONTEXT - lm.OVERLAP
     inputs = [ranks.rows[r] for r in (ranks.rank[-1], *sequence)]
     soft = lambda z: np.exp(z - z.max()) / np.exp(z - z.max()).sum()
@@ -636,38 +637,44 @@ def brute_score(model, sequence):
         h = rows[-1] + (a @ (rows @ p["V"])) @ p["O"]
         h = h + np.maximum(h @ p["A"] + p["a"], 0) @ p["B"] + p["b"]
         one, both, two, three = y // (b * b), y // b, y // b % b, y % b
-        total += np.log10(soft(h @ p["U"] + ranks.shares[0])[one])
-        total += np.log10(soft((h * p["G"][one]) @ p["W"] + ranks.shares[1][one])[two])
-        total += np.log10(soft((h * p["H"][both]) @ p["X"] + ranks.shares[2][both])[three])
-    return total
+        first = soft(h @ p["U"] + ranks.shares[0])
+        second = soft((h * p["G"][one]) @ p["W"] + ranks.shares[1][one])[two]
+        out.append((np.log10(first[one]) + np.log10(second) + np.log10(soft((h * p["H"][both]) @ p["X"] + ranks.shares[2][both])[three]), np.log10(first[: ranks.starts].sum())))
+    return out
+
+
+def brute_score(model, sequence):
+    return sum(x for x, _ in brute_ids(model, sequence))
 
 
 def test_scores_by_brute_force():
     rng, model = np.random.default_rng(1), lm.Model(small_ranks())
     for name in "GH":
         model.p[name] = rng.normal(1, 0.3, model.p[name].shape).astype(np.float32)
-    many = [rng.integers(0, 60, n) for n in (1, 2, 24, 25, 26, 100, 7)]
+    many = [model.ranks.rank[rng.integers(0, 60, n)] for n in (1, 2, 24, 25, 26, 100, 7)]
     assert np.allclose(lm.context_scores(model, many), [brute_score(model, s) for s in many], rtol=1e-4)
     assert len(lm.context_scores(model, [])) == 0
 
 
 def test_all_ranks_share_one_probability():
     model = lm.Model(small_ranks())
-    start = [5, 7, 11]
-    base = lm.context_scores(model, [np.array(start)])[0]
-    assert np.isclose(sum(10 ** (lm.context_scores(model, [np.array([*start, r])])[0] - base) for r in range(60)), 1, atol=1e-3)
+    start, ranks = [5, 7, 11], model.ranks
+    scores = [lm.id_scores(model, [np.array([*start, r])]) for r in ranks.rank]
+    assert np.isclose(sum(10 ** s[0][-1] for s in scores), 1, atol=1e-3)
+    begin = [10 ** s[0][-1] for s, r in zip(scores, ranks.rank) if r < ranks.starts * ranks.base**2]
+    assert 0 < len(begin) < 60 and np.allclose([10 ** s[1][-1] for s in scores], sum(begin), atol=1e-3)
 
 
 def test_each_token_is_scored_once_and_causally():
     ranks, rng = small_ranks(), np.random.default_rng(1)
     model = lm.Model(ranks)
     for n in (1, 23, 24, 25, 101):
-        seq = rng.integers(0, 60, n)
+        seq = ranks.rank[rng.integers(0, 60, n)]
         x, y, w, counts = lm.windows(ranks, [seq, seq[:1]])
         assert y[w].tolist() == [*seq, seq[0]] and counts.sum() == len(x)
         again = seq.copy()
-        again[n // 2 :] = (again[n // 2 :] + 1) % 60
-        one, other = (model.log_probabilities(*lm.windows(ranks, [s])[:3], lm.OVERLAP) for s in (seq, again))
+        again[n // 2 :] = again[n // 2 :][::-1]
+        one, other = (model.log_probabilities(*lm.windows(ranks, [s])[:3], lm.OVERLAP)[0] for s in (seq, again))
         assert np.allclose(one[: n // 2], other[: n // 2])
 
 
@@ -706,13 +713,17 @@ def test_scores_of_whole_documents_by_brute_force(spark, monkeypatch):
     counts, encode = Counter(), token_ids.IdEncoder(PATH).tool
     for t in texts[:3]:
         counts.update([*lower_words(t), b"\n"])
-    z, model = sum(counts.values()) + len(counts) + 1, seen["model"]
+    model, z = seen["model"], Counter()
+    first = lambda w: -1 if w == b"\n" else encode.encode(" " + w.decode(), add_special_tokens=False).ids[0]
+    for w, c in counts.items():
+        z[first(w)] += c + 1
     for i, t in enumerate(texts):
         own = [[model.ranks.rank[x] for x in encode.encode(" " + w.decode(), add_special_tokens=False).ids] for w in lower_words(t)] + [[model.ranks.rank[-1]]]
-        flat, want, at = [x for w in own for x in w], 0.0, 0
+        by_id, want, at = brute_ids(model, [x for w in own for x in w]), 0.0, 0
         for word, ids in zip([*lower_words(t), b"\n"], own):
-            spelt = brute_score(model, flat[: at + len(ids)]) - brute_score(model, flat[:at])
-            want, at = want + log10(lm.MIXED * (counts[word] + 1) / z + (1 - lm.MIXED) * 10**spelt), at + len(ids)
+            share, here, after = (counts[word] + 1) / (z[first(word)] + 1), by_id[at][1], 0 if word == b"\n" else by_id[at + len(ids)][1]
+            spelt = sum(x for x, _ in by_id[at : at + len(ids)]) - here + after
+            want, at = want + log10(lm.MIXED * 10 ** (by_id[at][0] - here) * share + (1 - lm.MIXED) * 10**spelt), at + len(ids)
         assert np.isclose(out[i], want, rtol=1e-4)
 
 
@@ -736,10 +747,10 @@ def test_model_learns_from_whole_documents(spark, monkeypatch):
 def test_every_target_is_learnt_once():
     rng, ranks = np.random.default_rng(2), small_ranks()
     for n in (1, 23, 24, 25, 100):
-        seq = rng.integers(0, 60, n)
+        seq = ranks.rank[rng.integers(0, 60, n)]
         x, y, w = lm.blocks(ranks, [seq])
         assert y[w].tolist() == seq.tolist() and x[w].tolist() == ranks.rows[[ranks.rank[-1], *seq[:-1]]].tolist()
-    many = [rng.integers(0, 60, n) for n in (1, 6, 7000, 300)]
+    many = [ranks.rank[rng.integers(0, 60, n)] for n in (1, 6, 7000, 300)]
     learner = lm.Learner(lm.Model(ranks))
     for part in ([], many[:2], many[2:]):
         learner.learn(part)
