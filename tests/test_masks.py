@@ -358,3 +358,43 @@ def test_single_masks_and_types(spark):
     assert got(reshape.typed_spans(ranges(spark, (0, 5)), wide, "u8")) == [(250, 255, 0)]
     with pytest.raises(Exception, match="does not fit"):
         reshape.typed_spans(ranges(spark, (0, 7)), wide, "u8").collect()
+
+
+def test_wire_decode_is_one_pass(spark):
+    good = bytes(encoding.wire_encode(ranges(spark, (10, 30)), box(spark, 1, 2, 100, 200), False).first()["payload"])
+    df = spark.createDataFrame([(0, bytearray(good)), (1, bytearray(good[:10])), (2, None)], "mask_id int, payload binary")
+    out = encoding.wire_decode(df, errors="skip")
+    assert [tuple(r) for r in out.collect()] == [(0, 10, 30)] and out.schema["mask_id"].dataType.simpleString() == "int"
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    huge = good[:19] + (1 << 63).to_bytes(8, "little") + (5).to_bytes(8, "little")
+    df = spark.createDataFrame([(0, bytearray(huge))], "mask_id long, payload binary")
+    with pytest.raises(Exception, match="signed 64-bit"):
+        encoding.wire_decode(df).collect()
+    assert [(int(r["start"]), int(r["end"])) for r in encoding.wire_decode(df, wide=True).collect()] == [(1 << 63, (1 << 63) + 5)]
+    over = good[:19] + ((1 << 64) - 1).to_bytes(8, "little") + (5).to_bytes(8, "little")
+    with pytest.raises(Exception, match="does not fit 64 bits"):
+        encoding.wire_decode(spark.createDataFrame([(0, bytearray(over))], "mask_id long, payload binary"), wide=True).collect()
+
+
+def test_builder_keeps_the_first_error(spark):
+    rows = [(0, 1, 10, 20), (0, 2, 5, 8), (0, 3, 30, 30), (1, 1, 5, 5), (1, 2, 0, 1), (2, 1, 0, 4), (2, 2, 4, 6), (2, 3, 9, 10), (3, 1, 300, 301)]
+    df = spark.createDataFrame(rows, "mask_id long, n int, start long, end long")
+    out = {r["mask_id"]: (r["included"], r["excluded"], r["error"]) for r in encoding.build_masks(df, "n", "u8").collect()}
+    assert out == {0: (None, None, "range starts before the end of the one before"), 1: (None, None, "range is empty"), 2: ([6, 1], [0, 3], None), 3: (None, None, "end does not fit u8")}
+
+
+def test_priority_union_in_buckets(spark):
+    import random
+
+    rng = random.Random(2)
+    rows = [(m, s, s + rng.randint(1, 40), rng.choice("abc"), rng.randint(0, 5)) for m in range(3) for s in [rng.randint(0, 200) for _ in range(30)]]
+    df = spark.createDataFrame(rows, "mask_id long, start long, end long, meta string, priority long")
+    want = {}
+    for m, s, e, meta_, p in rows:
+        for x in range(s, e):
+            want[m, x] = max(want.get((m, x), (-1, "")), (p, meta_))
+    for bucket in (1, 7, 64, 4096):
+        out = meta.priority_union(df, bucket).collect()
+        assert {(r["mask_id"], x): r["meta"] for r in out for x in range(r["start"], r["end"])} == {k: v[1] for k, v in want.items()}
+        ends = {(r["mask_id"], r["end"], r["meta"]) for r in out}
+        assert not any((r["mask_id"], r["start"], r["meta"]) in ends for r in out)
