@@ -39,8 +39,9 @@ FREQUENT = 131_072
 MIXED = 0.9
 SAMPLE, SAMPLE_WINDOWS = 600, 32  # documents, and windows of each, that the training starts from
 STEPS, BATCH, RATE = 300, 96, 0.01
-BLOCKS = 64  # of a step over whole texts
-SCORED = 64  # windows that are scored at a time
+BLOCKS = 128  # of a step over whole texts
+SCORED = 128  # windows that are scored at a time
+MOST = np.float32(60)  # of a softmax's inputs, which exp() can still take
 
 
 class Ranks:
@@ -79,21 +80,21 @@ class Model:
         shapes = {"E": (ranks.none + 1, d), "P": (CONTEXT, d), "Q": (d, d), "K": (d, d), "V": (d, d), "O": (d, d), "A": (d, HIDDEN), "a": (HIDDEN,), "B": (HIDDEN, d), "b": (d,), "U": (d, b), "W": (d, b), "X": (d, b), "G": (b, d), "H": (b * b, d)}
         first = {"E": 0.3, "P": 0.3, "U": 0.05, "W": 0.05, "X": 0.05, "a": 0, "b": 0}
         self.p = {k: (np.ones(s) if k in "GH" else rng.normal(0, first.get(k, 1 / np.sqrt(s[0])), s)).astype(np.float32) for k, s in shapes.items()}
-        self.mask = np.where(np.tril(np.ones((CONTEXT, CONTEXT), bool)), 0, -1e9).astype(np.float32)
+        self.mask = np.tril(np.ones((CONTEXT, CONTEXT), np.float32))
 
     def _attend(self, x: np.ndarray, first: int):
         """Embeddings, queries, keys, values, attention and what is attended to, for windows of input rows."""
         p = self.p
         h = p["E"][x[:, first:]] + p["P"][first:]
-        q, k, v = (p["E"] @ p["Q"])[x[:, first:]] + (p["P"] @ p["Q"])[first:], (p["E"] @ p["K"])[x] + p["P"] @ p["K"], (p["E"] @ p["V"])[x] + p["P"] @ p["V"]
+        scaled = p["Q"] * np.float32(1 / np.sqrt(WIDTH))
+        q, k, v = (p["E"] @ scaled)[x[:, first:]] + (p["P"] @ scaled)[first:], (p["E"] @ p["K"])[x] + p["P"] @ p["K"], (p["E"] @ p["V"])[x] + p["P"] @ p["V"]
         s = q @ k.transpose(0, 2, 1)
-        s *= np.float32(1 / np.sqrt(WIDTH))
-        s += self.mask[first:]
-        if (x == self.ranks.none).any():
-            s += np.where(x == self.ranks.none, np.float32(-1e9), np.float32(0))[:, None, :]
-        s -= s.max(axis=2, keepdims=True)
+        np.minimum(s, MOST, out=s)
         np.exp(s, out=s)
-        s /= s.sum(axis=2, keepdims=True)
+        s *= self.mask[first:]
+        if (x == self.ranks.none).any():
+            s *= (x != self.ranks.none)[:, None, :]
+        s *= 1 / np.maximum(s.sum(axis=2, keepdims=True), np.float32(1e-30))
         return h, q, k, v, s, s @ v
 
     def _digits(self, y: np.ndarray):
@@ -111,7 +112,7 @@ class Model:
         z[:, 1] += s2[one]
         z[:, 2] = k @ p["X"]
         z[:, 2] += s3[both]
-        z -= z.max(axis=2, keepdims=True)
+        np.minimum(z, MOST, out=z)
         return z, g, k, np.stack([one, two, three], axis=1), both
 
     def log_probabilities(self, x: np.ndarray, y: np.ndarray, w: np.ndarray, first: int = 0) -> tuple[np.ndarray, np.ndarray]:
@@ -161,8 +162,9 @@ class Model:
         g["O"] = flat(o).T @ flat(dh1)
         do = dh1 @ p["O"].T
         ds, dv = do @ v.transpose(0, 2, 1), s.transpose(0, 2, 1) @ do
-        ds = s * (ds - (ds * s).sum(axis=2, keepdims=True)) * np.float32(1 / np.sqrt(WIDTH))
-        dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
+        ds *= s
+        ds -= s * ds.sum(axis=2, keepdims=True)
+        dq, dk = (ds @ k) * np.asarray(1 / np.sqrt(WIDTH), ds.dtype), ds.transpose(0, 2, 1) @ q
         dh0 = dh1 + dq @ p["Q"].T + dk @ p["K"].T + dv @ p["V"].T
         for name, d in (("Q", dq), ("K", dk), ("V", dv)):
             g[name] = flat(h0).T @ flat(d)
