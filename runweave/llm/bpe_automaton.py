@@ -210,7 +210,10 @@ def decode_ids(df: DataFrame, path: str, key: str = "doc_id", ids: str = "ids")
 
 
 def round_trip(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Digests of encode_texts() and decode_ids() in one pass: key, n_tokens, ids_sha256, decoded_sha256."""
+    """Digests of encode_texts() and decode_ids() in one pass: key, n_tokens, ids_sha256, decoded_sha256.
+
+    A null text is an empty one, with no ids; null keys and repeated rows stay as they are, an empty table gives an empty result,
+    other columns are not looked at."""
 
     def run(batches):
         tool = automaton_encoder(path)

@@ -43,9 +43,25 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
         df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_path = path
+    for made in _SCOPES[-1:]:
+        made.append(out)
     return out
 
 
+_SCOPES: list[list[DataFrame]] = []
+
+
+@contextmanager
+def staged_tables():
+    """A list of all tables that stage_table() writes while it lasts: whoever has written down what was made of them can drop
+    those that operators couldn't drop themselves, because their results are lazy."""
+    _SCOPES.append([])
+    try:
+        yield _SCOPES[-1]
+    finally:
+        _SCOPES.pop()
+
+
 def drop_table(df: DataFrame) -> None:
     """Remove a table that stage_table() wrote and that nothing reads any more."""
     spark = df.sparkSession

@@ -112,7 +112,10 @@ def identify(df: DataFrame, raw: dict[str, bytes], key: str = "doc_id", text: st
 
 
 def keep_identified(df: DataFrame, raw: dict[str, bytes], text: str = "text", margin: float = MARGIN) -> DataFrame:
-    """df's rows whose language is not rejected, with all their columns."""
+    """df's rows whose language is not rejected, with all their columns.
+
+    Null texts, texts without a letter and, where nothing has been learnt, all texts are rejected; null keys and other nulls
+    don't matter; repeated rows share their fate; an empty table gives an empty one."""
 
     def run(batches):
         model = Classifier(raw, margin)
@@ -130,7 +133,7 @@ def held_out(key: str = "doc_id"):
 
 
 def op9_language(spark, sf_dir):
-    """Language of every document, learnt from those that aren't held out."""
+    """Language of every document, learnt from those that aren't held out; for nulls, ties and empty tables see identify()."""
     docs = documents(spark, sf_dir)
     raw = fit(docs.filter(~held_out()))
     return identify(docs, raw).withColumn("held_out", held_out()).select("doc_id", "held_out", "lang_pred", "score", "margin", "rejected")

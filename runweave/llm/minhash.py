@@ -445,14 +445,17 @@ def _named_rows(signed: DataFrame, named: DataFrame, same: list[str], key: str)
 
 
 def keep_representatives(df: DataFrame, k: int = 5, threshold: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """df's rows, one of each component, with all their columns; what links with nothing stays."""
+    """df's rows, one of each component, with all their columns; what links with nothing stays.
+
+    Null and wordless texts stay; a null key is smaller than all others; of a component, all rows that have its smallest key and
+    the text of one of them stay, so repeated rows stay together; an empty table gives an empty one."""
     found = near_components(df.select(key, text), k, threshold, key, text).filter("kept")
     found = found.select(F.col(key).alias("_rw_key"), F.col("text_hash").alias("_rw_hash")).distinct()
     return df.join(found, df[key].eqNullSafe(found["_rw_key"]) & (F.xxhash64(df[text]) == F.col("_rw_hash")), "left_semi")
 
 
 def op7_minhash(spark, sf_dir):
-    """Components of documents whose sets of two-word shingles are similar by 0.8 or more."""
+    """Components of documents whose sets of two-word shingles are similar by 0.8 or more; for odd rows see near_components()."""
     return near_components(documents(spark, sf_dir), k=2, threshold=80).drop("text_hash")
 
 
