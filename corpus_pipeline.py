@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept.  All but the last return the columns
 of documents, in which their decisions have taken effect.
+
+Odd rows: a null text, and one without a letter, goes at the first stage.  A null doc_id stays, and counts as smaller than
+all others; of rows that repeat each other, exact_stage() keeps one.  Ties go to the language first in the alphabet, the
+largest doc_id (exact copies) and the smallest (near copies, repeats).  Further columns are carried along, whatever their
+names.  An empty table gives an empty result at each stage.
 """
 
 from __future__ import annotations
@@ -9,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from runweave.llm import exact_dedup, langid, minhash, packing, substring_dedup
-from runweave.llm.common import documents, stage_table
+from runweave.llm.common import documents, drop_table, stage_table, staged_tables
 from runweave.llm.token_ids import vocabulary_path
 
 REPEAT_WORDS = 50
@@ -53,7 +58,12 @@ ORACLE_SQL = None  # compression, MinHash and the tokenizer have no SQL form; te
 
 
 def run(spark, sf_dir):
-    docs = documents(spark, sf_dir)
+    """All stages over documents; what a stage has written for itself, and its input, goes once its result is written."""
+    docs, before = documents(spark, sf_dir), []
     for name, stage in STAGES[:-1]:
-        docs = stage_table(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with staged_tables() as made:
+            docs = stage_table(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        for table in (*before, *made[:-1]):
+            drop_table(table)
+        before = made[-1:]
     return STAGES[-1][1](spark, docs, sf_dir)
