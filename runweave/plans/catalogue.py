@@ -332,6 +332,13 @@ def range_arithmetic(spark, d):
     return back.select("mask_id", "json", F.col("i.start").alias("first"), F.col("i.end").alias("last"), "len")
 
 
+@_query(f"""SELECT mask_id, "start" + 7 AS s, "end" + 7 AS e, "start" AS a, "end" AS b, "start" AS c, "end" AS d FROM ({flat(PE)})""")
+def range_forms(spark, d):
+    moved = _e(spark, d).withColumn("m", columns.range_shift("start", "end", 7)).withColumn("i", columns.to_inclusive("start", "end"))
+    back = moved.withColumn("x", columns.from_inclusive("i.start", "i.end")).withColumn("y", columns.from_length("start", columns.range_length("start", "end")))
+    return back.selectExpr("mask_id", "m.start AS s", "m.end AS e", "x.start AS a", "x.end AS b", "y.start AS c", "y.end AS d")
+
+
 @_query("""SELECT CAST(o_orderkey AS BIGINT) AS o, CAST(greatest(x - 5, 0) AS BIGINT) AS x, CAST(greatest(y - 5, 0) AS BIGINT) AS y, CAST(x + w + 5 - greatest(x - 5, 0) AS BIGINT) AS w, CAST(y + h + 5 - greatest(y - 5, 0) AS BIGINT) AS h,
  CAST(least(x, 50) AS BIGINT) AS ux, CAST(greatest(x + w, 60) - least(x, 50) AS BIGINT) AS uw, CAST(coalesce(CASE WHEN x < 60 AND x + w > 50 AND y < 80 AND y + h > 40 THEN least(x + w, 60) - greatest(x, 50) END, 0) AS BIGINT) AS iw
 FROM (SELECT o_orderkey, o_custkey % 200 + o_orderkey % 13 AS x, o_orderkey % 200 AS y, 1 + o_orderkey % 17 AS w, 1 + o_custkey % 11 AS h FROM orders)""")
