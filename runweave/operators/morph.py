@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runweave.functions.columns import rect, rect_expand
-from runweave.operators.normalize import normalize, normalize_ranges
+from runweave.operators.normalize import merge_runs, normalize, normalize_ranges
 from runweave.operators.reshape import clip
 
 DIRECT = 4  # up to this radius, all 2r+1 rows of a span are made at once
@@ -35,8 +35,10 @@ def row_steps(r: int) -> list[int]:
 def dilate(spans: DataFrame, r: int, strategy=in_place, clip_to: tuple[int, int, int, int] | None = None) -> DataFrame:
     """Everything within r columns and r rows of the mask; what would fall left of column 0 or above row 0 is left out.
 
-    A small radius makes each span's 2r+1 rows; a large one makes three per step of a number of steps logarithmic in r, with
-    runs merged in between.  clip_to (x, y, width, height) cuts the result, and drops early what can't reach it."""
+    A small radius makes each span's 2r+1 rows.  With a large one, masks are cut into strips of 2r+1 rows, spans go to the one or
+    two strips that they reach, and a strip makes three rows of each run per step of a number of steps logarithmic in r, with
+    runs merged in between: one exchange in all.  clip_to (x, y, width, height) cuts the result, and drops early what can't
+    reach it."""
     if r < 0:
         raise ValueError("the radius is negative")
     if clip_to:
@@ -49,9 +51,15 @@ def dilate(spans: DataFrame, r: int, strategy=in_place, clip_to: tuple[int, int,
         rows = F.expr(f"sequence(greatest(y - {r}, 0L), y + {r})")
         out = normalize(out.withColumn("y", F.explode(rows)))
     else:
-        for step in row_steps(r):  # rows above 0 are needed until the last step
-            out = normalize(out.withColumn("y", F.explode(F.expr(f"array(y - {step}, y, y + {step})"))))
-        out = out.filter("y >= 0")
+        high, left = 2 * r + 1, r
+        strips = F.expr(f"sequence(greatest(y - {r}, 0L) div {high}, (y + {r}) div {high})")
+        out = out.withColumn("_strip", F.explode(strips)).repartition("mask_id", "_strip")
+        for step in row_steps(r):  # rows above 0 and beside the strip are needed as long as they can reach it
+            left -= step
+            out = out.withColumn("y", F.explode(F.expr(f"array(y - {step}, y, y + {step})")))
+            out = out.filter(F.expr(f"y >= _strip * {high} - {left} AND y < (_strip + 1) * {high} + {left}"))
+            out = merge_runs(out, ("mask_id", "_strip", "y"), "x_start", "x_end")
+        out = out.filter("y >= 0").drop("_strip")
     return clip(out, *clip_to) if clip_to else out
 
 
