@@ -2,9 +2,9 @@
 
 Tokens are words (A-Z in lower case) and one end per document.  A word's subword ids are those of the tokenizers library for
 the word after a space; a text is the sequence of its words' ids and one end.  Ids are ranked by their frequency in all
-training documents, and a rank is written in three digits to the base of the vocabulary's cube root.  The model predicts
-the first digit, the second given the first, and the third given both: three softmaxes of a few dozen classes each, whose
-product is a probability for every id; the first digit tells whether an id begins a word.  Each softmax starts from the digits' frequencies in all training documents (one
+training documents, and a rank is written in DIGITS digits.  The model predicts the first digit, and each other one given
+those before it: softmaxes of 15 classes each for 50,000 ids, whose product is a probability for every id; the first digit
+tells whether an id begins a word.  Each softmax starts from the digits' frequencies in all training documents (one
 added to each id's count) and is moved by what one block of masked self-attention and a feed-forward layer make of the ids
 before.
 
@@ -34,13 +34,15 @@ from pyspark.sql import functions as F
 from runweave.llm.common import documents, drop_table, stage_table
 from runweave.llm.token_ids import binaries, encoder, slices, text_slices, vocabulary_path
 
-CONTEXT, OVERLAP, WIDTH, HIDDEN = 32, 8, 16, 32
+CONTEXT, OVERLAP, WIDTH, HIDDEN = 16, 4, 16, 32
+DIGITS = 4  # of a rank
+SINGLE = 2048  # ids with embeddings of their own
 FREQUENT = 131_072
 MIXED = 0.9
 SAMPLE, SAMPLE_WINDOWS = 600, 32  # documents, and windows of each, that the training starts from
-STEPS, BATCH, RATE = 300, 96, 0.01
-BLOCKS = 128  # of a step over whole texts
-SCORED = 128  # windows that are scored at a time
+STEPS, BATCH, RATE = 300, 192, 0.01
+BLOCKS = 256  # of a step over whole texts
+SCORED = 256  # windows that are scored at a time
 MOST = np.float32(60)  # of a softmax's inputs, which exp() can still take
 
 
@@ -51,126 +53,132 @@ class Ranks:
     def __init__(self, counts: np.ndarray, begins: np.ndarray):
         """counts: of each id, the end being the last; begins: which of them begin a word."""
         self.size, first = len(counts), int(begins.sum())
-        self.base = b = next(b for b in range(2, 1 << 11) if -(-first // b**2) + -(-(self.size - first) // b**2) <= b)
-        self.starts = -(-first // b**2)
+        wide = lambda b: -(-first // b ** (DIGITS - 1))
+        self.base = b = next(b for b in range(2, 1 << 11) if wide(b) - (-(self.size - first) // b ** (DIGITS - 1)) <= b)
+        self.starts = wide(b)
         falling = np.lexsort((np.arange(self.size), -counts))
         self.rank = np.empty(self.size, np.int32)
         self.rank[falling[begins[falling]]] = np.arange(first, dtype=np.int32)
-        self.rank[falling[~begins[falling]]] = self.starts * b**2 + np.arange(self.size - first, dtype=np.int32)
-        weight = np.zeros(b**3)
+        self.rank[falling[~begins[falling]]] = self.starts * b ** (DIGITS - 1) + np.arange(self.size - first, dtype=np.int32)
+        weight = np.zeros(b**DIGITS)
         weight[self.rank] = counts + 1.0
-        share = lambda w: np.log(np.maximum(w, 1e-300)) - np.log(np.maximum(w.sum(axis=-1, keepdims=True), 1e-300))
-        third = weight.reshape(b * b, b)
-        second = third.sum(axis=1).reshape(b, b)
-        self.shares = [np.maximum(share(w), -80).astype(np.float32) for w in (second.sum(axis=1), second, third)]
-        # inputs: a row for each of the most frequent ids, one for each group of a base of others, one for no id
-        self.rows = b * b + np.arange(b**3, dtype=np.int32) // b
-        self.rows[self.rank[falling[: b * b]]] = np.arange(min(b * b, self.size))
-        self.none = 2 * b * b
+        self.shares = []
+        for level in range(DIGITS):  # of each digit, given those before it
+            w = weight.reshape(b**level, b, -1).sum(axis=2)
+            share = np.log(np.maximum(w, 1e-300)) - np.log(np.maximum(w.sum(axis=1, keepdims=True), 1e-300))
+            self.shares.append(np.maximum(share, -80).astype(np.float32))
+        # inputs: a row for each of the most frequent ids, one for each group of b * b others, one for no id
+        self.rows = SINGLE + np.arange(b**DIGITS, dtype=np.int32) // (b * b)
+        self.rows[self.rank[falling[:SINGLE]]] = np.arange(min(SINGLE, self.size))
+        self.none = SINGLE + b ** (DIGITS - 2)
 
 
 class Model:
     """One block of causal self-attention.  Parameters: embeddings of ranks (frequent ones singly, others by groups) and of
-    places, query, key, value and output projections, a feed-forward layer, and for each digit the weights of its softmax,
-    which the digits before it scale."""
+    places, query, key, value and output projections, a feed-forward layer, and for each digit the weights of its softmax
+    (U0, U1, ...) and, but for the first, how the digits before it scale the state (G1, ...)."""
 
     def __init__(self, ranks: Ranks, seed: int = 7):
         rng, d, b = np.random.default_rng(seed), WIDTH, ranks.base
         self.ranks = ranks
-        shapes = {"E": (ranks.none + 1, d), "P": (CONTEXT, d), "Q": (d, d), "K": (d, d), "V": (d, d), "O": (d, d), "A": (d, HIDDEN), "a": (HIDDEN,), "B": (HIDDEN, d), "b": (d,), "U": (d, b), "W": (d, b), "X": (d, b), "G": (b, d), "H": (b * b, d)}
-        first = {"E": 0.3, "P": 0.3, "U": 0.05, "W": 0.05, "X": 0.05, "a": 0, "b": 0}
-        self.p = {k: (np.ones(s) if k in "GH" else rng.normal(0, first.get(k, 1 / np.sqrt(s[0])), s)).astype(np.float32) for k, s in shapes.items()}
+        shapes = {"E": (ranks.none + 1, d), "P": (CONTEXT, d), "Q": (d, d), "K": (d, d), "V": (d, d), "O": (d, d), "A": (d, HIDDEN), "a": (HIDDEN,), "B": (HIDDEN, d), "b": (d,)}
+        shapes |= {f"U{level}": (d, b) for level in range(DIGITS)} | {f"G{level}": (b**level, d) for level in range(1, DIGITS)}
+        first = {"E": 0.3, "P": 0.3, "U": 0.05, "a": 0, "b": 0}
+        self.p = {k: (np.ones(s) if k[0] == "G" else rng.normal(0, first.get(k[0], 1 / np.sqrt(s[0])), s)).astype(np.float32) for k, s in shapes.items()}
         self.mask = np.tril(np.ones((CONTEXT, CONTEXT), np.float32))
 
     def _attend(self, x: np.ndarray, first: int):
         """Embeddings, queries, keys, values, attention and what is attended to, for windows of input rows."""
-        p = self.p
-        h = p["E"][x[:, first:]] + p["P"][first:]
-        scaled = p["Q"] * np.float32(1 / np.sqrt(WIDTH))
-        q, k, v = (p["E"] @ scaled)[x[:, first:]] + (p["P"] @ scaled)[first:], (p["E"] @ p["K"])[x] + p["P"] @ p["K"], (p["E"] @ p["V"])[x] + p["P"] @ p["V"]
+        p, own = self.p, x[:, first:]
+        scaled = p["Q"] * np.asarray(1 / np.sqrt(WIDTH), p["Q"].dtype)
+        rows = lambda w, x, at: np.take(p["E"] @ w, x, axis=0) + (p["P"] @ w)[at:]
+        h = np.take(p["E"], own, axis=0) + p["P"][first:]
+        q, k, v = rows(scaled, own, first), rows(p["K"], x, 0), rows(p["V"], x, 0)
         s = q @ k.transpose(0, 2, 1)
         np.minimum(s, MOST, out=s)
         np.exp(s, out=s)
         s *= self.mask[first:]
         if (x == self.ranks.none).any():
             s *= (x != self.ranks.none)[:, None, :]
-        s *= 1 / np.maximum(s.sum(axis=2, keepdims=True), np.float32(1e-30))
+        s *= 1 / np.maximum(s @ np.ones((s.shape[2], 1), s.dtype), np.asarray(1e-30, s.dtype))
         return h, q, k, v, s, s @ v
 
-    def _digits(self, y: np.ndarray):
-        b = self.ranks.base
-        return y // (b * b), y // b, (y // b) % b, y % b
-
-    def _shares(self, h: np.ndarray, y: np.ndarray):
-        """For states h (rows) and the ranks y that follow: the digits' probabilities, three in a row."""
-        p, (one, both, two, three) = self.p, self._digits(y)
-        s1, s2, s3 = self.ranks.shares
-        z = np.empty((len(h), 3, self.ranks.base), h.dtype)
-        g, k = h * p["G"][one], h * p["H"][both]
-        z[:, 0] = h @ p["U"] + s1
-        z[:, 1] = g @ p["W"]
-        z[:, 1] += s2[one]
-        z[:, 2] = k @ p["X"]
-        z[:, 2] += s3[both]
-        np.minimum(z, MOST, out=z)
-        return z, g, k, np.stack([one, two, three], axis=1), both
+    def _softmaxes(self, h: np.ndarray, y: np.ndarray):
+        """For states h (rows) and the ranks y that follow, digit by digit: what the softmax divides (powers of e), its sums, the
+        scaled states, the digits' places in flat arrays, and the digits before each as one number; and the sum of the logarithms
+        of the ranks' probabilities' parts."""
+        p, b = self.p, self.ranks.base
+        ones, rows, upto, left = np.ones(b, h.dtype), np.arange(len(h)) * b, [np.zeros(len(h), np.int64)], y.astype(np.int64)
+        out, logs = [], np.zeros(len(h), h.dtype)
+        for level in range(DIGITS):
+            step = b ** (DIGITS - 1 - level)
+            digit = left // step
+            left = left - digit * step
+            scaled = h * np.take(p[f"G{level}"], upto[-1], axis=0) if level else h
+            z = scaled @ p[f"U{level}"]
+            z += np.take(self.ranks.shares[level], upto[-1], axis=0) if level else self.ranks.shares[0]
+            np.minimum(z, MOST, out=z)
+            at = rows + digit
+            logs += np.take(z.ravel(), at)
+            np.exp(z, out=z)
+            total = z @ ones
+            logs -= np.log(total)
+            out.append((z, total, scaled, at, upto[-1]))
+            upto.append(upto[-1] * b + digit)
+        return out, logs
 
     def log_probabilities(self, x: np.ndarray, y: np.ndarray, w: np.ndarray, first: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """Natural logarithms of probabilities, for windows of input rows x, at the places (from `first` on) that w marks, in
         order: of the ranks y, and of there being any that begins a word."""
         p = self.p
         h, *_, o = self._attend(x, first)
-        w = w[:, first:]
-        h = (h + o @ p["O"])[w]
+        at = np.flatnonzero(w[:, first:])
+        h = np.take((h + o @ p["O"]).reshape(-1, WIDTH), at, axis=0)
         h = h + np.maximum(h @ p["A"] + p["a"], 0) @ p["B"] + p["b"]
-        z, _, _, digits, _ = self._shares(h, y[:, first:][w])
-        got = np.take_along_axis(z, digits[:, :, None], axis=2)[:, :, 0]
-        np.exp(z, out=z)
-        total = z.sum(axis=2)
-        return (got - np.log(total)).sum(axis=1), np.log(z[:, 0, : self.ranks.starts].sum(axis=1) / total[:, 0])
+        levels, logs = self._softmaxes(h, np.take(y[:, first:], at))
+        z, total = levels[0][:2]
+        return logs, np.log(z[:, : self.ranks.starts].sum(axis=1) / total)
 
     def gradients(self, x: np.ndarray, y: np.ndarray, w: np.ndarray):
         """Mean loss over the places that w marks, and the parameters' gradients."""
         p, g = self.p, {}
         h0, q, k, v, s, o = self._attend(x, 0)
-        h1 = h0 + o @ p["O"]
-        n, part = max(1, int(w.sum())), h1[w]
+        flat = lambda m: m.reshape(-1, m.shape[-1])
+        at = np.flatnonzero(w)
+        h1, n = flat(h0) + flat(o) @ p["O"], max(1, len(at))
+        part = np.take(h1, at, axis=0)
         f = part @ p["A"] + p["a"]
         r = np.maximum(f, 0)
         h2 = part + r @ p["B"] + p["b"]
-        z, hg, hk, digits, both = self._shares(h2, y[w])
-        got = np.take_along_axis(z, digits[:, :, None], axis=2)[:, :, 0]
-        np.exp(z, out=z)
-        total = z.sum(axis=2)
-        loss = float((np.log(total) - got).sum()) / n
-        z /= total[:, :, None]
-        at = np.arange(len(z))
-        for level in range(3):
-            z[at, level, digits[:, level]] -= 1
-        z *= np.asarray(1 / n, z.dtype)
-        z1, z2, z3 = z[:, 0], z[:, 1], z[:, 2]
-        g["U"], g["W"], g["X"] = h2.T @ z1, hg.T @ z2, hk.T @ z3
-        back2, back3 = z2 @ p["W"].T, z3 @ p["X"].T
-        g["G"], g["H"] = _gathered(digits[:, 0], back2 * h2, len(p["G"])), _gathered(both, back3 * h2, len(p["H"]))
-        dh2 = z1 @ p["U"].T + back2 * p["G"][digits[:, 0]] + back3 * p["H"][both]
+        levels, logs = self._softmaxes(h2, np.take(y, at))
+        dh2 = np.zeros_like(h2)
+        for level, (z, total, scaled, targets, upto) in enumerate(levels):
+            z *= (1 / (n * total))[:, None]
+            z.ravel()[targets] -= np.asarray(1 / n, z.dtype)
+            g[f"U{level}"] = scaled.T @ z
+            back = z @ p[f"U{level}"].T
+            if level:
+                g[f"G{level}"] = _gathered(upto, back * h2, len(p[f"G{level}"]))
+                back *= np.take(p[f"G{level}"], upto, axis=0)
+            dh2 += back
         g["B"], g["b"] = r.T @ dh2, dh2.sum(0)
         df = (dh2 @ p["B"].T) * (f > 0)
         g["A"], g["a"] = part.T @ df, df.sum(0)
         dh1 = np.zeros_like(h1)
-        dh1[w] = dh2 + df @ p["A"].T
-        flat = lambda m: m.reshape(-1, m.shape[-1])
-        g["O"] = flat(o).T @ flat(dh1)
-        do = dh1 @ p["O"].T
+        dh1[at] = dh2 + df @ p["A"].T
+        g["O"] = flat(o).T @ dh1
+        do = (dh1 @ p["O"].T).reshape(o.shape)
         ds, dv = do @ v.transpose(0, 2, 1), s.transpose(0, 2, 1) @ do
         ds *= s
-        ds -= s * ds.sum(axis=2, keepdims=True)
+        ds -= s * (ds @ np.ones((ds.shape[2], 1), ds.dtype))
         dq, dk = (ds @ k) * np.asarray(1 / np.sqrt(WIDTH), ds.dtype), ds.transpose(0, 2, 1) @ q
-        dh0 = dh1 + dq @ p["Q"].T + dk @ p["K"].T + dv @ p["V"].T
-        for name, d in (("Q", dq), ("K", dk), ("V", dv)):
-            g[name] = flat(h0).T @ flat(d)
-        g["P"] = dh0.sum(0)
-        g["E"] = _gathered(x.ravel(), flat(dh0), len(p["E"]))
-        return loss, g
+        dh0, rows = dh1, flat(h0)
+        for name, d in (("Q", flat(dq)), ("K", flat(dk)), ("V", flat(dv))):
+            g[name] = rows.T @ d
+            dh0 = dh0 + d @ p[name].T
+        g["P"] = dh0.reshape(x.shape[0], -1).sum(0).reshape(CONTEXT, WIDTH)
+        g["E"] = _gathered(x.ravel(), dh0, len(p["E"]))
+        return -float(logs.sum()) / n, g
 
     def fit(self, x: np.ndarray, y: np.ndarray, w: np.ndarray, steps: int | None = None, seed: int = 11) -> None:
         """Adam over windows drawn from those given."""
@@ -182,30 +190,36 @@ class Model:
 
 def _gathered(at: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
     """Sums of the rows by their places."""
-    out = np.zeros((size, rows.shape[1]), rows.dtype)
-    if len(at):
-        order = np.argsort(at, kind="stable")
-        found = at[order]
-        first = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]]))
-        out[found[first]] = np.add.reduceat(rows[order], first, axis=0)
-    return out
+    return np.stack([np.bincount(at, column, size) for column in np.ascontiguousarray(rows.T)], axis=1).astype(rows.dtype)
 
 
 class Adam:
-    """Adam's moments for a model's parameters."""
+    """Adam for a model's parameters, which become parts of one array."""
 
     def __init__(self, model: Model):
         self.model, self.t = model, 0
-        self.m, self.v = ({k: np.zeros_like(a) for k, a in model.p.items()} for _ in range(2))
+        self.flat = np.concatenate([a.ravel() for a in model.p.values()])
+        self.m, self.v = np.zeros_like(self.flat), np.zeros_like(self.flat)
+        at = 0
+        for k, a in model.p.items():
+            model.p[k], at = self.flat[at : at + a.size].reshape(a.shape), at + a.size
 
     def step(self, x: np.ndarray, y: np.ndarray, w: np.ndarray, rate: float) -> float:
         loss, g = self.model.gradients(x, y, w)
         self.t += 1
-        m, v, p = self.m, self.v, self.model.p
-        for k in p:
-            m[k] += np.float32(0.1) * (g[k] - m[k])
-            v[k] += np.float32(0.01) * (g[k] * g[k] - v[k])
-            p[k] -= np.float32(rate / (1 - 0.9**self.t)) * m[k] / (np.sqrt(v[k] * np.float32(1 / (1 - 0.99**self.t))) + np.float32(1e-8))
+        own = np.concatenate([g[k].ravel() for k in self.model.p])
+        self.m *= np.float32(0.9)
+        self.m += np.float32(0.1) * own
+        own *= own
+        own *= np.float32(0.01)
+        self.v *= np.float32(0.99)
+        self.v += own
+        np.multiply(self.v, np.float32(1 / (1 - 0.99**self.t)), out=own)
+        np.sqrt(own, out=own)
+        own += np.float32(1e-8)
+        np.divide(self.m, own, out=own)
+        own *= np.float32(rate / (1 - 0.9**self.t))
+        self.flat -= own
         return loss
 
 
@@ -459,7 +473,7 @@ def score_documents(df: DataFrame, path: str, learn, key: str = "doc_id", text:
     coded = encoded(df, path, learn, key, text)
     ranks = Ranks(id_counts(coded, size), np.append(tool.begins(), True))
     model = fit_model(coded.filter("learn"), ranks, dtype)
-    norms = np.zeros(ranks.base**3)
+    norms = np.zeros(len(ranks.rows))
     for first, both in by_first.items():
         norms[ranks.rank[first]] = log10(sum(both) + 1)
     shared = spark.sparkContext.broadcast((order, logs, norms, model.p, ranks))

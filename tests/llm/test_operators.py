@@ -597,12 +597,14 @@ def small_ranks(size=60):
     return lm.Ranks(rng.integers(0, 50, size), np.append(rng.random(size - 1) < 0.5, True))
 
 
-def test_ranks():
+def test_ranks(monkeypatch):
+    monkeypatch.setattr(lm, "SINGLE", 3)
     ranks = lm.Ranks(np.array([3, 0, 9, 9, 1]), np.array([False, True, False, True, True]))
-    assert ranks.base == 2 and ranks.starts == 1 and ranks.rank.tolist() == [5, 2, 4, 0, 1] and ranks.none == 8
-    one, two, three = (np.exp(s) for s in ranks.shares)
-    assert np.allclose([one[r // 4] * two[r // 4, r // 2 % 2] * three[r // 2, r % 2] for r in ranks.rank], np.array([4, 1, 10, 10, 2]) / 27)
-    assert sorted(ranks.rows[ranks.rank]) == [0, 1, 2, 3, 5] and ranks.rows[2] == 5
+    b = ranks.base
+    assert b == 2 and lm.DIGITS == 4 and ranks.starts == 1 and ranks.rank.tolist() == [9, 2, 8, 0, 1] and ranks.none == 7
+    shares = [np.exp(s) for s in ranks.shares]
+    assert np.allclose([np.prod([shares[level][r // b ** (4 - level), r // b ** (3 - level) % b] for level in range(4)]) for r in ranks.rank], np.array([4, 1, 10, 10, 2]) / 27)
+    assert ranks.rows[[8, 0, 9]].tolist() == [0, 1, 2] and ranks.rows[[2, 1, 15]].tolist() == [3, 3, 6]
 
 
 def test_gradients():
@@ -613,7 +615,7 @@ def test_gradients():
     x, y, w, _ = lm.windows(model.ranks, [model.ranks.rank[rng.integers(0, 60, 50)]])
     _, grad = model.gradients(x, y, w)
     for name, value in model.p.items():
-        at = (int(x[0, 10]), 3) if name == "E" else (int(y[w][3]) // model.ranks.base, 2) if name == "H" else (int(y[w][3]) // model.ranks.base**2, 2) if name == "G" else tuple(int(rng.integers(0, s)) for s in value.shape)
+        at = (int(x[0, 10]), 3) if name == "E" else (int(y[w][3]) // model.ranks.base ** (lm.DIGITS - int(name[1])), 2) if name[0] == "G" else tuple(int(rng.integers(0, s)) for s in value.shape)
         value[at] += 1e-5
         up = model.gradients(x, y, w)[0]
         value[at] -= 2e-5
@@ -636,10 +638,12 @@ def brute_ids(model, sequence):
         a = soft((rows @ p["K"]) @ (rows[-1] @ p["Q"]) / np.sqrt(lm.WIDTH))
         h = rows[-1] + (a @ (rows @ p["V"])) @ p["O"]
         h = h + np.maximum(h @ p["A"] + p["a"], 0) @ p["B"] + p["b"]
-        one, both, two, three = y // (b * b), y // b, y // b % b, y % b
-        first = soft(h @ p["U"] + ranks.shares[0])
-        second = soft((h * p["G"][one]) @ p["W"] + ranks.shares[1][one])[two]
-        out.append((np.log10(first[one]) + np.log10(second) + np.log10(soft((h * p["H"][both]) @ p["X"] + ranks.shares[2][both])[three]), np.log10(first[: ranks.starts].sum())))
+        first, score = soft(h @ p["U0"] + ranks.shares[0]), 0.0
+        for level in range(lm.DIGITS):
+            before, digit = y // b ** (lm.DIGITS - level), y // b ** (lm.DIGITS - 1 - level) % b
+            state = h * p[f"G{level}"][before] if level else h
+            score += np.log10(soft(state @ p[f"U{level}"] + ranks.shares[level][before])[digit])
+        out.append((score, np.log10(first[: ranks.starts].sum())))
     return out
 
 
@@ -649,7 +653,7 @@ def brute_score(model, sequence):
 
 def test_scores_by_brute_force():
     rng, model = np.random.default_rng(1), lm.Model(small_ranks())
-    for name in "GH":
+    for name in ("G1", "G2", "G3"):
         model.p[name] = rng.normal(1, 0.3, model.p[name].shape).astype(np.float32)
     many = [model.ranks.rank[rng.integers(0, 60, n)] for n in (1, 2, 24, 25, 26, 100, 7)]
     assert np.allclose(lm.context_scores(model, many), [brute_score(model, s) for s in many], rtol=1e-4)
@@ -661,7 +665,7 @@ def test_all_ranks_share_one_probability():
     start, ranks = [5, 7, 11], model.ranks
     scores = [lm.id_scores(model, [np.array([*start, r])]) for r in ranks.rank]
     assert np.isclose(sum(10 ** s[0][-1] for s in scores), 1, atol=1e-3)
-    begin = [10 ** s[0][-1] for s, r in zip(scores, ranks.rank) if r < ranks.starts * ranks.base**2]
+    begin = [10 ** s[0][-1] for s, r in zip(scores, ranks.rank) if r < ranks.starts * ranks.base ** (lm.DIGITS - 1)]
     assert 0 < len(begin) < 60 and np.allclose([10 ** s[1][-1] for s in scores], sum(begin), atol=1e-3)
 
 
