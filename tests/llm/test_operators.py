@@ -728,7 +728,7 @@ def test_scores_of_whole_documents_by_brute_force(spark, monkeypatch):
             share, here, after = (counts[word] + 1) / (z[first(word)] + 1), by_id[at][1], 0 if word == b"\n" else by_id[at + len(ids)][1]
             spelt = sum(x for x, _ in by_id[at : at + len(ids)]) - here + after
             want, at = want + log10(lm.MIXED * 10 ** (by_id[at][0] - here) * share + (1 - lm.MIXED) * 10**spelt), at + len(ids)
-        assert np.isclose(out[i], want, rtol=1e-4)
+        assert np.isclose(out[i], want, rtol=1e-3)  # the model computes in 32 bits
 
 
 def test_model_beats_the_base(docs):
