@@ -42,7 +42,7 @@ MIXED = 0.9
 SAMPLE, SAMPLE_WINDOWS = 600, 64  # documents, and windows of each, that the training starts from
 STEPS, BATCH, RATE = 600, 192, 0.01
 BLOCKS = 256  # of a step over whole texts
-SCORED = 256  # windows that are scored at a time
+SCORED = 512  # windows that are scored at a time
 MOST = np.float32(60)  # of a softmax's inputs, which exp() can still take
 
 
