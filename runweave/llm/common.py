@@ -15,14 +15,14 @@ from runweave.shipping import shared_folder, ship
 
 
 def keep_freed_memory() -> None:
-    """Lets this process keep up to 64 MB that it has freed.  numpy's arrays come and go by the megabyte; by default glibc gives
+    """Lets this process keep up to 32 MB that it has freed.  numpy's arrays come and go by the megabyte; by default glibc gives
     each back to the system and takes new pages, which takes as long as the arithmetic on them (measured: half of the time
     of training)."""
     if sys.platform == "linux":
         libc = ctypes.CDLL(None)
         if hasattr(libc, "mallopt"):
-            libc.mallopt(-1, 64 << 20)  # M_TRIM_THRESHOLD
-            libc.mallopt(-3, 32 << 20)  # M_MMAP_THRESHOLD
+            libc.mallopt(-1, 32 << 20)  # M_TRIM_THRESHOLD
+            libc.mallopt(-3, 16 << 20)  # M_MMAP_THRESHOLD
 
 
 keep_freed_memory()  # in every process that imports this, workers above all
