@@ -151,12 +151,13 @@ def _similar(part: pa.RecordBatch, names: tuple[str, str], sizes: tuple[str, str
 
 
 def _confirm(pairs: DataFrame, texts: DataFrame, k: int, threshold: int) -> DataFrame:
-    """Of pairs (a, b), those with 100 * intersection >= threshold * union on the full sets."""
+    """Of pairs (a, b), those with 100 * intersection >= threshold * union on the full sets.  Texts are joined by sorting whatever
+    the sizes, as everywhere here, so that the same is moved a document at any scale."""
     parts = parts_of(pairs.sparkSession)
     crowd = pairs.groupBy("b").agg(F.count("*").alias("company"))
     pairs = pairs.join(crowd, "b").withColumn("salt", F.pmod(F.xxhash64("a"), F.floor((F.col("company") - 1) / HUB_SALTS) + 1))
-    members = pairs.join(texts, pairs["a"] == texts["cid"]).select("b", "salt", "a", "t")
-    hubs = pairs.select("b", "salt").distinct().join(texts, F.col("b") == texts["cid"]).select("b", "salt", F.lit(None).cast("long").alias("a"), "t")
+    members = pairs.join(texts.hint("merge"), pairs["a"] == texts["cid"]).select("b", "salt", "a", "t")
+    hubs = pairs.select("b", "salt").distinct().join(texts.hint("merge"), F.col("b") == texts["cid"]).select("b", "salt", F.lit(None).cast("long").alias("a"), "t")
 
     def run(batches):
         hub = None
@@ -403,7 +404,7 @@ def near_components(df: DataFrame, k: int = 5, threshold: int = 80, key: str = "
         nodes = stage_table(involved.select(F.col("cid").alias("node"), F.col("cid").alias("label")).distinct(), "nodes")
         edges = involved.join(involved.groupBy("list").agg(F.min("cid").alias("b")), "list").filter("cid != b").select(F.col("cid").alias("a"), "b").distinct()
         groups = merge_labels(nodes, stage_table(edges, "meetings"))
-        sets = groups.select(F.col("label").alias("g"), F.col("node").alias("cid")).join(texts, "cid").select("g", "cid", "t").mapInArrow(_with_sets(k), "g long, cid long, n long, shingles binary")
+        sets = groups.select(F.col("label").alias("g"), F.col("node").alias("cid")).join(texts.hint("merge"), "cid").select("g", "cid", "t").mapInArrow(_with_sets(k), "g long, cid long, n long, shingles binary")
         sets = stage_table(sets.join(starred, sets["cid"] == starred["node"]).drop("node"), "sets")
         by_label = sets.groupBy("g", "label").agg(F.sum("n").alias("n"))
         state = stage_table(by_label.groupBy("g").agg(F.sum("n").alias("total"), F.max(F.struct("n", "label")).getField("label").alias("main")), "groups")
