@@ -27,12 +27,12 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runweave.llm.common import documents, drop_table, stage_table
 from runweave.llm.substring_dedup import FIRST, gram_hashes, mix, word_hashes
-from runweave.llm.token_ids import parts_of, slices
+from runweave.llm.token_ids import forget_encoders, parts_of, slices
 
 COORDS = 64
 LOSS = 5e-6  # share of the links at the threshold that signatures may miss
@@ -40,6 +40,7 @@ CHUNK = 4096  # members of a list that one task compares
 CHUNK_SHINGLES = 1 << 17  # of a group's sets that one task holds, about
 HUB_SALTS = 500  # members that one task compares with a hub, about
 HEAVY = 4096  # classes with over 1 / HEAVY of all rows are joined by a broadcast: there are fewer than HEAVY
+MARKS = 1 << 19  # 64-bit words of a filter, at most, whatever the input's size
 SIGNATURE_SEED = 20260101
 
 
@@ -82,10 +83,21 @@ def _keyed(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(F.coalesce(F.col(key).cast("long"), F.lit(FIRST)).alias("k"), F.xxhash64(text).alias("th"), F.col(text).alias("t"))
 
 
+def _marked(rows: DataFrame, row_hash: Column, some: DataFrame, some_hash: Column, how: str) -> DataFrame:
+    """Rows whose hash may be one of some's ("left_semi"), and those whose hash certainly isn't ("left_anti"): one bit a hash, in
+    a table of at most MARKS rows that is broadcast.  More hashes mean more rows that may be meant by mistake, so an exact
+    join follows; it only spares texts the way through an exchange."""
+    word, bit = (lambda h: F.pmod(h, F.lit(MARKS))), (lambda h: F.shiftrightunsigned(h, 58).cast("int"))
+    marks = some.select(word(some_hash).alias("_rw_word"), bit(some_hash).alias("bit")).groupBy("_rw_word").agg(F.bit_or(F.expr("1L << bit")).alias("_rw_bits"))
+    met = (word(row_hash) == marks["_rw_word"]) & (F.getbit(marks["_rw_bits"], bit(row_hash)) == 1)
+    return rows.join(F.broadcast(marks), met, how)
+
+
 def _signed(docs: DataFrame, k: int) -> DataFrame:
     """k, th, n (set size), f1 and f2 (fingerprint of the set), mins (COORDS 32-bit integers) and sig (a byte of each)."""
 
     def run(batches):
+        forget_encoders()
         for batch in batches:
             for part in slices(batch):
                 rows = []
@@ -350,7 +362,7 @@ def near_components(df: DataFrame, k: int = 5, threshold: int = 80, key: str = "
     classes = signed.filter("n > 0").groupBy(*same).agg(F.min(F.struct("k", "th")).alias("rep"), F.count("*").alias("copies"), F.first("mins").alias("mins"), F.first("sig").alias("sig"))
     classes = stage_table(classes.select(F.monotonically_increasing_id().alias("cid"), *same, F.col("rep.k").alias("a"), F.col("rep.th").alias("ah"), "copies", "mins", "sig"), "classes")
     # by sorting whatever the sizes, so that the same is moved a document at any scale
-    read = lambda some: docs.join(some.select(F.col("cid"), F.col("a").alias("k"), F.col("ah").alias("th")).hint("merge"), ["k", "th"]).groupBy("cid").agg(F.first("t").alias("t"))
+    read = lambda some, docs=docs: docs.join(some.select(F.col("cid"), F.col("a").alias("k"), F.col("ah").alias("th")).hint("merge"), ["k", "th"]).groupBy("cid").agg(F.first("t").alias("t"))
     if exact:
         size = F.col("n")
         prefixes = _prefixes(classes, _shingle_pairs(classes, read(classes), k), size, size - F.ceil(size * threshold / 100) + 1)
@@ -363,7 +375,9 @@ def near_components(df: DataFrame, k: int = 5, threshold: int = 80, key: str = "
     drop_table(lengths)
     drop_table(prefixes)
     company = stage_table(posted.select("cid").distinct(), "company")
-    texts = stage_table(read(classes.join(company, "cid", "left_semi")), "company-texts")
+    met = stage_table(classes.join(company, "cid", "left_semi").select("cid", "a", "ah"), "company-keys")
+    texts = stage_table(read(met, _marked(docs, F.xxhash64("k", "th"), met, F.xxhash64("a", "ah"), "left_semi")), "company-texts")
+    drop_table(met)
     labels = stage_table(company.select(F.col("cid").alias("node"), F.col("cid").alias("label")), "labels")
     drop_table(company)
 
@@ -450,9 +464,13 @@ def keep_representatives(df: DataFrame, k: int = 5, threshold: int = 80, key: st
 
     Null and wordless texts stay; a null key is smaller than all others; of a component, all rows that have its smallest key and
     the text of one of them stay, so repeated rows stay together; an empty table gives an empty one."""
-    found = near_components(df.select(key, text), k, threshold, key, text).filter("kept")
-    found = found.select(F.col(key).alias("_rw_key"), F.col("text_hash").alias("_rw_hash")).distinct()
-    return df.join(found, df[key].eqNullSafe(found["_rw_key"]) & (F.xxhash64(df[text]) == F.col("_rw_hash")), "left_semi")
+    found = near_components(df.select(key, text), k, threshold, key, text)
+    found = stage_table(found.select(F.col(key).alias("_rw_key"), F.col("text_hash").alias("_rw_hash"), "kept").distinct(), "found")
+    # most rows certainly aren't among those that go, and stay where they are
+    own, gone = (F.xxhash64(df[key].cast("long"), F.xxhash64(df[text])), found.filter(~F.col("kept"))), F.xxhash64("_rw_key", "_rw_hash")
+    stays, rest = (_marked(df, *own, gone, how) for how in ("left_anti", "left_semi"))
+    found = found.filter("kept")
+    return stays.union(rest.join(found, rest[key].eqNullSafe(found["_rw_key"]) & (F.xxhash64(rest[text]) == F.col("_rw_hash")), "left_semi"))
 
 
 def op7_minhash(spark, sf_dir):

@@ -468,6 +468,32 @@ def test_near_components_exact(docs):
     assert rows(minhash.near_components(docs, 5, exact=True).orderBy("doc_id")) == rows(minhash.near_components(docs, 5).orderBy("doc_id"))
 
 
+def test_signing_forgets_encoders(tool):
+    """A worker that has encoded texts and goes on to sign some doesn't keep the encoder's units beside them."""
+    import pyarrow as pa
+
+    class Docs:
+        def mapInArrow(self, run, _):
+            return run
+
+    assert token_ids.encoder(PATH).encode("some text") and token_ids._ENCODERS
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([2]), pa.array(["a b c"])], names=["k", "th", "t"])
+    assert [x.num_rows for x in minhash._signed(Docs(), 2)([batch])] == [1] and not token_ids._ENCODERS
+    assert token_ids.encoder(PATH).encode("some text")
+
+
+@pytest.mark.parametrize("marks", [1, 64, 1 << 19])
+def test_representatives_stay_where_they_are(spark, monkeypatch, marks):
+    monkeypatch.setattr(minhash, "MARKS", marks)
+    text = lambda i: " ".join(f"w{i}x{x}" for x in range(40))
+    data = [(i, text(i % 60), i) for i in range(90)] + [(100 + i, text(i) + " more", i) for i in range(5)] + [(None, text(70), 0), (200, None, 1), (201, "", 2)]
+    df = spark.createDataFrame(data, "doc_id long, text string, k long")
+    out = minhash.keep_representatives(df)
+    assert sorted(str(r) for r in out.collect()) == sorted(str(r) for r in df.filter("doc_id IS NULL OR doc_id < 60 OR doc_id >= 200").collect())
+    # texts that stay for certain don't move: only those of rows that may go are sorted
+    assert "LeftAnti" in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_many_copies_come_by_broadcast(spark, monkeypatch):
     monkeypatch.setattr(minhash, "HEAVY", 4)
     texts = ["a b c d"] * 9 + ["", None, "e f g", "e f g", "a b c d e"]
