@@ -23,7 +23,7 @@ table of what has company, and once to the hub or the group that they are compar
 
 from __future__ import annotations
 
-from math import comb
+from math import comb, log
 
 import numpy as np
 import pyarrow as pa
@@ -140,7 +140,7 @@ def _shingle_pairs(classes: DataFrame, texts: DataFrame, k: int) -> DataFrame:
 
 
 def _prefixes(classes: DataFrame, tokens: DataFrame, size, prefix) -> DataFrame:
-    """cid, company, lists: of each class's tokens in the order of frequency, those of its first `prefix` that others have too.
+    """cid, n, company, lists: of each class's tokens in the order of frequency, those of its first `prefix` that others have too.
 
     `size`: tokens that a class has in all."""
     counts = stage_table(tokens.groupBy("token").agg(F.count("*").alias("freq")).filter("freq > 1"), "token-counts")
@@ -148,11 +148,24 @@ def _prefixes(classes: DataFrame, tokens: DataFrame, size, prefix) -> DataFrame:
     room = (prefix - size + F.size("all")).cast("int")
     first = F.slice("all", 1, F.greatest(room, F.lit(0)))
     out = shared.join(classes.select("cid", "n"), "cid").withColumn("first", first).filter(F.size("first") > 0)
-    out = stage_table(out.select("cid", F.aggregate("first", F.lit(0).cast("long"), lambda x, y: x + y["freq"]).alias("company"), F.col("first.token").alias("lists")), "prefixes")
+    out = stage_table(out.select("cid", "n", F.aggregate("first", F.lit(0).cast("long"), lambda x, y: x + y["freq"]).alias("company"), F.col("first.token").alias("lists")), "prefixes")
     drop_table(counts)
     return out
 
 
+def _postings(prefixes: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame]:
+    """list, cid, n, company of the members of lists that have another one there whose size may reach the threshold; and a table to
+    drop once they are written.  Steps of size are wide enough that what may link is at most one step apart.  A list has a count
+    for each step only, so long ones are summed before they move."""
+    step = F.floor(F.log(F.col("n").cast("double")) / max(1.001 * log(100 / max(threshold, 1)), 0.001))
+    posted = prefixes.select("cid", "n", "company", step.alias("step"), F.explode("lists").alias("list"))
+    counts = posted.groupBy("list", "step").agg(F.count("*").alias("members"))
+    lists = counts.groupBy("list").agg(F.collect_list(F.struct("step", "members")).alias("steps"))
+    lists = stage_table(lists.filter((F.size("steps") > 1) | (F.col("steps")[0]["members"] > 1)), "lists")
+    company = F.exists("steps", lambda x: (F.abs(x["step"] - F.col("step")) == 1) | (x["step"] == F.col("step")) & (x["members"] > 1))
+    return posted.join(lists, "list").filter(company).select("list", "cid", "n", "company"), lists
+
+
 def _similar(part: pa.RecordBatch, names: tuple[str, str], sizes: tuple[str, str], threshold: int, least: int) -> tuple[pa.RecordBatch, np.ndarray]:
     """The rows whose two signatures match and whose sizes allow the threshold, and their matches."""
     a, b = (np.frombuffer(b"".join(part.column(part.schema.get_field_index(c)).to_pylist()), np.uint8).reshape(-1, COORDS) for c in names)
@@ -361,18 +374,17 @@ def near_components(df: DataFrame, k: int = 5, threshold: int = 80, key: str = "
     same = ["n", "f1", "f2"]
     classes = signed.filter("n > 0").groupBy(*same).agg(F.min(F.struct("k", "th")).alias("rep"), F.count("*").alias("copies"), F.first("mins").alias("mins"), F.first("sig").alias("sig"))
     classes = stage_table(classes.select(F.monotonically_increasing_id().alias("cid"), *same, F.col("rep.k").alias("a"), F.col("rep.th").alias("ah"), "copies", "mins", "sig"), "classes")
-    # by sorting whatever the sizes, so that the same is moved a document at any scale
-    read = lambda some, docs=docs: docs.join(some.select(F.col("cid"), F.col("a").alias("k"), F.col("ah").alias("th")).hint("merge"), ["k", "th"]).groupBy("cid").agg(F.first("t").alias("t"))
+    # by sorting whatever the sizes, so that the same is moved a document at any scale; grouped where the join has put them
+    read = lambda some, docs=docs: docs.join(some.select(F.col("cid"), F.col("a").alias("k"), F.col("ah").alias("th")).hint("merge"), ["k", "th"]).groupBy("k", "th", "cid").agg(F.first("t").alias("t")).select("cid", "t")
     if exact:
         size = F.col("n")
         prefixes = _prefixes(classes, _shingle_pairs(classes, read(classes), k), size, size - F.ceil(size * threshold / 100) + 1)
     else:
         prefixes = _prefixes(classes, _signature_pairs(classes), F.lit(COORDS), F.lit(COORDS - least + 1))
-    posted = prefixes.select("cid", "company", F.explode("lists").alias("list"))
-    lengths = stage_table(posted.groupBy("list").agg(F.count("*").alias("members")).filter("members > 1"), "lists")
-    posted = posted.join(lengths, "list").join(classes.select("cid", "n", "sig"), "cid")
+    posted, lists = _postings(prefixes, threshold)
+    posted = posted.join(classes.select("cid", "sig"), "cid")
     posted = stage_table(posted.select("list", "company", "cid", "n", "sig"), "postings")
-    drop_table(lengths)
+    drop_table(lists)
     drop_table(prefixes)
     company = stage_table(posted.select("cid").distinct(), "company")
     met = stage_table(classes.join(company, "cid", "left_semi").select("cid", "a", "ah"), "company-keys")

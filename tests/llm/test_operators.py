@@ -468,6 +468,38 @@ def test_near_components_exact(docs):
     assert rows(minhash.near_components(docs, 5, exact=True).orderBy("doc_id")) == rows(minhash.near_components(docs, 5).orderBy("doc_id"))
 
 
+def staged_rows(monkeypatch):
+    """Rows of the tables that minhash stages from now on, by name."""
+    found, stage = {}, minhash.stage_table
+
+    def counted(df, name):
+        out = stage(df, name)
+        found[name] = out.count()
+        return out
+
+    monkeypatch.setattr(minhash, "stage_table", counted)
+    return found
+
+
+def test_lists_hold_what_sizes_allow(spark, monkeypatch):
+    # documents that begin alike, each nearly twice as long as the one before; one has a near copy
+    text = lambda i: " ".join(f"w{x}" for x in range(int(6 * 1.9**i)))
+    df = spark.createDataFrame([*((i, text(i)) for i in range(8)), (50, text(5) + " more")], "doc_id long, text string")
+    found = staged_rows(monkeypatch)
+    out = sorted((r["doc_id"], r["component_id"]) for r in rows(minhash.near_components(df, 2)))
+    assert out == [*((i, i) for i in range(8)), (50, 5)]
+    assert found["company-texts"] == 2 and found["postings"] <= 2 * minhash.COORDS
+
+
+@pytest.mark.parametrize("threshold", [50, 80, 95, 100])
+def test_sizes_that_may_link_share_lists(spark, threshold):
+    sizes = [(n, n, 1, [7]) for n in range(1, 400)]
+    pairs = {(a, b) for a, *_ in sizes for b in range(a, min(399, 100 * a // threshold) + 1) if a != b}
+    for a, b in sorted(pairs)[:: max(1, len(pairs) // 8)]:
+        df = spark.createDataFrame([(a, a, 1, [7]), (b, b, 1, [7])], "cid long, n long, company long, lists array<long>")
+        assert sorted(r["cid"] for r in minhash._postings(df, threshold)[0].collect()) == [a, b]
+
+
 def test_signing_forgets_encoders(tool):
     """A worker that has encoded texts and goes on to sign some doesn't keep the encoder's units beside them."""
     import pyarrow as pa
