@@ -18,6 +18,7 @@ from runweave.llm.common import documents, drop_table, stage_table, staged_table
 from runweave.llm.token_ids import vocabulary_path
 
 REPEAT_WORDS = 50
+SEEN = 100_000  # units in each generation that the last stage's workers remember, beside JVMs that the stages before have filled
 
 
 def language_stage(spark, docs, sf_dir):
@@ -43,7 +44,7 @@ def substring_stage(spark, docs, sf_dir):
 
 def packing_stage(spark, docs, sf_dir):
     """Pieces of 2048-token sequences with the corpus's mixture of sources."""
-    return packing.pack_documents(docs, vocabulary_path(), 1)
+    return packing.pack_documents(docs, vocabulary_path(), 1, seen=SEEN)
 
 
 STAGES = [

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from runweave.llm.common import documents, literal_table
+from runweave.llm.token_ids import forget_encoders
 
 BLOCK = 4096  # characters that are compressed together
 FILL = 256  # every block is repeated to at least this length, for the coder leaves tiny inputs as they are
@@ -118,6 +119,7 @@ def keep_identified(df: DataFrame, raw: dict[str, bytes], text: str = "text", ma
     don't matter; repeated rows share their fate; an empty table gives an empty one."""
 
     def run(batches):
+        forget_encoders()
         model = Classifier(raw, margin)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from runweave.llm.common import documents, stage_table
-from runweave.llm.token_ids import encoder, key_bounds, parts_of, slices, tokenise, vocabulary_path
+from runweave.llm.token_ids import SEEN, encoder, forget_encoders, key_bounds, parts_of, slices, tokenise, vocabulary_path
 
 LENGTH = 2048
 MOST_SOURCES = 100_000
@@ -130,7 +130,7 @@ class Mixture:
             w += 1
 
 
-def pack_documents(df: DataFrame, path: str, end_id: int, length: int = LENGTH, weights: dict | None = None, key: str = "doc_id", text: str = "text", source: str = "source", with_ids: bool = False) -> DataFrame:
+def pack_documents(df: DataFrame, path: str, end_id: int, length: int = LENGTH, weights: dict | None = None, key: str = "doc_id", text: str = "text", source: str = "source", with_ids: bool = False, seen: int = SEEN) -> DataFrame:
     """One row per piece: key, source, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids as little-endian
     unsigned 32-bit integers, with_ids).
 
@@ -140,12 +140,15 @@ def pack_documents(df: DataFrame, path: str, end_id: int, length: int = LENGTH,
     written down before it is used.  An empty table gives an empty result; other columns are not looked at.  A row for each
     source reaches the driver.
 
-    The text is encoded once and never shuffled; its ids are shuffled once, by key range."""
+    The text is encoded once and never shuffled; its ids are shuffled once, by key range.  seen: units that a worker remembers,
+    see encoder()."""
     spark = df.sparkSession
-    rows = tokenise(df.withColumn("_source", F.col(source).cast("string")), path, end_id, key, text, ("_source",), key_bounds(df, key, parts_of(spark)))
+    rows = tokenise(df.withColumn("_source", F.col(source).cast("string")), path, end_id, key, text, ("_source",), key_bounds(df, key, parts_of(spark)), seen=seen)
     dtype = encoder(path).dtype
 
     def place(batches):
+        if seen < SEEN:  # memory is scarce; otherwise the encoder stays for later runs
+            forget_encoders()
         here, at = None, 0
         for batch in batches:
             for part in slices(batch, 4096):

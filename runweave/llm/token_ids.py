@@ -108,6 +108,7 @@ class UnitEncoder:
         from public_tokenizers import PATTERN
 
         self.size, self.added, self.seen = size, added, seen
+        self.batch_bytes = max(1 << 20, min(BATCH_BYTES, BATCH_BYTES * seen // SEEN))
         self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         self.each = [np.array([k], self.dtype).tobytes() for k in range(size)]
         self.letters = [byte_letters()[b] for b in range(256)]
@@ -236,15 +237,24 @@ class IdEncoder(UnitEncoder):
     _odd = _whole
 
 
-_ENCODERS: dict[str, IdEncoder] = {}
+_ENCODERS: dict[tuple[str, int], IdEncoder] = {}
 
 
-def encoder(path: str) -> IdEncoder:
-    """One per worker process."""
-    if path not in _ENCODERS:
+def encoder(path: str, seen: int = SEEN) -> IdEncoder:
+    """One per worker process.  seen: units that it remembers in each generation, at about 200 bytes; ids don't depend on it."""
+    if (path, seen) not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[path] = IdEncoder(path)
-    return _ENCODERS[path]
+        release_memory()
+        _ENCODERS[path, seen] = IdEncoder(path, seen)
+    return _ENCODERS[path, seen]
+
+
+def release_memory() -> None:
+    """Gives pages that this process no longer needs back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux" and hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
 
 
 def forget_encoders() -> None:
@@ -252,9 +262,7 @@ def forget_encoders() -> None:
     using a worker for whatever comes next, where that memory would stand beside the next operator's."""
     if _ENCODERS:
         _ENCODERS.clear()
-        gc.collect()
-        if sys.platform == "linux" and hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
-            libc.malloc_trim(0)
+        release_memory()
 
 
 def slices(batch: pa.RecordBatch, rows: int = 256):
@@ -280,17 +288,17 @@ def binaries(data: np.ndarray, counts: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(ends.astype(np.int64).tobytes()), pa.py_buffer(np.ascontiguousarray(data))]).cast(pa.binary())
 
 
-def tokenise(df: DataFrame, path: str, end_id: int, key: str, text: str, others: tuple[str, ...] = (), bounds: list[int] | None = None, count: bool = False) -> DataFrame:
+def tokenise(df: DataFrame, path: str, end_id: int, key: str, text: str, others: tuple[str, ...] = (), bounds: list[int] | None = None, count: bool = False, seen: int = SEEN) -> DataFrame:
     """pid, key, others..., n, ids: ids of each whole text (null: empty) with `end_id` after them, as little-endian bytes of
     the encoder's dtype; pid is the key's range among `bounds` (null keys come first).  count: each task's last row has pid -1
-    and, as ids, how often it has met each id, as 64-bit integers."""
+    and, as ids, how often it has met each id, as 64-bit integers.  seen: see encoder()."""
     cut = np.array(bounds or [], np.int64)
 
     def run(batches):
-        tool = encoder(path)
+        tool = encoder(path, seen)
         met = np.zeros(max(tool.size, end_id + 1), np.int64)
         for batch in batches:
-            for part in text_slices(batch, 1):
+            for part in text_slices(batch, 1, tool.batch_bytes):
                 ids, sizes = tool.encode_many(part.column(1), end_id)
                 keys = part.column(0)
                 pid = np.where(np.asarray(keys.is_valid()), np.searchsorted(cut, np.asarray(keys.fill_null(0)), side="right"), 0)

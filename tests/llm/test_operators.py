@@ -514,6 +514,47 @@ def test_signing_forgets_encoders(tool):
     assert token_ids.encoder(PATH).encode("some text")
 
 
+def test_identification_forgets_encoders(tool):
+    """Neither does one that goes on to the pipeline's first stage, after which exact_dedup leaves workers as they are."""
+    import pyarrow as pa
+    from pyspark.sql import types as T
+
+    class Docs:
+        schema = T.StructType([T.StructField("text", T.StringType())])
+
+        def mapInArrow(self, run, _):
+            return run
+
+    assert token_ids.encoder(PATH).encode("some text") and token_ids._ENCODERS
+    raw = {"en": b"the quick brown fox jumps over the lazy dog", "de": b"der schnelle braune Fuchs springt"}
+    batch = pa.RecordBatch.from_arrays([pa.array(["the quick brown fox jumps over the lazy dog", None])], names=["text"])
+    assert [x.num_rows for x in langid.keep_identified(Docs(), raw)([batch])] == [1] and not token_ids._ENCODERS
+
+
+def test_encoders_remember_what_they_are_told_to(spark, tool):
+    """Workers of the pipeline's packing stage take less memory for the units they have seen; ids stay those of the library."""
+    import pyarrow as pa
+
+    from corpus_pipeline import SEEN
+
+    class Docs:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            return run
+
+    assert SEEN < token_ids.SEEN and token_ids.encoder(PATH, SEEN).batch_bytes < token_ids.encoder(PATH).batch_bytes == token_ids.BATCH_BYTES
+    texts = [" ".join(f"word{i * 40 + x}" for x in range(40)) for i in range(20)] + [None, ""]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
+    for seen in (100, token_ids.SEEN):
+        run = token_ids.tokenise(Docs(), PATH, 1, "doc_id", "text", seen=seen)
+        got = [x.as_py() for _ in range(3) for part in run([batch]) for x in part.column(3)]
+        assert got == [np.array([*tool.encode(t or "", add_special_tokens=False).ids, 1], token_ids.encoder(PATH, seen).dtype).tobytes() for t in texts] * 3
+        assert list(token_ids._ENCODERS) == [(PATH, seen)]
+        assert bool(token_ids.encoder(PATH, seen).rest.old) == (seen == 100)
+
+
 @pytest.mark.parametrize("marks", [1, 64, 1 << 19])
 def test_representatives_stay_where_they_are(spark, monkeypatch, marks):
     monkeypatch.setattr(minhash, "MARKS", marks)
