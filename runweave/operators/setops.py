@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runweave.functions.columns import rect, rect_intersection, rect_union
+from runweave.operators.dealing import deal
 from runweave.operators.normalize import RANGES, SPANS, merge_runs, normalize, sweep
 
 
@@ -46,7 +47,8 @@ def xor(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def bounds_spans(bounds: DataFrame) -> DataFrame:
     """The rows of each bounding rectangle."""
-    return bounds.select("mask_id", F.explode(F.sequence("by", F.expr("by + bh - 1"))).alias("y"), F.col("bx").alias("x_start"), F.expr("bx + bw").alias("x_end"))
+    dealt = deal(bounds, "mask_id")
+    return dealt.select("mask_id", F.explode(F.sequence("by", F.expr("by + bh - 1"))).alias("y"), F.col("bx").alias("x_start"), F.expr("bx + bw").alias("x_end"))
 
 
 def complement(a: DataFrame, bounds: DataFrame) -> DataFrame:
