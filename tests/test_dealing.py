@@ -11,6 +11,7 @@ from runweave.sources import masks
 SMALL, LARGE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 QUERIES = [
     "complement",
+    "span_xor",
 ]
 
 
