@@ -12,6 +12,7 @@ SMALL, LARGE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 QUERIES = [
     "complement",
     "span_xor",
+    "range_symmetric_difference",
 ]
 
 
