@@ -13,6 +13,7 @@ QUERIES = [
     "complement",
     "span_xor",
     "range_symmetric_difference",
+    "span_subtract",
 ]
 
 
