@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runweave.functions.columns import rect, rect_expand
+from runweave.operators.dealing import deal
 from runweave.operators.normalize import merge_runs, normalize, normalize_ranges
 from runweave.operators.reshape import clip
 
@@ -49,11 +50,11 @@ def dilate(spans: DataFrame, r: int, strategy=in_place, clip_to: tuple[int, int,
     out = spans.select("mask_id", "y", start.cast("long").alias("x_start"), end.cast("long").alias("x_end"))
     if r <= DIRECT:
         rows = F.expr(f"sequence(greatest(y - {r}, 0L), y + {r})")
-        out = normalize(out.withColumn("y", F.explode(rows)))
+        out = normalize(out.withColumn("y", F.explode(rows)), rows=2 * r + 1)
     else:
         high, left = 2 * r + 1, r
         strips = F.expr(f"sequence(greatest(y - {r}, 0L) div {high}, (y + {r}) div {high})")
-        out = out.withColumn("_strip", F.explode(strips)).repartition("mask_id", "_strip")
+        out = deal(out.withColumn("_strip", F.explode(strips)), "mask_id", "_strip", rows=6, always=True)
         for step in row_steps(r):  # rows above 0 and beside the strip are needed as long as they can reach it
             left -= step
             out = out.withColumn("y", F.explode(F.expr(f"array(y - {step}, y, y + {step})")))

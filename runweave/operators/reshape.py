@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runweave.functions.columns import FITS, check_fits, col, rect, rect_intersection
+from runweave.operators.dealing import deal_both
 from runweave.operators.normalize import normalize_ranges
 
 
@@ -26,6 +27,7 @@ def clip_bounds(bounds: DataFrame, x, y, width, height) -> DataFrame:
 def local_ranges(spans: DataFrame, bounds: DataFrame) -> DataFrame:
     """Each span's place in its bounds read row by row; nothing is merged."""
     at = "(y - by) * bw - bx"
+    spans, bounds = deal_both(spans, bounds, "mask_id")
     return spans.join(bounds, "mask_id").select("mask_id", F.expr(f"{at} + x_start").alias("start"), F.expr(f"{at} + x_end").alias("end"))
 
 

@@ -14,6 +14,7 @@ QUERIES = [
     "span_xor",
     "range_symmetric_difference",
     "span_subtract",
+    "pipeline_union_dilate_subtract_clip",
 ]
 
 
