@@ -15,6 +15,7 @@ QUERIES = [
     "range_symmetric_difference",
     "span_subtract",
     "pipeline_union_dilate_subtract_clip",
+    "range_difference",
 ]
 
 
