@@ -16,6 +16,7 @@ QUERIES = [
     "span_subtract",
     "pipeline_union_dilate_subtract_clip",
     "range_difference",
+    "span_intersect",
 ]
 
 
