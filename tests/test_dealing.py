@@ -17,6 +17,7 @@ QUERIES = [
     "pipeline_union_dilate_subtract_clip",
     "range_difference",
     "span_intersect",
+    "range_intersection",
 ]
 
 
