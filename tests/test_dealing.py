@@ -18,6 +18,7 @@ QUERIES = [
     "range_difference",
     "span_intersect",
     "range_intersection",
+    "rect_ranges",
 ]
 
 
@@ -83,3 +84,9 @@ def test_sweep_of_touching_nested_and_empty_runs(spark):
     assert rows(setops.xor(a, b)) == [(1, 0, 0, 12), (1, 1, 4, 6), (2, 0, 1, 2)]
     assert rows(setops.subtract(a, b)) == [(1, 0, 0, 9), (1, 1, 4, 6)]
     assert rows(setops.intersect(a, b)) == [(1, 0, 20, 22)]
+
+
+def test_rect_masks_over_strips(spark):
+    rects = spark.createDataFrame([(1, 2, 60, 3, 10), (1, 4, 66, 5, 200), (1, 0, 3, 1, 0), (2, 7, -3, 1, 5), (2, 8, 63, 2, 1)], "mask_id long, x long, y long, w long, h long")
+    want = sorted(map(tuple, normalize.normalize(masks.rect_spans(rects.filter("h > 0"))).collect()))
+    assert sorted(map(tuple, masks.rect_masks(rects).collect())) == want and len(want) == 212
