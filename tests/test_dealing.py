@@ -19,6 +19,7 @@ QUERIES = [
     "span_intersect",
     "range_intersection",
     "rect_ranges",
+    "bounds_dilate",
 ]
 
 
