@@ -20,6 +20,7 @@ QUERIES = [
     "range_intersection",
     "rect_ranges",
     "bounds_dilate",
+    "bounds_intersect",
 ]
 
 
