@@ -21,6 +21,7 @@ QUERIES = [
     "rect_ranges",
     "bounds_dilate",
     "bounds_intersect",
+    "rect_spans",
 ]
 
 
