@@ -22,6 +22,7 @@ QUERIES = [
     "bounds_dilate",
     "bounds_intersect",
     "rect_spans",
+    "span_union",
 ]
 
 
