@@ -23,6 +23,7 @@ QUERIES = [
     "bounds_intersect",
     "rect_spans",
     "span_union",
+    "rect_ranges_bounds",
 ]
 
 
