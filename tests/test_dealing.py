@@ -24,6 +24,7 @@ QUERIES = [
     "rect_spans",
     "span_union",
     "rect_ranges_bounds",
+    "interval_predicates",
 ]
 
 
