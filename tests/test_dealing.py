@@ -25,6 +25,7 @@ QUERIES = [
     "span_union",
     "rect_ranges_bounds",
     "interval_predicates",
+    "span_intersect_join",
 ]
 
 
