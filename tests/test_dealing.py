@@ -26,6 +26,7 @@ QUERIES = [
     "rect_ranges_bounds",
     "interval_predicates",
     "span_intersect_join",
+    "union_all",
 ]
 
 
