@@ -27,6 +27,7 @@ QUERIES = [
     "interval_predicates",
     "span_intersect_join",
     "union_all",
+    "range_union",
 ]
 
 
