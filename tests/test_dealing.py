@@ -28,6 +28,7 @@ QUERIES = [
     "span_intersect_join",
     "union_all",
     "range_union",
+    "encode_spans",
 ]
 
 
